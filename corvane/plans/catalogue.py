@@ -1,0 +1,13 @@
+"""The registry of queries over the input tables and their SQL oracles."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+def queries() -> dict[str, Callable]:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
