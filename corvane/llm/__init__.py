@@ -1,0 +1 @@
+"""Training-data operators: sharding, scoring, deduplication, packing, search."""
