@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, quality_rules, sharding, vector_search, warc
+from corvane.llm import mixing, packing, quality_rules, sharding, vector_search, warc
 from corvane.session import table
 
 
@@ -23,6 +23,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vector_search.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -45,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op5_warc": op5_warc,
+        "op7_packing": op7_packing,
         "op8_vector_search": op8_vector_search,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
