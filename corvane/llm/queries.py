@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, packing, quality_rules, sharding, vector_search, warc
+from corvane.llm import line_dedup, mixing, packing, quality_rules, sharding, vector_search, warc
 from corvane.session import table
 
 
@@ -19,6 +19,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the operators' order."""
     return {
         "op1_sharding": op1_sharding,
+        "op4_line_dedup": op4_line_dedup,
         "op5_warc": op5_warc,
         "op7_packing": op7_packing,
         "op8_vector_search": op8_vector_search,
@@ -58,5 +64,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: White space around and between words, as DuckDB text.
+_WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINE_DEDUP_SQL = f"""
+WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+spots AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM parts),
+lines AS (SELECT doc_id, i, ls[i] AS line, trim(ls[i], {_WHITE_SQL}) AS s FROM spots),
+used AS (SELECT doc_id, i, s, doc_id * 10000000 + i AS place FROM lines WHERE length(s) >= 30),
+d AS (SELECT s, length(s) AS n, min(place) AS lead_place FROM used GROUP BY s),
+near AS (
+  SELECT DISTINCT b.s FROM d a JOIN d b ON a.n = b.n AND a.lead_place < b.lead_place
+  WHERE (left(a.s, a.n // 2) = left(b.s, a.n // 2) OR right(a.s, (a.n - 1) // 2) = right(b.s, (a.n - 1) // 2))
+    AND levenshtein(a.s, b.s) <= 1
+  UNION
+  SELECT DISTINCT CASE WHEN a.lead_place < b.lead_place THEN b.s ELSE a.s END FROM d a JOIN d b ON a.n + 1 = b.n
+  WHERE (left(a.s, a.n // 2) = left(b.s, a.n // 2) OR right(a.s, a.n - a.n // 2) = right(b.s, a.n - a.n // 2))
+    AND levenshtein(a.s, b.s) <= 1),
+gone AS (
+  SELECT u.doc_id, u.i FROM used u JOIN d USING (s) LEFT JOIN near USING (s)
+  WHERE u.place > d.lead_place OR near.s IS NOT NULL),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_dropped,
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_dropped, md5(text) AS text_md5 FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries whose full result it can express."""
+    return {"op4_line_dedup": LINE_DEDUP_SQL}
