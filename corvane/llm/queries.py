@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import line_dedup, mixing, packing, quality_rules, sharding, vector_search, warc
+from corvane.llm import line_dedup, mixing, near_dedup, packing, quality_rules, sharding, vector_search, warc
 from corvane.session import table
 
 
@@ -19,6 +19,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the operators' order."""
     return {
         "op1_sharding": op1_sharding,
+        "op3_near_dedup": op3_near_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op5_warc": op5_warc,
         "op7_packing": op7_packing,
