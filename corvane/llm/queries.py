@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import line_dedup, mixing, near_dedup, packing, quality_rules, sharding, vector_search, warc
+from corvane.llm import line_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules, sharding, vector_search, warc
 from corvane.session import table
 
 
@@ -32,6 +32,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    return lm_scoring.score(docs, fold == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_dedup": op3_near_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op5_warc": op5_warc,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_packing": op7_packing,
         "op8_vector_search": op8_vector_search,
         "op9_quality_rules": op9_quality_rules,
