@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import line_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules, sharding, vector_search, warc
+from corvane.llm import line_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules, sharding, toxicity, vector_search, warc
 from corvane.session import table
 
 
@@ -19,6 +19,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 1)
+    return scored.select(
+        "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"))
 
@@ -65,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the operators' order."""
     return {
         "op1_sharding": op1_sharding,
+        "op2_toxicity": op2_toxicity,
         "op3_near_dedup": op3_near_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op5_warc": op5_warc,
