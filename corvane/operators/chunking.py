@@ -42,27 +42,45 @@ class Chunker:
         return self.overlap_tokens * CHARS_PER_TOKEN
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sections(text: Column) -> Column:
     """array<struct<heading, body>>: the part before the first heading, then each heading
     with what follows it; parts without a body are left out."""
     marked = F.regexp_replace(text, HEADING, CUT + "$2" + CUT)
-    parts = F.split(marked, CUT, -1)
-    # before, heading, body, heading, body, ...
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int")), lambda k: F.struct(F.when(k == 0, "").otherwise(strip(F.get(parts, k * 2 - 1))).alias("heading"), strip(F.get(parts, k * 2)).alias("body")))
     whole = F.array(F.struct(F.lit("").alias("heading"), text.alias("body")))
-    return F.when(F.size(parts) == 1, whole).otherwise(F.filter(pairs, lambda s: F.length(s["body"]) > 0))
+
+    def pair(parts: Column) -> Column:
+        # before, heading, body, heading, body, ...
+        name = lambda k: F.when(k == 0, "").otherwise(strip(F.get(parts, k * 2 - 1)))
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int")),
+            lambda k: F.struct(name(k).alias("heading"), strip(F.get(parts, k * 2)).alias("body")),
+        )
+        return F.when(F.size(parts) == 1, whole).otherwise(F.filter(pairs, lambda s: F.length(s["body"]) > 0))
+
+    return let(F.split(marked, CUT, -1), pair)
 
 
 def _level(pieces: Column, sep: str, most: int) -> Column:
     """Pieces that are too long are cut after each ``sep``; blank parts of a cut are dropped."""
 
     def cut(p: Column) -> Column:
-        parts = F.split(p, "\\Q" + sep + "\\E", -1)
-        last = F.size(parts) - 1
-        kept = F.filter(F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit(sep))).otherwise(x)), lambda x: F.length(strip(x)) > 0)
-        return F.when((F.length(p) > most) & p.contains(sep), kept).otherwise(F.array(p))
+        def kept(parts: Column) -> Column:
+            whole = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit(sep))).otherwise(x))
+            return F.filter(whole, lambda x: x.rlike("[^\\s\\x1c-\\x1f]") & (F.length(strip(x)) > 0))
+
+        return F.when((F.length(p) > most) & p.contains(sep), let(F.split(p, "\\Q" + sep + "\\E", -1), kept)).otherwise(F.array(p))
+
+    whole = F.exists(pieces, lambda p: (F.length(p) > most) & p.contains(sep))
+    return F.when(whole, F.flatten(F.transform(pieces, cut))).otherwise(pieces)
+
 
-    return F.flatten(F.transform(pieces, cut))
+def _leveller(sep: str, most: int):
+    return lambda pieces: _level(pieces, sep, most)
 
 
 def _hard(pieces: Column, most: int) -> Column:
@@ -82,38 +100,30 @@ def _merge(pieces: Column, most: int, overlap: int) -> Column:
             F.concat(F.when(full, tail).otherwise(acc["buf"]), p).alias("buf"),
         )
 
-    last = lambda acc: F.when(F.length(strip(acc["buf"])) > 0, F.concat(acc["out"], F.array(strip(acc["buf"])))).otherwise(acc["out"])
-    return F.aggregate(pieces, start, step, last)
+    end = lambda acc: let(strip(acc["buf"]), lambda b: F.when(F.length(b) > 0, F.concat(acc["out"], F.array(b))).otherwise(acc["out"]))
+    return F.aggregate(pieces, start, step, end)
 
 
-def chunk(docs: DataFrame, chunker: Chunker = Chunker(), text: str = "text") -> DataFrame:
-    """``docs`` exploded to chunks: adds ordinal, heading and chunk_text.
-
-    Texts that fit are passed through; only longer ones go through the levels, one
-    projection each, so that no expression is evaluated more than once.
-    """
+def pieces_of(body: Column, chunker: Chunker) -> Column:
+    """The chunk texts of one section. Each step is bound once, so the cost is linear."""
     most = chunker.max_chars
-    parts = sections(F.col(text)) if chunker.respect_headings else F.array(F.struct(F.lit("").alias("heading"), F.col(text).alias("body")))
-    names = docs.columns
-    df = docs.select("*", F.posexplode(parts).alias("_s", "_part")).select("*", F.col("_part.heading").alias("heading"), strip(F.col("_part.body")).alias("_b"))
-    df = df.withColumn("_long", F.length("_b") > most)
-    df = df.withColumn("_p", F.array("_b"))
-    for sep in SEPARATORS:
-        df = df.withColumn("_p", F.when(F.col("_long"), _level(F.col("_p"), sep, most)).otherwise(F.col("_p")))
-    merged = _merge(_hard(F.col("_p"), most), most, chunker.overlap_chars)
-    df = df.withColumn("_c", F.when(F.col("_long"), merged).when(F.length("_b") > 0, F.col("_p")).otherwise(F.array().cast("array<string>")))
-    # ordinals run through the document: a section begins where the earlier ones end
-    if not chunker.respect_headings:
-        return df.select(*names, "heading", F.posexplode("_c").alias("ordinal", "chunk_text"))
-    return df.select(*names, "_s", "heading", F.posexplode("_c").alias("_k", "chunk_text"))
-
-
-def chunk_documents(docs: DataFrame, chunker: Chunker = Chunker(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Chunks with document-wide ordinals. ``key`` must be unique."""
-    from pyspark.sql import Window
-
-    rows = chunk(docs, chunker, text)
-    if "_s" not in rows.columns:
-        return rows
-    place = F.row_number().over(Window.partitionBy(key).orderBy("_s", "_k")) - 1
-    return rows.withColumn("ordinal", place).drop("_s", "_k")
+
+    def split(b: Column) -> Column:
+        pieces = F.array(b)
+        for sep in SEPARATORS:
+            pieces = let(pieces, _leveller(sep, most))
+        return _merge(_hard(pieces, most), most, chunker.overlap_chars)
+
+    none = F.array().cast("array<string>")
+    return let(strip(body), lambda b: F.when(F.length(b) > most, split(b)).when(F.length(b) > 0, F.array(b)).otherwise(none))
+
+
+def chunk(docs: DataFrame, chunker: Chunker = Chunker(), text: str = "text") -> DataFrame:
+    """``docs`` exploded to chunks: adds ordinal (through the document), heading and chunk_text."""
+    one = F.array(F.struct(F.lit("").alias("heading"), F.col(text).alias("body")))
+    parts = sections(F.col(text)) if chunker.respect_headings else one
+    made = F.flatten(
+        F.transform(parts, lambda s: F.transform(pieces_of(s["body"], chunker), lambda c: F.struct(s["heading"].alias("heading"), c.alias("chunk_text"))))
+    )
+    rows = docs.select("*", F.posexplode(made).alias("ordinal", "_c"))
+    return rows.select(*docs.columns, F.col("_c.heading").alias("heading"), "ordinal", F.col("_c.chunk_text").alias("chunk_text"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.lattice import tier_label
-from corvane.operators.chunking import Chunker, chunk_documents
+from corvane.operators.chunking import Chunker, chunk
 from corvane.sources.policy import Policy
 
 
@@ -44,7 +44,7 @@ def new_documents(labelled: DataFrame, registry: DataFrame | None, order: str =
 
 
 def to_chunks(docs: DataFrame, chunker: Chunker = Chunker()) -> DataFrame:
-    rows = chunk_documents(docs, chunker, key="identity")
+    rows = chunk(docs, chunker)
     ident = F.concat(F.col("identity"), F.lit("#"), F.col("ordinal").cast("string"), F.lit(":"), F.substring(F.sha2("chunk_text", 256), 1, 12))
     kept = [F.col("identity").alias("doc_id"), "ordinal", "heading", F.col("chunk_text").alias("text"), "tier", "source_uri", "doc_sha256"]
     if "metadata" in docs.columns:
