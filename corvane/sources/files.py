@@ -30,7 +30,7 @@ def load_directory(spark: SparkSession, root: str, suffixes: tuple[str, ...] = S
     keep = F.lit(False)
     for s in suffixes:
         keep = keep | F.lower("path").endswith(s.lower())
-    rows = files.where(keep).select(F.decode("content", "UTF-8").alias("text"), rel.alias("doc_id"))
+    rows = files.where(keep).select(F.make_valid_utf8(F.col("content").cast("string")).alias("text"), rel.alias("doc_id"))
     return rows.select("text", F.concat(F.lit(prefix), "doc_id").alias("source_uri"), "doc_id", F.create_map(F.lit("path"), "doc_id").alias("metadata")).orderBy("doc_id")
 
 
