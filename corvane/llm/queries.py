@@ -37,7 +37,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +114,67 @@ SELECT doc_id, n_lines, n_dropped, md5(text) AS text_md5 FROM kept
 """
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body))::BIGINT AS n, sha256(body) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS lead_id FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 100 AND lead_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND lead_id <> page_id THEN lead_id END AS refers_to
+FROM f
+"""
+
+_WORDS_SQL = "list_filter(regexp_split_to_array({t}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+NEAR_DEDUP_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS_SQL.format(t=f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')")} AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM g),
+x AS (SELECT doc_id, unnest(s) AS k FROM g),
+same AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM same JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * n_both >= 85 * (p.n + q.n - n_both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM n UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.other)
+SELECT n.doc_id, n.n AS n_shingles, min(other) AS component_id, min(other) = n.doc_id AS kept FROM n JOIN reach ON node = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
+def _fails_sql(x: str) -> str:
+    """A line fails one of the shipped rules."""
+    rules, few = quality_rules.QualityRules(), f"length({x})"
+    marks = lambda m: f"(length({x}) - length(translate({x}, '{m}', '')))"
+    words = f"len({_WORDS_SQL.format(t=x).replace('lambda x: x', 'lambda w: w')})"
+    phrases = " OR ".join(f"contains(lower({x}), '{p}')" for p in quality_rules.BOILERPLATE)
+    return (
+        f"({marks(quality_rules.NOISE_MARKS)} * 100 > {few} * {rules.noise_share} OR ({marks('|')} >= {rules.nav_marks} "
+        f"AND {marks('|')} * 100 >= {words} * {rules.nav_share}) OR {phrases})"
+    )
+
+
+QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {_WORDS_SQL.format(t='t')} AS ws, string_split(t, chr(10)) AS ls FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM r GROUP BY 1),
+l AS (SELECT doc_id, unnest(ls) AS x FROM w),
+b AS (SELECT doc_id, sum(length(array_to_string({_WORDS_SQL.format(t='x').replace('lambda x: x', 'lambda w: w')}, ''))) AS n FROM l WHERE {_fails_sql('x')} GROUP BY 1),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  (length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')))::BIGINT AS n_symbols,
+  list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS full_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(b.n, 0) AS lost
+  FROM w LEFT JOIN c USING (doc_id) LEFT JOIN b USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND lost * 100 <= word_chars * {quality_rules.QualityRules().max_lost_share} AS kept FROM v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries whose full result it can express."""
-    return {"op4_line_dedup": LINE_DEDUP_SQL}
+    return {
+        "op3_near_dedup": NEAR_DEDUP_SQL,
+        "op4_line_dedup": LINE_DEDUP_SQL,
+        "op5_warc": WARC_SQL,
+        "op9_quality_rules": QUALITY_SQL,
+    }
