@@ -38,8 +38,6 @@ from pyspark.sql import functions as F
 
 from corvane.llm.shared import WHITE, cut, key128
 
-#: Up to so many small rows (some 60 bytes each) are sent to every task instead of shuffling texts.
-BROADCAST_ROWS = 100_000
 LINE = ["k1", "k2"]
 
 
@@ -75,10 +73,9 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
 def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """k1, k2, s of the ``wanted`` lines (k1, k2, first), one row per line."""
     at = wanted.select(F.col("first.doc_id").alias("_id"), F.col("first.line_no").alias("_no"))
-    small = at.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     at = at.groupBy("_id").agg(F.collect_list("_no").alias("_lines"))
     rows = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    rows = rows.join(F.broadcast(at) if small else at, F.col("_doc").eqNullSafe(F.col("_id")))
+    rows = rows.join(at.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")))
     rows = rows.select("_lines", F.split("_text", "\n").alias("_all"))
     rows = rows.select(F.explode(F.transform("_lines", lambda i: F.get(F.col("_all"), i))).alias("line"))
     rows = rows.select(F.btrim("line", F.lit(WHITE)).alias("s"))
@@ -143,8 +140,7 @@ def dedup(docs: DataFrame, min_chars: int = 30, id_col: str = "doc_id", text_col
     added = ["n_lines", "n_dropped"]
     base = docs.drop(*[c for c in docs.columns if c.lower() in added])
     lists = dropped_lines(docs, min_chars, id_col, text_col).withColumnRenamed("doc_id", "_id")
-    small = lists.agg(F.sum(F.size("dropped"))).first()[0] or 0
-    rows = base.join(F.broadcast(lists) if small <= BROADCAST_ROWS else lists, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
+    rows = base.join(lists.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
     text = F.col(f"`{text_col}`").cast("string")
     rows = rows.withColumn("_lines", F.split(text, "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "dropped")
