@@ -198,12 +198,12 @@ def choose_voters(found: list[tuple[str, int, int]], cfg: Toxicity) -> dict[str,
 
 def fit(texts: DataFrame, n_toxic: int, n_clean: int, cfg: Toxicity = Toxicity()) -> Model:
     """The model, from the sample ``texts`` (text, toxic 0 or 1) of a fold with so many rows."""
-    if not n_toxic or not n_clean:
+    sizes = texts.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
+    p, n = int(sizes["p"] or 0), int(sizes["n"])
+    if not n_toxic or not n_clean or not p or p == n:
         voters = choose_voters([], cfg)
         return Model(voters, np.full(len(voters), 4.0), -2.5)
     counts = texts.mapInArrow(_mine, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    sizes = texts.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
-    p, n = int(sizes["p"]), int(sizes["n"])
     lift = (F.col("toxic") / F.lit(p)) / ((F.col("clean") + 1) / F.lit(max(n - p, 1)))
     strong = counts.where((F.col("toxic") >= cfg.min_texts) & (lift >= cfg.min_lift))
     best = strong.orderBy((F.col("toxic") * F.ln(lift)).desc(), F.length("feature").desc(), "feature").limit(4 * cfg.max_voters)
