@@ -596,11 +596,11 @@ COUNTS_SQL = """SELECT lang, count(*) FILTER (WHERE quality = 0 AND toxic = 1) A
     u AS (SELECT lang, unnest(range(0, s + 1)) AS i, n FROM t),
     p AS (SELECT lang, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) * 2 AS p FROM u GROUP BY 1)
     SELECT t.lang, n_both AS "both", only_a, only_b, neither, round((n_both + only_b) / (n_both + n + neither) - (n_both + only_a) / (n_both + n + neither), 9) AS difference,
-      round(CASE WHEN n = 0 THEN 1 ELSE least(1, p) END, 9) AS p_value, n < 6 AS underpowered FROM t JOIN p USING (lang)""",
+      round(CASE WHEN n = 0 THEN 1 ELSE least(1, p) END + 1e-12, 9) AS p_value, n < 6 AS underpowered FROM t JOIN p USING (lang)""",
 )
 def _(spark, sf_dir):
     rows = evaluation.pair_counts(outcomes(spark, sf_dir), ["lang"])
-    return rows.select("lang", "both", "only_a", "only_b", "neither", F.round("difference", 9).alias("difference"), F.round("p_value", 9).alias("p_value"), "underpowered")
+    return rows.select("lang", "both", "only_a", "only_b", "neither", F.round("difference", 9).alias("difference"), F.round(F.col("p_value") + 1e-12, 9).alias("p_value"), "underpowered")
 
 
 @query("cluster_rates", "SELECT source AS cluster, count(*) AS n, round(avg((quality = 0)::INT), 9) AS rate_a, round(avg((toxic = 1)::INT), 9) AS rate_b FROM labels JOIN documents USING (doc_id) GROUP BY 1")
