@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import cut, remove
+from corvane.llm.shared import cut
+
+#: Up to so many links (16 bytes each) are solved by one task; more go through star rounds.
+ONE_TASK = 2_000_000
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links of one task to the smallest node reachable from each."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts))
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        # the roots of both ends sink to the lower root
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(jumped := new[new], new):
+            new = jumped
+        if np.array_equal(new, label):
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """node and component (the smallest node reachable) for every node of ``links`` (a, b).
 
-    Alternates large-star and small-star steps: each node's larger (then smaller)
+    Few links are solved in one task of bounded size. Otherwise this alternates large-star and small-star steps: each node's larger (then smaller)
     neighbours are linked to its smallest neighbour, until nothing changes. Every
     step is one aggregation and one join; its result is written to the shared folder.
     A node with very many neighbours only contributes its minimum to the join, and
     adaptive execution splits its rows.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    if edges.count() <= one_task:
+        return edges.coalesce(1).mapInArrow(_solve, "node long, component long")
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
