@@ -16,8 +16,8 @@ just more rows: blocks are dealt by a hash of the id.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite
 component take no part; only vectors of equal length are compared; no row with the
-query's own id is returned to it; rows that repeat an id and a vector count once;
-an empty table gives an empty result; other columns are ignored.
+query's own id is returned to it; rows that repeat an id and a vector count once, and
+so do rows of one id with equal scores; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     df = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
-    return df.where(fine)
+    return df.where(fine).distinct()
 
 
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +73,9 @@ def tile(k: int):
             return empty
         qid, q = _matrix(queries)
         cid, c = _matrix(rows)
+        by_id = np.argsort(cid, kind="stable")
+        cid, c = cid[by_id], c[by_id]
+        new_id = np.flatnonzero(np.append(True, cid[1:] != cid[:-1]))  # an id's rows count once for the k-th bound
         qc, qs, qe = _quantise(q)
         cc, cs, ce = _quantise(c)
         cf = cc.astype(np.float32).T  # products of int8 codes are whole numbers below 2^24: exact in float32
@@ -82,12 +85,15 @@ def tile(k: int):
             rough = (qc[part].astype(np.float32) @ cf) * (qs[part, None] * cs[None, :])
             slack = qe[part, None] + ce[None, :] + qe[part, None] * ce[None, :] + 1e-9
             own = qid[part, None] == cid[None, :]
-            low = np.where(own, -np.inf, rough - slack)
+            low = np.maximum.reduceat(np.where(own, -np.inf, rough - slack), new_id, axis=1)
             kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
             i, j = np.nonzero((rough + slack >= kth[:, None]) & ~own)
             score = np.concatenate([exact_cosine(q[part][i[b : b + 65536]], c[j[b : b + 65536]]) for b in range(0, len(i), 65536)] or [np.empty(0)])
             order = np.lexsort((cid[j], -score, i))
             i, j, score = i[order], j[order], score[order]
+            again = (i[1:] == i[:-1]) & (cid[j[1:]] == cid[j[:-1]]) & (score[1:] == score[:-1])
+            once = np.append(True, ~again)[: len(i)]
+            i, j, score = i[once], j[once], score[once]
             first = np.searchsorted(i, i)  # where the query's run begins
             keep = np.arange(len(i)) - first < k
             found_q.append(qid[part][i[keep]])

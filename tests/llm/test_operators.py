@@ -319,6 +319,22 @@ def test_search_is_exact(spark):
     assert vector_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_counts_repeated_ids_once(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 8))
+    close = base[0] + rng.normal(size=8) / 100
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(40, close.tolist())] * 7
+    rows += [(41, (close * 2**k * 1.5).tolist()) for k in range(7)] + [(0, base[0].tolist())] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in vector_search.search(df, df.where("vec_id = 0"), 5).collect())
+    best = {}
+    for i, v in rows:
+        v = np.array(v)
+        best[i] = float((base[0] * v).sum() / (np.sqrt((base[0] ** 2).sum()) * np.sqrt((v**2).sum())))
+    want = sorted((i for i in best if i), key=lambda i: (-round(best[i], 9), i))[:5]
+    assert {i for _, i in got} == set(want) and len(got) == 5
+
+
 def test_mixing_meets_budgets(docs, spark, empty):
     rng = random.Random(8)
     rows = [(k, prose(rng, rng.randrange(5, 40)), "hot" if k % 3 else f"s{k % 4}") for k in range(600)]
