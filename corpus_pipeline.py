@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from corvane.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from corvane.llm.shared import WHITE, new_path
 
-#: No document repeats: the mix takes whole documents of each source at most once.
+#: No document repeats: the mix takes whole documents of each source at most once, and
+#: at least nine tenths of all tokens (``least``), however scarce a source is.
 MIX = mixing.Mix(target_entropy=0.95, max_repeat=1.0, budget=None)
 
 

@@ -3,7 +3,9 @@
 The share of a source's tokens is raised to an exponent t in [0, 1] and normalised:
 t = 1 keeps the natural shares, t = 0 makes sources equal. The exponent is bisected
 until the weights reach a target entropy, and raised where needed so that, at the
-given budget of tokens, no source repeats more than ``max_repeat`` times.
+given budget of tokens, no source repeats more than ``max_repeat`` times. Without a
+given budget it is raised until the budget that ``max_repeat`` allows is at least
+``least`` of all tokens, so that a scarce source cannot shrink the whole mix.
 
 The weights are realised as budgeted block permutations: a source's documents fall
 into blocks by a hash, the blocks are put into a seeded order, documents into a
@@ -40,12 +42,13 @@ BLOCK_ROWS = 4096
 class Mix:
     """target_entropy: share of the largest possible entropy. budget: tokens to
     realise as a share of all tokens; None: the largest that ``max_repeat`` allows
-    at the target weights (at most all)."""
+    at the weights (at most all). least: the share that this may not fall below."""
 
     target_entropy: float = 0.95
     max_repeat: float = 4.0
     budget: float | None = 1.0
     seed: int = 7
+    least: float = 0.9
 
 
 def profile(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
@@ -88,11 +91,9 @@ def exponent(sources: DataFrame, mix: Mix) -> float:
     if n < 2:
         return 1.0
     at = bisect(sources, lambda entropy, _: entropy >= mix.target_entropy * math.log(n))
-    if mix.budget is not None:
-        above = lambda _, ratio: mix.budget * ratio > mix.max_repeat
-        calm = bisect(sources, above)
-        at = max(at, calm)
-    return at
+    floor = mix.budget if mix.budget is not None else min(mix.least, mix.max_repeat)
+    above = lambda _, ratio: floor * ratio > mix.max_repeat
+    return max(at, bisect(sources, above))
 
 
 def spread(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):

@@ -358,6 +358,17 @@ def test_mixing_meets_budgets(docs, spark, empty):
     assert mixing.apply(empty, mixing.Mix()).count() == 0
 
 
+def test_a_stray_source_does_not_shrink_the_mix(spark):
+    rows = [(k, "a b c d e f g h i", "hot" if k % 3 == 0 else f"s{k % 7}") for k in range(3000)] + [(3000, "a b", "stray"), (3001, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, sources = mixing.spread(df, mixing.Mix(target_entropy=0.95, max_repeat=1.0, budget=None))
+    got = plan.collect()
+    assert {r["copies"] for r in got} == {0, 1}
+    assert sum(r["copies"] * r["n_tokens"] for r in got) >= 0.899 * sum(r["n_tokens"] for r in got)
+    parts = {r["source"]: (r["budget"], r["tokens"]) for r in sources.collect()}
+    assert all(0 < b <= n for b, n in parts.values()) and parts["hot"][0] > 0.7 * parts["hot"][1]
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     rng = random.Random(6)
     rows, labels = [], []
