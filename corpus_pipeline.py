@@ -40,7 +40,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; a document left without words goes."""
-    rows = line_dedup.dedup(docs)
+    rows = line_dedup.dedup(docs, exact_chars=1)
     empty = F.length(F.btrim("text", F.lit(WHITE))) == 0
     return _with_text(docs, rows.where((F.col("n_dropped") == 0) | ~F.coalesce(empty, F.lit(False))))
 

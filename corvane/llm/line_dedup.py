@@ -2,8 +2,9 @@
 
 A line is dropped if an earlier line of the corpus (by document id, then line
 number) is equal to it or within one edit (an inserted, deleted or changed
-character). Lines are compared without the white space around them; lines shorter
-than ``min_chars`` are left alone.
+character). Lines are compared without the white space around them. Lines shorter
+than ``min_chars`` are dropped for equality alone, from ``exact_chars`` characters on;
+shorter ones are left alone (by default all that are shorter than ``min_chars``).
 
 Two texts within one edit share a variant: the one of length m that is left when at
 most one character is deleted from each. A line of n characters has n variants of
@@ -63,11 +64,11 @@ def shared_only(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(often, key, "left_semi")
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """doc_id, line_no, s (the trimmed line), n for each line that takes part."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line_no", "line"))
     rows = rows.select("doc_id", "line_no", F.btrim("line", F.lit(WHITE)).alias("s"))
-    return rows.withColumn("n", F.length("s")).where(F.col("n") >= min_chars)
+    return rows.withColumn("n", F.length("s")).where(F.col("n") >= least)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -119,11 +120,16 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
     return checked.where(F.levenshtein("s", "other", 1).between(0, 1)).select(*LINE).distinct()
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(
+    docs: DataFrame, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None
+) -> DataFrame:
     """doc_id and dropped (the numbers, from 0, of its lines to drop, ascending)."""
-    rows = lines_of(docs, id_col, text_col, min_chars)
+    rows = lines_of(docs, id_col, text_col, min_chars if exact_chars is None else min(exact_chars, min_chars))
     k1, k2 = key128(F.col("s"))
-    found = cut(rows.select("doc_id", "line_no", k1.alias("k1"), k2.alias("k2"), half_keys(F.col("s"), F.col("n")).alias("halves")), "line-rows")
+    halves = half_keys(F.col("s"), F.col("n"))
+    if exact_chars is not None:
+        halves = F.when(F.col("n") >= min_chars, halves)
+    found = cut(rows.select("doc_id", "line_no", k1.alias("k1"), k2.alias("k2"), halves.alias("halves")), "line-rows")
     place = F.struct("doc_id", "line_no")
     distinct = found.groupBy(*LINE).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("halves").alias("halves"))
     distinct = cut(distinct, "line-distinct")
@@ -135,11 +141,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = 30, id_col: str = "doc_id",
     return cut(lists, "line-drops")
 
 
-def dedup(docs: DataFrame, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(
+    docs: DataFrame, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None
+) -> DataFrame:
     """``docs`` with the text without dropped lines, n_lines and n_dropped (long)."""
     added = ["n_lines", "n_dropped"]
     base = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    lists = dropped_lines(docs, min_chars, id_col, text_col).withColumnRenamed("doc_id", "_id")
+    lists = dropped_lines(docs, min_chars, id_col, text_col, exact_chars).withColumnRenamed("doc_id", "_id")
     rows = base.join(lists.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
     text = F.col(f"`{text_col}`").cast("string")
     rows = rows.withColumn("_lines", F.split(text, "\n"))

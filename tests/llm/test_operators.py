@@ -137,6 +137,19 @@ def test_line_dedup_matches_brute_force(spark, docs, texts, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_short_lines_drop_exact_copies(spark):
+    import corpus_pipeline
+
+    long = "A line that is longer than thirty characters, number "
+    texts = ["Home\n" + long + "one", "Home \n\nhome\n" + long + "two\nHome", None, "\n\n" + long + "ten", "短い文です。\n", "短い文です。\nHome\nHone", "Home"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [texts[0], "\nhome\n" + long + "two", None, "\n" * 2 + long + "ten", texts[4], "Hone", ""]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, exact_chars=1).collect()}
+    assert got == dict(enumerate(want))
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, df, "").collect()}
+    assert kept == {i: t for i, t in got.items() if i != 6}
+
+
 def brute_components(rows, percent=85):
     sets = []
     for i, t in rows:
