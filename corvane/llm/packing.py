@@ -6,7 +6,7 @@ left is a histogram of piece lengths: at most ``capacity`` numbers, whatever the
 corpus. On it the driver solves the configuration LP (use the fewest sequences, each
 filled by some multiset of lengths) by multiplicative weights: lengths carry prices,
 a knapsack dynamic programme finds the best-priced configuration, and its lengths
-become cheaper. The fractional solution is rounded down and the small remainder is
+become cheaper. The fractional solution is rounded down and what that leaves over is
 placed best-fit. The configurations are then dealt to pieces by their rank among the
 pieces of the same length.
 
@@ -129,80 +129,82 @@ def cutter(vocabulary: str, capacity: int, end_id: int):
 
 
 def knapsack(price: np.ndarray, available: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths within ``capacity`` that is worth most, by dynamic
+    """A multiset of lengths within ``capacity`` that is worth most, by dynamic
     programming over the filled length; no length more often than it is available.
 
-    Counts are split into powers of two, so that each length costs a few vector steps.
+    A fill's last length is the one worth most together with the best of the room left.
+    A length that the best there has used up already gives way to the next in worth, so
+    only for lengths too scarce to fill ``capacity`` alone may a better multiset exist.
     """
-    best = np.zeros(capacity + 1)
-    trace: list[tuple[int, int, np.ndarray]] = []
-    for size in np.nonzero(available)[0]:
-        most = int(min(available[size], capacity // size))
-        chunk = 1
-        while most > 0:
-            take = min(chunk, most)
-            weight = int(take * size)
-            if weight > capacity:
-                break
-            with_it = best[: capacity + 1 - weight] + take * price[size]
-            better = np.zeros(capacity + 1, dtype=bool)
-            better[weight:] = with_it > best[weight:]
-            best[weight:] = np.maximum(best[weight:], with_it)
-            trace.append((int(size), take, better))
-            most, chunk = most - take, chunk * 2
-    at, out = int(best.argmax()), {}
-    for size, take, better in reversed(trace):
-        if better[at]:
-            out[size] = out.get(size, 0) + take
-            at -= size * take
+    reverse = np.where(available > 0, price, -np.inf)[::-1].copy()
+    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    for filled in range(1, capacity + 1):
+        worth = best[:filled] + reverse[capacity - filled : capacity]
+        best[filled] = best[filled - 1]
+        while (value := worth[k := int(worth.argmax())]) > best[filled]:
+            size = filled - k
+            if (available[size] + 1) * size <= filled and parts(last, k).get(size, 0) >= available[size]:
+                worth[k] = -np.inf
+                continue
+            best[filled], last[filled] = value, size
+            break
+    return parts(last, capacity)
+
+
+def parts(last: np.ndarray, filled: int) -> dict[int, int]:
+    """The lengths of the best fill and how often; ``last`` is 0 where a place stays free."""
+    out: dict[int, int] = {}
+    while filled > 0:
+        size = int(last[filled])
+        if size:
+            out[size] = out.get(size, 0) + 1
+        filled -= size or 1
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 300, step: float = 4.0) -> list[tuple[dict[int, int], int]]:
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 4000, step: float = 4.0) -> list[tuple[dict[int, int], int]]:
     """Configurations and how often each is used; every piece is covered exactly once.
 
     The covering LP by multiplicative weights: a length's price falls exponentially
     with the share of its demand covered so far; the knapsack prices a configuration
-    (each round over a random part of the lengths, to keep its table small); the
-    configuration is used for a share of its scarcest length. The uses are rounded
-    down, fullest first, and the rest goes best-fit. Best-fit alone is the other
-    candidate: the plan of fewer sequences is returned.
+    over all lengths; it is used as often as its scarcest length allows. Rounds end
+    when every length is covered (or after ``rounds``). The uses are rounded down,
+    fullest first, and only what that leaves over goes best-fit.
     """
     demand = np.zeros(capacity + 1, dtype=np.int64)
     for size, n in histogram.items():
         demand[size] += n
     full = [({capacity: 1}, int(demand[capacity]))] if demand[capacity] else []
     demand[capacity] = 0
-    greedy = best_fit(demand, capacity)
+    left, plan = demand.copy(), []
+    for key, use in relaxed(demand, capacity, rounds, step):
+        n = int(min([use, *(left[s] // c for s, c in key)]))
+        if n > 0:
+            plan.append((dict(key), n))
+            for s, c in key:
+                left[s] -= n * c
+    return full + plan + best_fit(left, capacity)
+
+
+def relaxed(demand: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[tuple, float]]:
+    """The fractional solution: configurations and their uses, fullest first."""
     present = np.nonzero(demand)[0]
-    if demand.sum() < 1000 or not present.size:
-        return full + greedy
     sizes = np.arange(capacity + 1)
     covered = np.zeros(capacity + 1)
     uses: dict[tuple, float] = {}
-    rng = np.random.default_rng(0)
-    for _ in range(rounds):
+    for _ in range(rounds if present.size else 0):
         share = covered[present] / demand[present]
+        if share.min() >= 1:
+            break
         price = np.zeros(capacity + 1)
         price[present] = sizes[present] * np.exp(-step * (share - share.min()))
-        offered = np.zeros(capacity + 1, dtype=np.int64)
-        chosen = rng.choice(present, size=min(96, present.size), replace=False)
-        offered[chosen] = demand[chosen]
-        config = knapsack(price, offered, capacity)
-        use = min(demand[s] / n for s, n in config.items()) / 4
+        config = knapsack(price, demand, capacity)
+        use = min(demand[s] / n for s, n in config.items())
         key = tuple(sorted(config.items()))
         uses[key] = uses.get(key, 0.0) + use
         for s, n in config.items():
             covered[s] += n * use
-    left, plan = demand.copy(), []
-    for key, use in sorted(uses.items(), key=lambda x: (-sum(s * n for s, n in x[0]), -x[1])):
-        n = int(min([use, *(left[s] // c for s, c in key)]))
-        if n > 0:
-            plan.append((dict(key), n))
-            for s, c in key:
-                left[s] -= n * c
-    plan += best_fit(left, capacity)
-    return full + min(greedy, plan, key=lambda x: sum(n for _, n in x))
+    return sorted(uses.items(), key=lambda x: (-sum(s * n for s, n in x[0]), -x[1]))
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:

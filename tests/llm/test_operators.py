@@ -314,6 +314,28 @@ def test_packing_plan_covers_the_histogram():
     assert sum(n for _, n in plan) <= math.ceil(sum(s * n for s, n in histogram.items()) / 512) * 1.01
 
 
+def test_packing_returns_the_rounded_lp_plan():
+    rng = np.random.default_rng(6)
+    for pieces, capacity, most in ((20_000, 512, 1.01), (300, 128, 1.05)):
+        histogram = dict(Counter(int(x) for x in rng.integers(1, capacity, pieces)))
+        demand = np.zeros(capacity + 1, dtype=np.int64)
+        for s, n in histogram.items():
+            demand[s] = n
+        uses = packing.relaxed(demand, capacity, 4000, 4.0)
+        covered = Counter()
+        for key, use in uses:
+            assert sum(s * c for s, c in key) <= capacity and all(c <= demand[s] for s, c in key)
+            for s, c in key:
+                covered[s] += c * use
+        assert all(covered[s] >= n - 1e-9 for s, n in histogram.items())
+        plan = packing.solve(histogram, capacity)
+        chosen = {key for key, _ in uses}
+        by_lp = sum(n for config, n in plan if tuple(sorted(config.items())) in chosen)
+        total = sum(n for _, n in plan)
+        assert by_lp > total / 2
+        assert total <= math.ceil(sum(s * n for s, n in histogram.items()) / capacity) * most
+
+
 def test_search_is_exact(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(300, 16)).astype(np.float32)
