@@ -78,6 +78,21 @@ def test_quality_verdict_removes_lines_first(spark):
     assert not got[1]["kept"] and got[2]["kept"] and got[2]["clean_text"] == good
 
 
+def test_boilerplate_fails_short_lines_and_whole_words_only(spark):
+    rng = random.Random(12)
+    good = prose(rng, 90)
+    texts = [
+        good + " the cookie recipe holds the copyright notice of my javascript book " + prose(rng, 60),
+        f"{good}\nThe catalog in the dialog informs a blog in print",
+        f"{good}\nWe use cookies. Log in or sign up",
+        f"{good}\n" + "click here to read more, subscribe now! " * 4,
+        f"{good}\nCOPYRIGHT 2020",
+    ]
+    got = {r["doc_id"]: r for r in quality_rules.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i]["kept"] for i in range(5))
+    assert [got[i]["clean_text"] for i in range(5)] == [texts[0], texts[1], good, good, good]
+
+
 def test_sharding_is_balanced_and_keeps_copies_together(docs, texts, empty):
     got = sharding.shard(docs, 4).collect()
     assert len(got) == len(texts)
