@@ -5,32 +5,40 @@ A document's set holds its distinct five-word shingles. ``FUNCTIONS`` minwise to
 each of ``trees`` independent trees the documents start at the root; a node branches
 its documents by the minwise token at one or two positions that a hash of the node
 chooses, so that two documents at the threshold share a little more than one branch
-per level on average. A node with at most ``small`` documents is compared exhaustively; a larger one
-links its documents to two pivots and is branched further.
-
-Candidate pairs are held against sketches (four bits of each token) and set sizes,
-then confirmed on full sets: first each document with its most similar earlier
-candidate, which settles most groups with one comparison per document, then the pairs
-that still join different components. Larger nodes are then followed down, ``levels``
+per level on average. A node with at most ``small`` documents is compared exhaustively;
+a larger one links its documents to two pivots and is branched further.
+
+In a small node all pairs are held against sizes and sketches (four bits of each token).
+What hangs together by the pairs left is a candidate group; the same group in several
+nodes and trees counts once. Groups are confirmed on full sets inside one task each, so
+no table of pairs is ever made and a group sends at most a spanning forest of links.
+First each document is compared in its largest group, which settles most; then the
+groups that still hold several components. Large nodes are followed down, ``levels``
 levels a round, as long as they hold more than one component: what is of one component
-has nothing left to find. Nodes that never get small are compared across components,
-so that no link inside them is lost.
+has nothing left to find. Nodes still large at ``depth`` are compared exhaustively, in
+blocks, so that no link inside them is lost.
 
 Scale: texts are read once for sketches and once more for the documents with a
-candidate; equal sets are one class throughout; nodes with one document drop out
-level by level; no node's documents are gathered in one task, and pairs are made only
-inside small nodes, with pivots, or across components. Components are computed on
-tables (see graph.py).
-
-Recall: a pair at the threshold meets in a small first-level node of a tree with
-probability 0.89, so 12 trees miss it once in 10^11 times; if its nodes never get small
-it still shares a path of any depth in half of the trees (missed once in 4,000 times; at
-a similarity of 0.9 once in 10^6).
+candidate; equal sets are one class throughout; nodes with one document drop out level
+by level; no large node's documents are gathered in one task; what a round makes is
+bounded by documents times nodes, not by pairs. Components are computed on tables (see
+graph.py).
+
+Recall: a pair at the threshold meets in a first-level node of a tree with probability
+0.89. All trees choose among the same 128 tokens; averaged over how many of them agree,
+twelve trees miss such a pair with probability 10^-9 where its nodes are small at
+once. Deeper nodes hold it with less: about 0.6 per tree after nine levels, 0.46 at any
+depth, so that twelve trees miss it with 0.0006 at the threshold if its nodes never
+get small, and far more rarely at higher similarity; another document linked with both
+makes up for a missed pair. The sketches' test loses a pair at the threshold with a
+probability of 4 in a million.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with
-nothing; a text of fewer than five words is one shingle; rows that repeat an id are one
-document, linked by any of its texts; a null id is a component of its own (null), kept;
-an empty table gives an empty result; other columns are ignored.
+nothing; a text of fewer than five words is one shingle; a very long text is one set
+like any other (about 8 bytes a word, whole in one task); texts with equal sets tie and
+keep the smallest id; rows that repeat an id are one document, linked by any of its
+texts; a null id is a component of its own (null), kept; an empty table gives an empty
+result; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -42,11 +50,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.graph import components
-from corvane.llm.shared import cut
+from corvane.llm.shared import cut, free_name
 
 FUNCTIONS = 128
 SHINGLE = 5
@@ -54,16 +62,17 @@ SHINGLE = 5
 REMEMBERED = 1_000_000
 #: A pair is held against its sets unless its sketches agree less than this many
 #: standard deviations below what is expected at the threshold.
-DEVIATIONS = 5
+DEVIATIONS = 4.5
 
 
 @dataclass(frozen=True)
 class NearDedup:
     percent: int = 85
     trees: int = 12
-    rounds: int = 8
-    levels: int = 3
-    small: int = 24
+    levels: int = 2
+    depth: int = 21
+    small: int = 64
+    block: int = 512
     seed: int = 1
 
     @property
@@ -194,25 +203,6 @@ def _descend(cfg: NearDedup, level: int):
     return run
 
 
-def _alike(cfg: NearDedup, a: str = "", b: str = "o_") -> tuple[Column, Column]:
-    """Four-bit tokens that agree, and whether sizes and sketches leave a link possible."""
-    n, o = F.col(f"{a}n_shingles"), F.col(f"{b}n_shingles")
-    sized = F.least(n, o) * 100 >= F.greatest(n, o) * cfg.percent
-    agree = F.lit(0)
-    for k in range(FUNCTIONS // 16):
-        x = F.get(F.col(f"{a}bits"), F.lit(k)).bitwiseXOR(F.get(F.col(f"{b}bits"), F.lit(k)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        agree = agree + F.bit_count(F.bitwise_not(x).bitwiseAND(F.lit(0x1111111111111111)))
-    p = cfg.percent / 100 + (1 - cfg.percent / 100) / 16
-    least = FUNCTIONS * p - DEVIATIONS * (FUNCTIONS * p * (1 - p)) ** 0.5
-    return agree, sized & (agree >= int(least))
-
-
-def _other(df: DataFrame, keep: list[str]) -> DataFrame:
-    return df.select(*keep, *[F.col(c).alias(f"o_{c}") for c in df.columns if c not in keep])
-
-
 def _nodes(rows: DataFrame, about: DataFrame) -> DataFrame:
     """Members of the nodes with two documents or more: node, doc_id, what ``about`` has, members, pivots."""
     rows = cut(rows.distinct(), "near-nodes")
@@ -220,50 +210,90 @@ def _nodes(rows: DataFrame, about: DataFrame) -> DataFrame:
     return cut(rows.join(sizes.where("members > 1"), "node").join(about, "doc_id"), "near-members")
 
 
-def _pairs(rows: DataFrame, agree: Column) -> DataFrame:
-    return rows.select(F.least("doc_id", "o_doc_id").alias("a"), F.greatest("doc_id", "o_doc_id").alias("b"), agree.alias("agree"))
-
-
-def first_pairs(members: DataFrame, cfg: NearDedup) -> DataFrame:
-    """Candidates (a < b, agree) of the first level: all pairs of small nodes, and each
-    document of a larger node with the node's two pivots."""
-    agree, possible = _alike(cfg)
-    keys = ["node", "doc_id", "n_shingles", "bits"]
-    few = members.where(F.col("members") <= cfg.small).select(*keys)
-    out = _pairs(few.join(_other(few, ["node"]), "node").where("doc_id < o_doc_id").where(possible), agree)
-    many = members.where(F.col("members") > cfg.small)
-    for pivot in ("pivot", "pivot2"):
-        hub = _other(many.where(F.col("doc_id") == F.col(pivot)).select(*keys).distinct(), ["node"])
-        out = out.unionByName(_pairs(many.join(hub, "node").where("doc_id <> o_doc_id").where(possible), agree))
-    return cut(out.groupBy("a", "b").agg(F.max("agree").alias("agree")), "near-pairs")
-
+def _least_agreement(cfg: NearDedup) -> int:
+    """Four-bit tokens that a pair at the threshold has in common, less the deviations."""
+    p = cfg.percent / 100 + (1 - cfg.percent / 100) / 16
+    return int(FUNCTIONS * p - DEVIATIONS * (FUNCTIONS * p * (1 - p)) ** 0.5)
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many four-bit tokens agree, row by row, of sketches with sixteen of them a word."""
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(~x & np.uint64(0x1111111111111111)).sum(axis=1)
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each of ``n`` rows is connected with by the links a, b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(jumped := new[new], new):
+            new = jumped
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches sorted by ``key``, dealt anew so that no group is split."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        keys = t.column(key).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1], side="left"))
+        if last:
+            yield t.slice(0, last)
+        held = t.slice(last)
+    if held is not None:
+        yield held
+
+
+def _candidates(cfg: NearDedup):
+    """Rows of small nodes, sorted by node, to groups of documents worth a full comparison.
+
+    Inside a node all pairs across labels are held against sizes and sketches; what hangs
+    together by the pairs left is a group, whose key is a hash of its documents: the
+    same group found in other nodes and trees is one.
+    """
+    least = _least_agreement(cfg)
 
-def deeper_pairs(large: DataFrame, about: DataFrame, sketches: DataFrame, cfg: NearDedup) -> DataFrame | None:
-    """Candidates (a < b) across components in the nodes below ``large`` (node, doc_id, label).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, "node"):
+            node, doc, n, label = (t.column(c).to_numpy() for c in ("node", "doc_id", "n_shingles", "label"))
+            bits = t.column("bits").combine_chunks()
+            bits = bits.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+            left, right = [], []
+            for d in range(1, len(node)):
+                i = np.nonzero(node[d:] == node[:-d])[0]
+                if not len(i):
+                    break
+                j = i + d
+                fits = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * cfg.percent) & (label[i] != label[j])
+                i, j = i[fits], j[fits]
+                for at in range(0, len(i), 1 << 18):
+                    p, q = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+                    good = _agreement(bits[p], bits[q]) >= least
+                    left.append(p[good])
+                    right.append(q[good])
+            if not left:
+                continue
+            a, b = np.concatenate(left), np.concatenate(right)
+            root = _roots(len(node), a, b)
+            rows = np.unique(np.concatenate([a, b]))
+            group, at, size = np.unique(root[rows], return_inverse=True, return_counts=True)
+            total = np.zeros(len(group), np.uint64)
+            np.add.at(total, at, _mix(doc[rows].view(np.uint64) + np.uint64(77)))
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(total)[at].view(np.int64)), pa.array(doc[rows]), pa.array(size[at].astype(np.int64))], names=["key", "doc_id", "size"])
 
-    Round by round, nodes of one component are left, small nodes compared, larger ones
-    branched further. What is still large at the end is compared across components.
-    """
-    _, possible = _alike(cfg)
-    keys = ["node", "doc_id", "n_shingles", "bits", "label"]
-    found = None
-    for k in range(cfg.rounds + 1):
-        mixed = large.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node")
-        large = cut(large.join(mixed, "node", "left_semi").select(*keys), "near-large")
-        if large.limit(1).count() == 0:
-            break
-        if k == cfg.rounds:
-            few = large
-        else:
-            held = large.select("doc_id", "node").join(sketches, "doc_id")
-            rows = held.select("doc_id", "node", "sig").mapInPandas(_descend(cfg, 1 + k * cfg.levels), "doc_id long, node long")
-            members = _nodes(rows, about)
-            few = members.where(F.col("members") <= cfg.small).select(*keys)
-            large = members.where(F.col("members") > cfg.small).select(*keys)
-        pairs = few.join(_other(few, ["node"]), "node").where("label < o_label").where(possible)
-        pairs = pairs.select(F.least("doc_id", "o_doc_id").alias("a"), F.greatest("doc_id", "o_doc_id").alias("b"))
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,63 +306,158 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _confirm(percent: int):
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of some sets share.
+
+    Elements of all sets are counted once; those of one set alone do not count; the rest
+    is a product of 0/1 matrices, taken in slices of bounded size.
+    """
+    n = len(sets)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.append(True, values[1:] != values[:-1])
+    column = np.cumsum(first) - 1
+    often = np.diff(np.append(np.nonzero(first)[0], len(values)))
+    out = np.full((n, n), float((often == n).sum()))
+    some = (often > 1) & (often < n)
+    number = np.cumsum(some) - 1
+    use = some[column]
+    column, owner = number[column[use]], owner[use]
+    width = max(1024, (1 << 22) // n)
+    ends = np.searchsorted(column, np.arange(0, int(some.sum()) + width, width))
+    for k, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
+        m = np.zeros((n, width), np.float32)
+        m[owner[lo:hi], column[lo:hi] - k * width] = 1
+        out += m @ m.T
+    return out
+
+
+def _compare(percent: int):
+    """Groups (key, doc_id, label, shingles), sorted by key, to links that span what full sets link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            last, x = None, None
-            for i in range(batch.num_rows):
-                raw = batch.column(2)[i].as_buffer()
-                if last is None or not raw.equals(last):
-                    last, x = raw, np.frombuffer(raw, np.uint64)
-                y = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= percent * (len(both) - inter))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for t in _whole_groups(batches, "key"):
+            key, doc, label = (t.column(c).to_numpy() for c in ("key", "doc_id", "label"))
+            raw = t.column("shingles").combine_chunks()
+            out_a, out_b = [], []
+            ends = np.append(np.nonzero(np.append(True, key[1:] != key[:-1]))[0], len(key))
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                if hi - lo < 2 or (label[lo:hi] == label[lo]).all():
+                    continue
+                sets = [np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in range(lo, hi)]
+                both, size = common(sets), np.array([len(s) for s in sets], float)
+                i, j = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+                root = _roots(hi - lo, i, j)
+                moved = np.nonzero(root != np.arange(hi - lo))[0]
+                out_a.append(doc[lo + root[moved]])
+                out_b.append(doc[lo + moved])
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, cfg: NearDedup) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    left = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_confirm(cfg.percent), "a long, b long")
+def compared(groups: DataFrame, sets: DataFrame, cfg: NearDedup) -> DataFrame:
+    """Links (a, b) inside groups (key, doc_id, label) of bounded size, by full sets."""
+    rows = groups.join(sets.select("doc_id", "shingles"), "doc_id").select("key", "doc_id", "label", "shingles")
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_compare(cfg.percent), "a long, b long")
 
 
-def _labelled(df: DataFrame, col: str, labels: DataFrame, name: str) -> DataFrame:
-    named = labels.select(F.col("node").alias(col), F.col("component").alias(name))
-    return df.join(named, col, "left").withColumn(name, F.coalesce(name, col))
+def small_groups(members: DataFrame, cfg: NearDedup) -> DataFrame:
+    """key, doc_id, size: the candidate groups of the nodes that are small, each once."""
+    few = members.where(F.col("members") <= cfg.small).select("node", "doc_id", "n_shingles", "bits", "label")
+    rows = few.repartition("node").sortWithinPartitions("node").mapInArrow(_candidates(cfg), "key long, doc_id long, size long")
+    return cut(rows.distinct(), "near-groups")
+
+
+def pivot_groups(members: DataFrame, cfg: NearDedup) -> DataFrame:
+    """a, b: each document of a large node with the pivot of another label it agrees with most."""
+    many = members.where(F.col("members") > cfg.small)
+    keys = ["node", "doc_id", "n_shingles", "bits", "label"]
+    agree, best = F.lit(0), None
+    for k in range(FUNCTIONS // 16):
+        x = F.get("bits", F.lit(k)).bitwiseXOR(F.get("o_bits", F.lit(k)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        agree = agree + F.bit_count(F.bitwise_not(x).bitwiseAND(F.lit(0x1111111111111111)))
+    sized = F.least("n_shingles", "o_n_shingles") * 100 >= F.greatest("n_shingles", "o_n_shingles") * cfg.percent
+    for pivot in ("pivot", "pivot2"):
+        hub = many.where(F.col("doc_id") == F.col(pivot)).select("node", *[F.col(c).alias(f"o_{c}") for c in keys[1:]]).distinct()
+        met = many.join(hub, "node").where(F.col("label") != F.col("o_label")).where(sized)
+        met = met.select("doc_id", "o_doc_id", agree.alias("agree")).where(F.col("agree") >= _least_agreement(cfg))
+        best = met if best is None else best.unionByName(met)
+    best = best.groupBy("doc_id").agg(F.max_by("o_doc_id", F.struct("agree", -F.col("o_doc_id"))).alias("other"))
+    return best.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
+def pivot_links(pairs: DataFrame, sets: DataFrame, cfg: NearDedup) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    rows = pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("doc_id")).withColumn("label", F.col("doc_id"))
+    return compared(rows, sets, cfg)
+
+
+def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
+    named = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    return df.drop("label").join(named, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+
+def mixed_only(rows: DataFrame, by: str) -> DataFrame:
+    """The rows whose ``by`` has more than one label."""
+    mixed = rows.groupBy(by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(by)
+    return rows.join(mixed, by, "left_semi")
+
+
+def tiles(rows: DataFrame, cfg: NearDedup) -> DataFrame:
+    """Groups (key, doc_id, label) in which every two documents of a node meet: blocks of
+    about ``cfg.block`` of them, two by two."""
+    sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / cfg.block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("blocks")).cast("int"))
+    dealt = dealt.select("node", "doc_id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "doc_id", "label").distinct()
 
 
 def links_between(docs: DataFrame, classes: DataFrame, sketches: DataFrame, cfg: NearDedup, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b) between classes; enough of them to give every component."""
-    about = classes.select("doc_id", "n_shingles", "bits")
+    about = classes.select("doc_id", "n_shingles", "bits", F.col("doc_id").alias("label"))
     members = _nodes(classes.select("doc_id", F.explode("roots").alias("node")), about)
-    pairs = first_pairs(members, cfg)
+    groups = small_groups(members, cfg)
     large = members.where(F.col("members") > cfg.small)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(large.select("doc_id")).distinct()
+    wanted = groups.select("doc_id").union(large.select("doc_id")).distinct()
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "doc_id long, f1 long, f2 long, shingles binary").dropDuplicates(["doc_id", "f1", "f2"])
     sets = cut(sets, "near-sets")
-    # each document with its most similar earlier candidate, then all pairs across components
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    links = cut(confirmed(best, sets, cfg), "near-links")
+    # first each document in the largest of its groups and with one pivot
+    own = groups.groupBy("doc_id").agg(F.max_by("key", F.struct("size", "key")).alias("key"))
+    links = compared(own.withColumn("label", F.col("doc_id")), sets, cfg).unionByName(pivot_links(pivot_groups(members, cfg), sets, cfg))
+    links = cut(links, "near-links")
     labels = cut(components(links), "near-labels")
-    rest = _labelled(_labelled(pairs, "a", labels, "la"), "b", labels, "lb").where("la <> lb")
-    more = cut(confirmed(rest.join(best, ["a", "b"], "left_anti"), sets, cfg), "near-links")
-    links = links.unionByName(more)
+    # then the groups that still hold more than one component and were not compared as a whole
+    whole = own.groupBy("key").agg(F.count("*").alias("n"))
+    rest = groups.join(whole, "key", "left").where("n is null or n < size").select("key", "doc_id")
+    rest = mixed_only(cut(_labelled(rest, labels), "near-rest"), "key")
+    links = links.unionByName(cut(compared(rest, sets, cfg), "near-links"))
     labels = cut(components(links), "near-labels")
-    about = cut(_labelled(about, "doc_id", labels, "label"), "near-about")
-    large = large.select("node", "doc_id").join(about, "doc_id")
-    across = deeper_pairs(large, about, sketches.select("doc_id", "sig"), cfg)
-    if across is None:
-        return links
-    across = across.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    return links.unionByName(cut(confirmed(across, sets, cfg), "near-links"))
+    large = large.select("node", "doc_id")
+    slim, sigs = about.drop("label"), sketches.select("doc_id", "sig").dropDuplicates(["doc_id"])
+    level = 1
+    while True:
+        large = cut(mixed_only(_labelled(large, labels), "node"), "near-large")
+        if large.limit(1).count() == 0:
+            return links
+        if level >= cfg.depth:
+            return links.unionByName(cut(compared(tiles(large, cfg), sets, cfg), "near-links"))
+        held = large.select("doc_id", "node").join(sigs, "doc_id")
+        rows = held.select("doc_id", "node", "sig").mapInPandas(_descend(cfg, level), "doc_id long, node long")
+        members = _nodes(rows, cut(_labelled(slim, labels), "near-about"))
+        groups = small_groups(members, cfg).select("key", "doc_id")
+        groups = mixed_only(_labelled(groups, labels), "key")
+        found = compared(groups, sets, cfg).unionByName(pivot_links(pivot_groups(members, cfg), sets, cfg))
+        links = links.unionByName(cut(found, "near-links"))
+        labels = cut(components(links), "near-labels")
+        large = members.where(F.col("members") > cfg.small).select("node", "doc_id")
+        level += cfg.levels
 
 
 def near_components(docs: DataFrame, cfg: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,5 +478,6 @@ def near_components(docs: DataFrame, cfg: NearDedup = NearDedup(), id_col: str =
 
 def deduplicated(docs: DataFrame, cfg: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose component holds a smaller id (columns unchanged)."""
-    gone = near_components(docs, cfg, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
+    own = free_name(docs, "gone")
+    gone = near_components(docs, cfg, id_col, text_col).where("not kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(f"`{own}`"), "left_anti")

@@ -17,11 +17,14 @@ WHITE_RUN = "[\\x20\\x09-\\x0D]+"
 def work_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a local folder is made and
-    recorded in the session, so that later calls agree on it.
+    Only where that is unset and the master is local (tests on one machine) a local folder
+    is made and recorded in the session, so that later calls agree on it; a cluster
+    without a shared folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "corvane-" + uuid.uuid4().hex[:12])
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,8 +56,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def key128(column) -> list:

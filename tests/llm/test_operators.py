@@ -197,7 +197,7 @@ def test_near_dedup_matches_brute_force(spark, docs, texts, empty):
         for _ in range(2):
             w[rng.randrange(200)] = f"new{k}"
         rows.append((k, " ".join(w)))
-    cfg = near_dedup.NearDedup(small=4, rounds=2)
+    cfg = near_dedup.NearDedup(small=4, depth=5, block=8)
     got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), cfg).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
     assert near_dedup.near_components(empty).count() == 0
