@@ -12,8 +12,9 @@ In a small node all pairs are held against sizes and sketches (four bits of each
 What hangs together by the pairs left is a candidate group; the same group in several
 nodes and trees counts once. Groups are confirmed on full sets inside one task each, so
 no table of pairs is ever made and a group sends at most a spanning forest of links.
-First each document is compared in its largest group, which settles most; then the
-groups that still hold several components. Large nodes are followed down, ``levels``
+First each document is compared in its largest group, which settles most; then in
+the groups of pairs that no group so far held together, if they still join different
+components. Large nodes are followed down, ``levels``
 levels a round, as long as they hold more than one component: what is of one component
 has nothing left to find. Nodes still large at ``depth`` are compared exhaustively, in
 blocks, so that no link inside them is lost.
@@ -28,10 +29,10 @@ Recall: a pair at the threshold meets in a first-level node of a tree with proba
 0.89. All trees choose among the same 128 tokens; averaged over how many of them agree,
 twelve trees miss such a pair with probability 10^-9 where its nodes are small at
 once. Deeper nodes hold it with less: about 0.6 per tree after nine levels, 0.46 at any
-depth, so that twelve trees miss it with 0.0006 at the threshold if its nodes never
+depth, so that twelve trees miss it with about 0.001 at the threshold if its nodes never
 get small, and far more rarely at higher similarity; another document linked with both
 makes up for a missed pair. The sketches' test loses a pair at the threshold with a
-probability of 4 in a million.
+probability of 4 in a million (4.5 deviations).
 
 Defined cases: null, empty and blank texts have an empty set and are linked with
 nothing; a text of fewer than five words is one shingle; a very long text is one set
@@ -71,15 +72,15 @@ class NearDedup:
     trees: int = 12
     levels: int = 2
     depth: int = 21
-    small: int = 64
+    small: int = 512
     block: int = 512
+    steps: int = 3
     seed: int = 1
 
-    @property
-    def chance(self) -> float:
-        """How often a node branches twice: at the threshold two documents share a tenth
-        more than one branch per level, so that half of the trees hold them at any depth."""
-        return min(1.0, 110 / self.percent - 1)
+    def chance(self, level: int) -> float:
+        """How often a node branches twice: at the threshold two documents share a little
+        more than one branch per level, so that trees hold them at any depth."""
+        return min(1.0, (105 if level else 110) / self.percent - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -94,39 +95,61 @@ _MUL = _GEN.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.u
 _BASE = _GEN.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
+class _Hashes(dict):
+    """Words to their 64-bit hashes, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Texts to sorted arrays of distinct 64-bit shingle hashes."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def words(self, text: str) -> list[bytes]:
-        return text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space count
+        self.hash = _Hashes().__getitem__
 
     def of(self, text: str | None) -> np.ndarray:
-        words = self.words(text or "")
-        if not words:
-            return np.empty(0, np.uint64)
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            out.append(h)
-        h = np.array(out, dtype=np.uint64)
-        n = len(h) - SHINGLE + 1
-        if n < 1:
-            parts = np.zeros(1, np.uint64)
-            for k in range(len(h)):
-                parts = _mix(parts + h[k : k + 1] * _BASE[k])
-            return parts + np.uint64(len(h))
+        return self.all([text])[0]
+
+    def all(self, texts: list[str | None]) -> list[np.ndarray]:
+        # bytes: only A-Z and ASCII white space count
+        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        sizes = [len(w) for w in words]
+        h = np.fromiter((x for w in words for x in map(self.hash, w)), np.uint64, sum(sizes))
+        n = max(len(h) - SHINGLE + 1, 0)
         total = np.zeros(n, np.uint64)
         for k in range(SHINGLE):
             total = _mix(total + h[k : k + n] * _BASE[k])
-        return np.unique(total)
+        out, at = [], 0
+        for size in sizes:
+            if size >= SHINGLE:
+                out.append(np.unique(total[at : at + size - SHINGLE + 1]))
+            elif size:
+                one = np.zeros(1, np.uint64)
+                for k in range(size):
+                    one = _mix(one + h[at + k : at + k + 1] * _BASE[k])
+                out.append(one + np.uint64(size))
+            else:
+                out.append(np.empty(0, np.uint64))
+            at += size
+        return out
+
+
+def slices(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A batch in slices of about ``most`` characters of text, so that long texts are not held together."""
+    texts, start, size = [], 0, 0
+    for k, value in enumerate(batch.column(column)):
+        text = value.as_py()
+        if texts and size + len(text or "") > most:
+            yield batch.slice(start, k - start), texts
+            texts, start, size = [], k, 0
+        texts.append(text)
+        size += len(text or "")
+    if texts:
+        yield batch.slice(start), texts
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
@@ -162,23 +185,26 @@ def _sketcher(cfg: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         start = _mix(np.arange(cfg.trees, dtype=np.uint64) + np.uint64(cfg.seed * 1000))
-        for batch in batches:
-            n, f1, f2, sig, bits, roots = [], [], [], [], [], []
-            for text in batch.column(1):
-                s = shingler.of(text.as_py())
-                n.append(len(s))
-                for out, f in zip((f1, f2), _fingerprint(s.tobytes())):
-                    out.append(f)
-                m = minwise(s) if len(s) else np.zeros(FUNCTIONS, np.uint32)
-                sig.append(m.tobytes())
-                four = (_mix(m.astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
-                bits.append((four[::2] << 4 | four[1::2]).view(np.int64).tolist())
-                roots.append(_branches(start, np.broadcast_to(m, (cfg.trees, FUNCTIONS)), cfg.chance, 0)[1].tolist() if len(s) else [])
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, f1, f2)], pa.array(bits, longs), pa.array(roots, longs), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "f1", "f2", "bits", "roots", "sig"],
-            )
+        for whole in batches:
+            for batch, texts in slices(whole):
+                sets = shingler.all(texts)
+                n = np.array([len(s) for s in sets], np.int64)
+                f1, f2 = zip(*[_fingerprint(s.tobytes()) for s in sets])
+                sig = np.stack([minwise(s) if len(s) else np.zeros(FUNCTIONS, np.uint32) for s in sets])
+                four = (_mix(sig.astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
+                bits = np.ascontiguousarray(four[:, ::2] << 4 | four[:, 1::2]).view(np.int64)
+                rows, kids = _branches(np.tile(start, len(sets)), np.repeat(sig, cfg.trees, axis=0), cfg.chance(0), 0)
+                rows = rows // cfg.trees
+                order = np.argsort(rows, kind="stable")[n[np.sort(rows)] > 0]
+                ends = np.append(0, np.cumsum(np.bincount(rows[order], minlength=len(sets)))).astype(np.int32)
+                width = np.arange(len(sets) + 1, dtype=np.int32) * bits.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), *[pa.array(x, pa.int64()) for x in (n, f1, f2)], pa.ListArray.from_arrays(width, bits.ravel()),
+                        pa.ListArray.from_arrays(ends, kids[order]), pa.array([x.tobytes() for x in sig], pa.binary()),
+                    ],
+                    names=["doc_id", "n_shingles", "f1", "f2", "bits", "roots", "sig"],
+                )
 
     return run
 
@@ -196,7 +222,7 @@ def _descend(cfg: NearDedup, level: int):
             sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), FUNCTIONS)
             node, at = pdf["node"].to_numpy().view(np.uint64), np.arange(len(pdf))
             for k in range(cfg.levels):
-                rows, kids = _branches(node, sig[at], cfg.chance, level + k)
+                rows, kids = _branches(node, sig[at], cfg.chance(level + k), level + k)
                 node, at = kids.view(np.uint64), at[rows]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[at], "node": node.view(np.int64)})
 
@@ -259,17 +285,18 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
 def _candidates(cfg: NearDedup):
     """Rows of small nodes, sorted by node, to groups of documents worth a full comparison.
 
-    Inside a node all pairs across labels are held against sizes and sketches; what hangs
-    together by the pairs left is a group, whose key is a hash of its documents: the
-    same group found in other nodes and trees is one.
+    Inside a node all pairs of different labels that no earlier group (``own``) held
+    together are held against sizes and sketches; what hangs together by the pairs left
+    is a group, whose key is a hash of its documents: the same group found in other
+    nodes and trees is one.
     """
     least = _least_agreement(cfg)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, "node"):
             node, doc, n, label = (t.column(c).to_numpy() for c in ("node", "doc_id", "n_shingles", "label"))
-            bits = t.column("bits").combine_chunks()
-            bits = bits.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+            bits, own = (t.column(c).combine_chunks().flatten().to_numpy().reshape(len(node), -1) for c in ("bits", "own"))
+            bits = bits.view(np.uint64)
             left, right = [], []
             for d in range(1, len(node)):
                 i = np.nonzero(node[d:] == node[:-d])[0]
@@ -277,6 +304,7 @@ def _candidates(cfg: NearDedup):
                     break
                 j = i + d
                 fits = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * cfg.percent) & (label[i] != label[j])
+                fits &= ~(own[i] == own[j]).any(axis=1)
                 i, j = i[fits], j[fits]
                 for at in range(0, len(i), 1 << 18):
                     p, q = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
@@ -291,7 +319,8 @@ def _candidates(cfg: NearDedup):
             group, at, size = np.unique(root[rows], return_inverse=True, return_counts=True)
             total = np.zeros(len(group), np.uint64)
             np.add.at(total, at, _mix(doc[rows].view(np.uint64) + np.uint64(77)))
-            yield pa.RecordBatch.from_arrays([pa.array(_mix(total)[at].view(np.int64)), pa.array(doc[rows]), pa.array(size[at].astype(np.int64))], names=["key", "doc_id", "size"])
+            values = [node[rows], doc[rows], _mix(total)[at].view(np.int64), size[at].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["node", "doc_id", "key", "size"])
 
     return run
 
@@ -299,11 +328,11 @@ def _candidates(cfg: NearDedup):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
-        sets = [shingler.of(t.as_py()).tobytes() for t in batch.column(1)]
-        f1, f2 = zip(*[_fingerprint(x) for x in sets]) if sets else ((), ())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "f1", "f2", "shingles"]
-        )
+        for part, texts in slices(batch):
+            sets = [s.tobytes() for s in shingler.all(texts)]
+            f1, f2 = zip(*[_fingerprint(x) for x in sets])
+            values = [part.column(0), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(values, names=["doc_id", "f1", "f2", "shingles"])
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -364,11 +393,39 @@ def compared(groups: DataFrame, sets: DataFrame, cfg: NearDedup) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_compare(cfg.percent), "a long, b long")
 
 
-def small_groups(members: DataFrame, cfg: NearDedup) -> DataFrame:
-    """key, doc_id, size: the candidate groups of the nodes that are small, each once."""
-    few = members.where(F.col("members") <= cfg.small).select("node", "doc_id", "n_shingles", "bits", "label")
-    rows = few.repartition("node").sortWithinPartitions("node").mapInArrow(_candidates(cfg), "key long, doc_id long, size long")
-    return cut(rows.distinct(), "near-groups")
+def small_groups(rows: DataFrame, cfg: NearDedup) -> DataFrame:
+    """node, doc_id, key, size: the candidate groups of small nodes (rows with label, own, n_shingles, bits)."""
+    rows = rows.select("node", "doc_id", "n_shingles", "bits", "label", "own")
+    dealt = rows.repartition("node").sortWithinPartitions("node")
+    return cut(dealt.mapInArrow(_candidates(cfg), "node long, doc_id long, key long, size long"), "near-groups")
+
+
+def own_group(groups: DataFrame) -> DataFrame:
+    """doc_id and the key of the largest of its groups."""
+    return cut(groups.groupBy("doc_id").agg(F.max_by("key", F.struct("size", "key")).alias("key")), "near-own")
+
+
+def settled(links: DataFrame, groups: DataFrame, own: DataFrame, about: DataFrame, sets: DataFrame, cfg: NearDedup) -> tuple[DataFrame, DataFrame]:
+    """All links and labels once the pairs of ``groups`` are compared; ``own`` was compared already.
+
+    Step by step each document is compared in the largest group left to it, so that its
+    set moves once a step; after ``steps`` the groups still left are compared one and all.
+    """
+    labels = cut(components(links), "near-labels")
+    keys = own.select("doc_id", F.array("key").alias("own"))
+    for step in range(1, cfg.steps + 1):
+        left = _labelled(groups.select("node", "doc_id").distinct(), labels).join(keys, "doc_id").join(about.drop("label"), "doc_id")
+        groups = small_groups(mixed_only(left, "node"), cfg)
+        if groups.limit(1).count() == 0:
+            break
+        own = own_group(groups)
+        chosen = own if step < cfg.steps else groups.select("key", "doc_id").distinct()
+        found = cut(compared(_labelled(chosen, labels), sets, cfg), "near-links")
+        links = links.unionByName(found)
+        labels = cut(components(links), "near-labels")
+        missing = F.xxhash64("doc_id", F.lit(step))
+        keys = cut(keys.join(own, "doc_id", "left").select("doc_id", F.concat("own", F.array(F.coalesce("key", missing))).alias("own")), "near-keys")
+    return links, labels
 
 
 def pivot_groups(members: DataFrame, cfg: NearDedup) -> DataFrame:
@@ -420,43 +477,32 @@ def tiles(rows: DataFrame, cfg: NearDedup) -> DataFrame:
 def links_between(docs: DataFrame, classes: DataFrame, sketches: DataFrame, cfg: NearDedup, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b) between classes; enough of them to give every component."""
     about = classes.select("doc_id", "n_shingles", "bits", F.col("doc_id").alias("label"))
+    fresh = lambda rows: rows.where(F.col("members") <= cfg.small).withColumn("own", F.array("doc_id"))
     members = _nodes(classes.select("doc_id", F.explode("roots").alias("node")), about)
-    groups = small_groups(members, cfg)
+    groups = small_groups(fresh(members), cfg)
     large = members.where(F.col("members") > cfg.small)
     wanted = groups.select("doc_id").union(large.select("doc_id")).distinct()
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "doc_id long, f1 long, f2 long, shingles binary").dropDuplicates(["doc_id", "f1", "f2"])
     sets = cut(sets, "near-sets")
-    # first each document in the largest of its groups and with one pivot
-    own = groups.groupBy("doc_id").agg(F.max_by("key", F.struct("size", "key")).alias("key"))
-    links = compared(own.withColumn("label", F.col("doc_id")), sets, cfg).unionByName(pivot_links(pivot_groups(members, cfg), sets, cfg))
-    links = cut(links, "near-links")
-    labels = cut(components(links), "near-labels")
-    # then the groups that still hold more than one component and were not compared as a whole
-    whole = own.groupBy("key").agg(F.count("*").alias("n"))
-    rest = groups.join(whole, "key", "left").where("n is null or n < size").select("key", "doc_id")
-    rest = mixed_only(cut(_labelled(rest, labels), "near-rest"), "key")
-    links = links.unionByName(cut(compared(rest, sets, cfg), "near-links"))
-    labels = cut(components(links), "near-labels")
-    large = large.select("node", "doc_id")
-    slim, sigs = about.drop("label"), sketches.select("doc_id", "sig").dropDuplicates(["doc_id"])
-    level = 1
+    sigs, links, level = sketches.select("doc_id", "sig").dropDuplicates(["doc_id"]), None, 1
     while True:
+        own = own_group(groups)
+        found = compared(own.withColumn("label", F.col("doc_id")), sets, cfg).unionByName(pivot_links(pivot_groups(members, cfg), sets, cfg))
+        found = cut(found, "near-links")
+        links = found if links is None else links.unionByName(found)
+        links, labels = settled(links, groups, own, about, sets, cfg)
+        large = members.where(F.col("members") > cfg.small).select("node", "doc_id")
         large = cut(mixed_only(_labelled(large, labels), "node"), "near-large")
         if large.limit(1).count() == 0:
             return links
         if level >= cfg.depth:
             return links.unionByName(cut(compared(tiles(large, cfg), sets, cfg), "near-links"))
-        held = large.select("doc_id", "node").join(sigs, "doc_id")
-        rows = held.select("doc_id", "node", "sig").mapInPandas(_descend(cfg, level), "doc_id long, node long")
-        members = _nodes(rows, cut(_labelled(slim, labels), "near-about"))
-        groups = small_groups(members, cfg).select("key", "doc_id")
-        groups = mixed_only(_labelled(groups, labels), "key")
-        found = compared(groups, sets, cfg).unionByName(pivot_links(pivot_groups(members, cfg), sets, cfg))
-        links = links.unionByName(cut(found, "near-links"))
-        labels = cut(components(links), "near-labels")
-        large = members.where(F.col("members") > cfg.small).select("node", "doc_id")
+        rows = large.select("doc_id", "node").join(sigs, "doc_id").select("doc_id", "node", "sig")
+        rows = rows.mapInPandas(_descend(cfg, level), "doc_id long, node long")
+        members = _nodes(rows, cut(_labelled(about, labels), "near-about"))
+        groups = small_groups(fresh(members), cfg)
         level += cfg.levels
 
 

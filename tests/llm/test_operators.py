@@ -197,7 +197,7 @@ def test_near_dedup_matches_brute_force(spark, docs, texts, empty):
         for _ in range(2):
             w[rng.randrange(200)] = f"new{k}"
         rows.append((k, " ".join(w)))
-    cfg = near_dedup.NearDedup(small=4, depth=5, block=8)
+    cfg = near_dedup.NearDedup(small=4, depth=5, block=8, steps=2)
     got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), cfg).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
     assert near_dedup.near_components(empty).count() == 0
@@ -441,3 +441,20 @@ def test_toxicity_on_held_out_rows(spark, empty):
     none = toxicity.score(docs, marks.where("toxic is null"), F.lit(True)).collect()
     assert len(none) == 902
     assert toxicity.score(empty, marks, F.lit(True)).count() == 0
+
+
+def test_near_dedup_of_a_group_that_is_not_all_linked(spark):
+    """Copies with one to ten changed words: most pairs lie under the threshold, in large nodes."""
+    rng = random.Random(21)
+    base = prose(rng, 150).split()
+    rows = []
+    for k in range(260):
+        w = list(rows[rng.randrange(len(rows))][1].split()) if k % 3 == 2 else list(base)
+        for _ in range(rng.randrange(1, 11)):
+            w[rng.randrange(150)] = f"new{rng.randrange(1000)}"
+        rows.append((k, " ".join(w)))
+    want = brute_components(rows)
+    for cfg in (near_dedup.NearDedup(), near_dedup.NearDedup(small=24, depth=7, block=16)):
+        got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), cfg).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert 10 < len({c for _, c in want.values()}) < 260
