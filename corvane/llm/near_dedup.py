@@ -13,8 +13,8 @@ What hangs together by the pairs left is a candidate group; the same group in se
 nodes and trees counts once. Groups are confirmed on full sets inside one task each, so
 no table of pairs is ever made and a group sends at most a spanning forest of links.
 First each document is compared in its largest group, which settles most; then in
-the groups of pairs that no group so far held together, if they still join different
-components. Large nodes are followed down, ``levels``
+the groups of pairs that were not held together so far, if they still join different
+components. Large nodes link documents to pivots and are followed down, ``levels``
 levels a round, as long as they hold more than one component: what is of one component
 has nothing left to find. Nodes still large at ``depth`` are compared exhaustively, in
 blocks, so that no link inside them is lost.
@@ -74,7 +74,6 @@ class NearDedup:
     depth: int = 21
     small: int = 512
     block: int = 512
-    steps: int = 3
     seed: int = 1
 
     def chance(self, level: int) -> float:
@@ -362,6 +361,25 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def spanning(of: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links i, j that are enough to connect what all of them connect; ``of``: what a row stands for."""
+    parent = list(range(int(of.max()) + 1)) if len(of) else []
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    keep = []
+    pairs, first = np.unique(np.stack([of[i], of[j]]), axis=1, return_index=True) if len(i) else (np.empty((2, 0), int), [])
+    for a, b, k in zip(*pairs.tolist(), np.asarray(first).tolist()):
+        x, y = top(a), top(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(k)
+    return i[keep], j[keep]
+
+
 def _compare(percent: int):
     """Groups (key, doc_id, label, shingles), sorted by key, to links that span what full sets link."""
 
@@ -377,10 +395,10 @@ def _compare(percent: int):
                 sets = [np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in range(lo, hi)]
                 both, size = common(sets), np.array([len(s) for s in sets], float)
                 i, j = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
-                root = _roots(hi - lo, i, j)
-                moved = np.nonzero(root != np.arange(hi - lo))[0]
-                out_a.append(doc[lo + root[moved]])
-                out_b.append(doc[lo + moved])
+                _, at = np.unique(label[lo:hi], return_inverse=True)  # what has one label is linked already
+                i, j = spanning(at, i[at[i] != at[j]], j[at[i] != at[j]])
+                out_a.append(doc[lo + i])
+                out_b.append(doc[lo + j])
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
@@ -405,31 +423,8 @@ def own_group(groups: DataFrame) -> DataFrame:
     return cut(groups.groupBy("doc_id").agg(F.max_by("key", F.struct("size", "key")).alias("key")), "near-own")
 
 
-def settled(links: DataFrame, groups: DataFrame, own: DataFrame, about: DataFrame, sets: DataFrame, cfg: NearDedup) -> tuple[DataFrame, DataFrame]:
-    """All links and labels once the pairs of ``groups`` are compared; ``own`` was compared already.
-
-    Step by step each document is compared in the largest group left to it, so that its
-    set moves once a step; after ``steps`` the groups still left are compared one and all.
-    """
-    labels = cut(components(links), "near-labels")
-    keys = own.select("doc_id", F.array("key").alias("own"))
-    for step in range(1, cfg.steps + 1):
-        left = _labelled(groups.select("node", "doc_id").distinct(), labels).join(keys, "doc_id").join(about.drop("label"), "doc_id")
-        groups = small_groups(mixed_only(left, "node"), cfg)
-        if groups.limit(1).count() == 0:
-            break
-        own = own_group(groups)
-        chosen = own if step < cfg.steps else groups.select("key", "doc_id").distinct()
-        found = cut(compared(_labelled(chosen, labels), sets, cfg), "near-links")
-        links = links.unionByName(found)
-        labels = cut(components(links), "near-labels")
-        missing = F.xxhash64("doc_id", F.lit(step))
-        keys = cut(keys.join(own, "doc_id", "left").select("doc_id", F.concat("own", F.array(F.coalesce("key", missing))).alias("own")), "near-keys")
-    return links, labels
-
-
 def pivot_groups(members: DataFrame, cfg: NearDedup) -> DataFrame:
-    """a, b: each document of a large node with the pivot of another label it agrees with most."""
+    """key, doc_id: documents of large nodes with the pivot that they agree with most, in blocks."""
     many = members.where(F.col("members") > cfg.small)
     keys = ["node", "doc_id", "n_shingles", "bits", "label"]
     agree, best = F.lit(0), None
@@ -444,14 +439,10 @@ def pivot_groups(members: DataFrame, cfg: NearDedup) -> DataFrame:
         met = many.join(hub, "node").where(F.col("label") != F.col("o_label")).where(sized)
         met = met.select("doc_id", "o_doc_id", agree.alias("agree")).where(F.col("agree") >= _least_agreement(cfg))
         best = met if best is None else best.unionByName(met)
-    best = best.groupBy("doc_id").agg(F.max_by("o_doc_id", F.struct("agree", -F.col("o_doc_id"))).alias("other"))
-    return best.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-
-
-def pivot_links(pairs: DataFrame, sets: DataFrame, cfg: NearDedup) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    rows = pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("doc_id")).withColumn("label", F.col("doc_id"))
-    return compared(rows, sets, cfg)
+    best = cut(best.groupBy("doc_id").agg(F.max_by("o_doc_id", F.struct("agree", -F.col("o_doc_id"))).alias("other")), "near-pivots")
+    blocks = best.groupBy("other").agg(F.ceil(F.count("*") / cfg.block).alias("blocks"))
+    rows = best.join(blocks, "other").withColumn("key", F.xxhash64("other", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
+    return rows.select("key", "doc_id").unionByName(rows.select("key", F.col("other").alias("doc_id"))).distinct()
 
 
 def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -465,45 +456,72 @@ def mixed_only(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(mixed, by, "left_semi")
 
 
-def tiles(rows: DataFrame, cfg: NearDedup) -> DataFrame:
-    """Groups (key, doc_id, label) in which every two documents of a node meet: blocks of
-    about ``cfg.block`` of them, two by two."""
-    sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / cfg.block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("blocks")).cast("int"))
-    dealt = dealt.select("node", "doc_id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "doc_id", "label").distinct()
+def tiles(rows: DataFrame, by: str, cfg: NearDedup) -> DataFrame:
+    """key, doc_id: groups in which every two documents of a ``by`` meet, blocks of about
+    ``cfg.block`` of them two by two."""
+    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / cfg.block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, by).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("blocks")).cast("int"))
+    dealt = dealt.select(by, "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select(F.xxhash64(by, F.least("own", "other"), F.greatest("own", "other")).alias("key"), "doc_id").distinct()
+
+
+def cheapest(groups: DataFrame, cfg: NearDedup) -> DataFrame:
+    """key, doc_id: groups that hold together at least the pairs that ``groups`` do.
+
+    Groups that share documents form a clump. Where dealing a clump in blocks copies a
+    document less often than its groups do, all pairs of the clump are compared instead.
+    """
+    groups = cut(groups, "near-left")
+    heads = groups.groupBy("key").agg(F.min("doc_id").alias("head"))
+    clump = components(groups.join(heads, "key").select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
+    clump = clump.select(F.col("node").alias("doc_id"), F.col("component").alias("clump"))
+    placed = cut(groups.join(clump, "doc_id"), "near-clumps")
+    sizes = placed.groupBy("clump").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("docs"))
+    whole = sizes.select("clump", (F.ceil(F.col("docs") / cfg.block) * F.col("docs") <= F.col("rows")).alias("whole"))
+    placed = placed.join(whole, "clump")
+    dense = tiles(placed.where("whole").select("clump", "doc_id").distinct(), "clump", cfg)
+    return dense.unionByName(placed.where("not whole").select("key", "doc_id"))
 
 
 def links_between(docs: DataFrame, classes: DataFrame, sketches: DataFrame, cfg: NearDedup, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b) between classes; enough of them to give every component."""
     about = classes.select("doc_id", "n_shingles", "bits", F.col("doc_id").alias("label"))
-    fresh = lambda rows: rows.where(F.col("members") <= cfg.small).withColumn("own", F.array("doc_id"))
+    small, key = F.col("members") <= cfg.small, F.array("doc_id")
     members = _nodes(classes.select("doc_id", F.explode("roots").alias("node")), about)
-    groups = small_groups(fresh(members), cfg)
-    large = members.where(F.col("members") > cfg.small)
+    groups = small_groups(members.where(small).withColumn("own", key), cfg)
+    large = members.where(~small).select("node", "doc_id")
     wanted = groups.select("doc_id").union(large.select("doc_id")).distinct()
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "doc_id long, f1 long, f2 long, shingles binary").dropDuplicates(["doc_id", "f1", "f2"])
-    sets = cut(sets, "near-sets")
-    sigs, links, level = sketches.select("doc_id", "sig").dropDuplicates(["doc_id"]), None, 1
+    sets = cut(texts.mapInArrow(_sets, "doc_id long, f1 long, f2 long, shingles binary").dropDuplicates(["doc_id", "f1", "f2"]), "near-sets")
+    # first each document in the largest of its groups, or with a pivot
+    own = own_group(groups)
+    first = own.select("key", "doc_id").unionByName(pivot_groups(members, cfg)).withColumn("label", F.col("doc_id"))
+    links = cut(compared(first, sets, cfg), "near-links")
+    labels = cut(components(links), "near-labels")
+    # then the pairs of small nodes that no group held together and that join components
+    held = own.select("doc_id", F.array("key").alias("own"))
+    left = cut(_labelled(groups.select("node", "doc_id").distinct(), labels), "near-left")
+    left = mixed_only(left, "node").join(held, "doc_id").join(about.drop("label"), "doc_id")
+    groups = small_groups(left, cfg).select("key", "doc_id")
+    # and what is found below the large nodes
+    sigs, level = sketches.select("doc_id", "sig").dropDuplicates(["doc_id"]), 1
     while True:
-        own = own_group(groups)
-        found = compared(own.withColumn("label", F.col("doc_id")), sets, cfg).unionByName(pivot_links(pivot_groups(members, cfg), sets, cfg))
-        found = cut(found, "near-links")
-        links = found if links is None else links.unionByName(found)
-        links, labels = settled(links, groups, own, about, sets, cfg)
-        large = members.where(F.col("members") > cfg.small).select("node", "doc_id")
         large = cut(mixed_only(_labelled(large, labels), "node"), "near-large")
         if large.limit(1).count() == 0:
-            return links
+            break
         if level >= cfg.depth:
-            return links.unionByName(cut(compared(tiles(large, cfg), sets, cfg), "near-links"))
+            groups = groups.unionByName(tiles(large, "node", cfg))
+            break
         rows = large.select("doc_id", "node").join(sigs, "doc_id").select("doc_id", "node", "sig")
         rows = rows.mapInPandas(_descend(cfg, level), "doc_id long, node long")
-        members = _nodes(rows, cut(_labelled(about, labels), "near-about"))
-        groups = small_groups(fresh(members), cfg)
+        members = _nodes(rows, _labelled(about, labels))
+        deeper = members.where(small).join(held, "doc_id", "left").withColumn("own", F.coalesce("own", key))
+        groups = groups.unionByName(small_groups(deeper, cfg).select("key", "doc_id"))
+        large = members.where(~small).select("node", "doc_id")
         level += cfg.levels
+    last = cut(_labelled(cheapest(groups.distinct(), cfg), labels), "near-rest")
+    return links.unionByName(cut(compared(mixed_only(last, "key"), sets, cfg), "near-links"))
 
 
 def near_components(docs: DataFrame, cfg: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
