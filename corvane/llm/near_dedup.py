@@ -14,10 +14,10 @@ nodes and trees counts once. Groups are confirmed on full sets inside one task e
 no table of pairs is ever made and a group sends at most a spanning forest of links.
 First each document is compared in its largest group, which settles most; then in
 the groups of pairs that were not held together so far, if they still join different
-components. Large nodes link documents to pivots and are followed down, ``levels``
-levels a round, as long as they hold more than one component: what is of one component
-has nothing left to find. Nodes still large at ``depth`` are compared exhaustively, in
-blocks, so that no link inside them is lost.
+components. Large nodes link documents to pivots. If they then hold more than one
+component (what is of one component has nothing left to find), nodes of up to
+``medium`` documents, and all nodes at ``depth``, are compared exhaustively too, in
+blocks dealt to many tasks; larger ones are followed down, ``levels`` levels a round.
 
 Scale: texts are read once for sketches and once more for the documents with a
 candidate; equal sets are one class throughout; nodes with one document drop out level
@@ -44,6 +44,7 @@ result; other columns are ignored, whatever they are called.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,6 +62,8 @@ FUNCTIONS = 128
 SHINGLE = 5
 #: Distinct words whose hashes a Python worker remembers.
 REMEMBERED = 1_000_000
+#: Parts into which a joined key's rows are spread.
+SALTS = 16
 #: A pair is held against its sets unless its sketches agree less than this many
 #: standard deviations below what is expected at the threshold.
 DEVIATIONS = 4.5
@@ -74,6 +77,7 @@ class NearDedup:
     depth: int = 21
     small: int = 512
     block: int = 512
+    medium: int = 4096
     seed: int = 1
 
     def chance(self, level: int) -> float:
@@ -456,13 +460,20 @@ def mixed_only(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(mixed, by, "left_semi")
 
 
+def _beside(rows: DataFrame, few: DataFrame, by: str) -> DataFrame:
+    """``rows`` with the columns of ``few`` (one row per ``by``), a hot ``by`` spread over many tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    return rows.join(few.select("*", salts), [by, "salt"]).drop("salt")
+
+
 def tiles(rows: DataFrame, by: str, cfg: NearDedup) -> DataFrame:
-    """key, doc_id: groups in which every two documents of a ``by`` meet, blocks of about
-    ``cfg.block`` of them two by two."""
+    """``rows`` with a ``key``: groups in which every two documents of a ``by`` meet, blocks
+    of about ``cfg.block`` of them two by two."""
     sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / cfg.block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, by).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("blocks")).cast("int"))
-    dealt = dealt.select(by, "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return dealt.select(F.xxhash64(by, F.least("own", "other"), F.greatest("own", "other")).alias("key"), "doc_id").distinct()
+    dealt = _beside(rows, sizes, by).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("key", F.xxhash64(by, F.least("block", "other"), F.greatest("block", "other"))).drop("block", "other", "blocks")
 
 
 def cheapest(groups: DataFrame, cfg: NearDedup) -> DataFrame:
@@ -478,9 +489,9 @@ def cheapest(groups: DataFrame, cfg: NearDedup) -> DataFrame:
     placed = cut(groups.join(clump, "doc_id"), "near-clumps")
     sizes = placed.groupBy("clump").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("docs"))
     whole = sizes.select("clump", (F.ceil(F.col("docs") / cfg.block) * F.col("docs") <= F.col("rows")).alias("whole"))
-    placed = placed.join(whole, "clump")
+    placed = _beside(placed, whole, "clump")
     dense = tiles(placed.where("whole").select("clump", "doc_id").distinct(), "clump", cfg)
-    return dense.unionByName(placed.where("not whole").select("key", "doc_id"))
+    return dense.select("key", "doc_id").unionByName(placed.where("not whole").select("key", "doc_id"))
 
 
 def links_between(docs: DataFrame, classes: DataFrame, sketches: DataFrame, cfg: NearDedup, id_col: str, text_col: str) -> DataFrame:
@@ -504,14 +515,19 @@ def links_between(docs: DataFrame, classes: DataFrame, sketches: DataFrame, cfg:
     left = cut(_labelled(groups.select("node", "doc_id").distinct(), labels), "near-left")
     left = mixed_only(left, "node").join(held, "doc_id").join(about.drop("label"), "doc_id")
     groups = small_groups(left, cfg).select("key", "doc_id")
-    # and what is found below the large nodes
+    # and what is found in the large nodes or below them
     sigs, level = sketches.select("doc_id", "sig").dropDuplicates(["doc_id"]), 1
     while True:
         large = cut(mixed_only(_labelled(large, labels), "node"), "near-large")
         if large.limit(1).count() == 0:
             break
-        if level >= cfg.depth:
-            groups = groups.unionByName(tiles(large, "node", cfg))
+        most = cfg.medium if level < cfg.depth else sys.maxsize
+        some = large.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") <= most).select("node")
+        medium = tiles(large.join(some, "node", "left_semi").select("node", "doc_id", "label"), "node", cfg).withColumn("node", F.col("key")).distinct()
+        medium = medium.join(held, "doc_id", "left").withColumn("own", F.coalesce("own", key)).join(about.drop("label"), "doc_id")
+        groups = groups.unionByName(small_groups(medium, cfg).select("key", "doc_id"))
+        large = large.join(some, "node", "left_anti")
+        if large.limit(1).count() == 0:
             break
         rows = large.select("doc_id", "node").join(sigs, "doc_id").select("doc_id", "node", "sig")
         rows = rows.mapInPandas(_descend(cfg, level), "doc_id long, node long")

@@ -197,7 +197,7 @@ def test_near_dedup_matches_brute_force(spark, docs, texts, empty):
         for _ in range(2):
             w[rng.randrange(200)] = f"new{k}"
         rows.append((k, " ".join(w)))
-    cfg = near_dedup.NearDedup(small=4, depth=5, block=8)
+    cfg = near_dedup.NearDedup(small=4, depth=5, block=8, medium=12)
     got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), cfg).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
     assert near_dedup.near_components(empty).count() == 0
@@ -454,7 +454,7 @@ def test_near_dedup_of_a_group_that_is_not_all_linked(spark):
             w[rng.randrange(150)] = f"new{rng.randrange(1000)}"
         rows.append((k, " ".join(w)))
     want = brute_components(rows)
-    for cfg in (near_dedup.NearDedup(), near_dedup.NearDedup(small=24, depth=7, block=16)):
+    for cfg in (near_dedup.NearDedup(), near_dedup.NearDedup(small=24, depth=7, block=16, medium=40)):
         got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), cfg).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
     assert 10 < len({c for _, c in want.values()}) < 260
