@@ -27,9 +27,12 @@ what moves is hashes; texts move only for lines with a shared key. Counts by key
 pre-aggregated; joins with a hot key have one row per key on the other side, which
 adaptive execution splits.
 
-Defined cases: null texts stay null and have no lines; rows that repeat an id count
-as one document and lose the same lines; an empty table gives an empty result; columns
-that clash with a result column are replaced, all others pass through.
+Defined cases: null texts stay null and have no lines; an empty text is one empty line;
+a very long text or line is handled whole, its lines as rows of their own and its text in
+one value; equal lines of one document tie by their number; rows that repeat an id
+(null too, which sorts first) count as one document and lose the same lines, so ids should
+be distinct; an empty table gives an empty result; columns that clash with a result column
+are replaced, all others pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import WHITE, cut, key128
+from corvane.llm.shared import WHITE, cut, free_name, key128
 
 LINE = ["k1", "k2"]
 
@@ -146,13 +149,15 @@ def dedup(
 ) -> DataFrame:
     """``docs`` with the text without dropped lines, n_lines and n_dropped (long)."""
     added = ["n_lines", "n_dropped"]
-    base = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    lists = dropped_lines(docs, min_chars, id_col, text_col, exact_chars).withColumnRenamed("doc_id", "_id")
-    rows = base.join(lists.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
+    names = [c for c in docs.columns if c.lower() not in added]
+    own, gone = free_name(docs, "id"), free_name(docs, "gone")
+    lists = dropped_lines(docs, min_chars, id_col, text_col, exact_chars).select(F.col("doc_id").alias(own), F.col("dropped").alias(gone))
+    rows = docs.join(lists.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col(own)), "left")
     text = F.col(f"`{text_col}`").cast("string")
-    rows = rows.withColumn("_lines", F.split(text, "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "dropped")
-    kept = F.transform(stay, lambda i: F.get(F.col("_lines"), i))
-    out = F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    cols = [out.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in base.columns]
-    return rows.select(*cols, F.greatest(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    parts, dropped = F.split(text, "\n"), F.col(gone)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), dropped)
+    kept = F.get(F.transform(F.array(parts), lambda all_: F.array_join(F.transform(stay, lambda i: F.get(all_, i)), "\n")), F.lit(0))
+    out = F.when(dropped.isNull(), text).otherwise(kept)
+    cols = [out.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in names]
+    n_lines, n_dropped = F.coalesce(F.size(parts), F.lit(0)), F.coalesce(F.size(dropped), F.lit(0))
+    return rows.select(*cols, F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.greatest(n_dropped, F.lit(0)).cast("long").alias("n_dropped"))

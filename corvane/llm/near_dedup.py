@@ -56,14 +56,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.graph import components
-from corvane.llm.shared import cut, free_name
+from corvane.llm.shared import beside, cut, free_name
 
 FUNCTIONS = 128
 SHINGLE = 5
 #: Distinct words whose hashes a Python worker remembers.
 REMEMBERED = 1_000_000
-#: Parts into which a joined key's rows are spread.
-SALTS = 16
 #: A pair is held against its sets unless its sketches agree less than this many
 #: standard deviations below what is expected at the threshold.
 DEVIATIONS = 4.5
@@ -460,18 +458,11 @@ def mixed_only(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(mixed, by, "left_semi")
 
 
-def _beside(rows: DataFrame, few: DataFrame, by: str) -> DataFrame:
-    """``rows`` with the columns of ``few`` (one row per ``by``), a hot ``by`` spread over many tasks."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).cast("int"))
-    return rows.join(few.select("*", salts), [by, "salt"]).drop("salt")
-
-
 def tiles(rows: DataFrame, by: str, cfg: NearDedup) -> DataFrame:
     """``rows`` with a ``key``: groups in which every two documents of a ``by`` meet, blocks
     of about ``cfg.block`` of them two by two."""
     sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / cfg.block).cast("int").alias("blocks"))
-    dealt = _beside(rows, sizes, by).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("blocks")).cast("int"))
+    dealt = beside(rows, sizes, by, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("key", F.xxhash64(by, F.least("block", "other"), F.greatest("block", "other"))).drop("block", "other", "blocks")
 
@@ -489,7 +480,7 @@ def cheapest(groups: DataFrame, cfg: NearDedup) -> DataFrame:
     placed = cut(groups.join(clump, "doc_id"), "near-clumps")
     sizes = placed.groupBy("clump").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("docs"))
     whole = sizes.select("clump", (F.ceil(F.col("docs") / cfg.block) * F.col("docs") <= F.col("rows")).alias("whole"))
-    placed = _beside(placed, whole, "clump")
+    placed = beside(placed, whole, "clump", "doc_id")
     dense = tiles(placed.where("whole").select("clump", "doc_id").distinct(), "clump", cfg)
     return dense.select("key", "doc_id").unionByName(placed.where("not whole").select("key", "doc_id"))
 

@@ -15,13 +15,17 @@ row per piece. Ranks are numbered in salted buckets per length, so a length that
 third of all pieces share is numbered by many tasks. The plan sent to tasks has at
 most ``capacity`` intervals per configuration and a bounded number of configurations.
 
-Defined cases: a null or empty text is one piece that holds only the end id; repeated
-rows are packed each; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text is one piece that holds only the end id; a very long
+text is held whole by one task, with four bytes per id, and gives many pieces; repeated
+rows are packed each (rows equal in id, piece and length tie, and either may take either
+place); a null id is packed like any other; an empty table gives an empty result; other
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,12 +41,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct words whose ids a Python worker remembers.
 REMEMBERED = 300_000
 #: Rows of one numbering bucket, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """A byte-level BPE encoder from a tokenizers file; special strings are ordinary text.
+    """A byte-level BPE encoder from a tokenizers file, and the ids of its added tokens.
 
     The file's merges run in the order of the ids, so the ids by themselves are the
     merge ranks.
@@ -55,9 +59,9 @@ def encoder(vocabulary: str):
     to_byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
     with open(vocabulary, encoding="utf-8") as f:
         model = json.load(f)
-    special = {t["content"] for t in model.get("added_tokens", [])}
-    ranks = {bytes(to_byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+    ranks = {bytes(to_byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in added}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
 class Tokens:
@@ -65,17 +69,27 @@ class Tokens:
 
     The vocabulary's pattern always begins a new token at the last white space
     character before a visible one, so a text may be cut before every single space
-    that stands between two visible characters.
+    that stands between two visible characters. Added tokens that stand in a text have
+    their own id; what lies between them is encoded by itself.
     """
 
     def __init__(self, vocabulary: str) -> None:
-        self.encode = encoder(vocabulary).encode_ordinary
+        encoding, self.added = encoder(vocabulary)
+        self.encode = encoding.encode_ordinary
+        longest = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.known: dict[str, bytes] = {}
 
     def ids(self, part: str) -> bytes:
         return np.array(self.encode(part), dtype="<u4").tobytes()
 
     def of(self, text: str) -> bytes:
+        if self.marks is None or not self.marks.search(text):
+            return self.plain(text)
+        own = lambda t: np.array([self.added[t]], dtype="<u4").tobytes()
+        return b"".join(own(t) if k % 2 else self.plain(t) for k, t in enumerate(self.marks.split(text)) if t)
+
+    def plain(self, text: str) -> bytes:
         parts = text.split(" ")
         if len(parts) < 4:
             return self.ids(text)

@@ -4,7 +4,9 @@ Documents with equal texts form one item that is never split. Items carry a weig
 (the bytes of all their rows) and a point of metadata coordinates. Starting from
 one node, every node that still stands for several shards is cut along its widest
 dimension at the distributed weighted median (the weighted quantile, where the
-shard counts of its halves differ), until each leaf is one shard of the target size.
+shard counts of its halves differ), until each leaf is one shard of the target size
+(all bytes over the wanted shards). A last repair moves single items from leaves above
+that size to leaves below it.
 
 Scale: texts are read once; what moves is one narrow row per document. A weighted
 quantile is found by narrowing histograms: each pass adds weights by (node, bin) on
@@ -12,13 +14,19 @@ the executors and sends at most ``BINS`` rows per node to the driver, whatever t
 input's size. Slots are numbered within salted buckets of a shard, so no task holds
 a whole shard.
 
-Defined cases: a null text counts as an empty one (and shares its shard); repeated
-rows get a slot each; metadata columns that are null or missing count as 0; an empty
-table gives an empty result; an item heavier than a shard fills one alone.
+The number of shards is configuration; per shard the driver also sees up to ``MOVABLE``
+items of the repair, and tasks get one row per node and per moved item.
+
+Defined cases: a null text counts as an empty one (and shares its shard); a very long
+text is one item like any other; repeated rows get a slot each (equal ids in any order);
+a null id sorts first and counts as 0 in the tree; a null metadata value is a value of its
+own, a missing column is no dimension; an empty table gives an empty result; an item
+heavier than a shard fills one alone; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -33,6 +41,8 @@ FEW = 256
 POSITION, JITTER = 1 << 32, 1 << 20
 #: Rows of one numbering bucket, on average.
 BUCKET_ROWS = 20_000
+#: Items of a shard that the repair may move, and by how much it may lift one above the mean.
+MOVABLE, TOLERANCE = 64, 0.0005
 
 
 def coordinates(items: DataFrame, raw: list[str]) -> DataFrame:
@@ -134,6 +144,43 @@ def grow(items: DataFrame, n_dims: int, n_shards: int) -> DataFrame:
     return with_node(items, [(k, first) for k, (first, _) in leaves.items()], "shard")
 
 
+def repair(items: DataFrame, n_shards: int) -> DataFrame:
+    """``items`` (k1, k2, weight, shard) with some moved, so that shards come closer to their mean.
+
+    The driver sees each shard's weight and at most ``MOVABLE`` of the items that a shard
+    above the mean could give away (none heavier than its excess), and moves the largest that fits from the
+    heaviest shard to the lightest as long as that brings them closer.
+    """
+    weights = {k: 0.0 for k in range(n_shards)}
+    weights.update({r["shard"]: float(r["w"]) for r in items.groupBy("shard").agg(F.sum("weight").alias("w")).collect()})
+    mean = sum(weights.values()) / n_shards
+    over = [(k, math.ceil(w - mean)) for k, w in weights.items() if w > mean]
+    if not over:
+        return items
+    excess = items.sparkSession.createDataFrame(over, "shard int, excess long")
+    fits = items.join(F.broadcast(excess), "shard").where("weight <= excess")
+    turn = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("k1"), "k2"))
+    rows = fits.withColumn("n", turn).where(F.col("n") <= MOVABLE).select("k1", "k2", "weight", "shard").collect()
+    gifts: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (-r["weight"], r["k1"], r["k2"])):
+        gifts.setdefault(r["shard"], []).append(r)
+    heap = [(w, k) for k, w in weights.items()]
+    heapq.heapify(heap)
+    moves = []
+    for k, _ in sorted(over, key=lambda x: -x[1]):
+        for r in gifts.get(k, []):
+            w, light = heap[0]
+            if light != k and r["weight"] <= weights[k] - mean and w + r["weight"] <= mean + TOLERANCE * mean:
+                heapq.heapreplace(heap, (w + r["weight"], light))
+                weights[light] = w + r["weight"]
+                weights[k] -= r["weight"]
+                moves.append((r["k1"], r["k2"], light))
+    if not moves:
+        return items
+    moved = items.sparkSession.createDataFrame(moves, "k1 long, k2 long, to int")
+    return items.join(F.broadcast(moved), ["k1", "k2"], "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
+
+
 def number(rows: DataFrame, n_rows: int, n_shards: int, order: str) -> DataFrame:
     """Adds ``slot``: gapless from 0 in each shard, numbered bucket by bucket."""
     buckets = max(1, math.ceil(n_rows / (n_shards * BUCKET_ROWS)))
@@ -181,5 +228,6 @@ def shard(
     )
     items = cut(items, "shard-items")
     placed = grow(coordinates(items, raw), len(raw), n_shards)
-    rows = slim.select("doc_id", "size", "text_crc32", "k1", "k2").join(placed.select("k1", "k2", F.col("shard").cast("int")), ["k1", "k2"])
+    placed = repair(placed.select("k1", "k2", "weight", F.col("shard").cast("int").alias("shard")), n_shards)
+    rows = slim.select("doc_id", "size", "text_crc32", "k1", "k2").join(placed.select("k1", "k2", "shard"), ["k1", "k2"])
     return number(rows.drop("k1", "k2"), slim.count(), n_shards, "doc_id")

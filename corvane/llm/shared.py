@@ -65,6 +65,15 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def beside(rows: DataFrame, few: DataFrame, by: str, spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``rows`` with the columns of ``few`` (one row per ``by``); the rows of a hot ``by`` are
+    spread over ``salts`` tasks by a hash of the column ``spread``."""
+    salt = free_name(rows, "salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(salt)
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(F.lit("salt"), spread), F.lit(salts)).cast("int"))
+    return rows.join(few.select("*", every), [by, salt], how).drop(salt)
+
+
 def key128(column) -> list:
     """Two independent 64-bit hashes of a column: a 128-bit identity of its value."""
     return [F.xxhash64(column), F.xxhash64(F.lit("second"), column)]

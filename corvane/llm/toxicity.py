@@ -237,12 +237,12 @@ def score(
 ) -> DataFrame:
     """doc_id and score for every row of ``docs``; ``trains`` (over ``labels``) marks the training fold."""
     marked = labels.where("toxic is not null").where(F.coalesce(trains, F.lit(False)))
-    marked = marked.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    marked = marked.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    some = lambda c: marked.where(F.col("toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(cfg.max_rows)
+    some = lambda c: marked.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(cfg.max_rows)
     chosen = some(0).unionByName(some(1))
-    rows = docs.join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col("_id"))
-    texts = cut(rows.select(F.col(f"`{text_col}`").cast("string").alias("text"), "toxic"), "tox-sample")
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = cut(named.join(F.broadcast(chosen), "id").select("text", "toxic"), "tox-sample")
     model = fit(texts, n.get(1, 0), n.get(0, 0), cfg)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return slim.mapInArrow(_scorer(model), "doc_id long, score double")

@@ -5,19 +5,23 @@ query block and a candidate block is one tile. In a tile, unit vectors are quant
 to int8 per vector, one matrix product gives approximate cosines, and the norms of
 the quantisation residuals bound each one's error. Only pairs whose upper bound
 reaches the k-th best lower bound are computed in double precision on the original
-vectors. The tiles' short lists of a query are merged by score and id.
+vectors. A tile keeps each query's k best; these short lists are merged by Spark's
+rank-limited window, which keeps the k best in every task before anything moves.
 
 The result is exact: a pruned pair cannot be among the k best. Equal vectors get
 equal scores (each pair is computed by the same sequence of operations).
 
 Scale: the work is queries times candidates, the part each tile holds is bounded
 (``QUERY_BLOCK`` by ``ROW_BLOCK`` rows), nothing is broadcast, and a hot vector is
-just more rows: blocks are dealt by a hash of the id.
+just more rows: blocks are dealt by a hash of the id. A row is copied once per block of
+queries and a query once per block of rows, so query blocks are the larger ones.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite
 component take no part; only vectors of equal length are compared; no row with the
-query's own id is returned to it; rows that repeat an id and a vector count once, and
-so do rows of one id with equal scores; an empty table gives an empty result; other columns are ignored.
+query's own id is returned to it; rows that repeat an id and a vector count once; an id
+with several vectors counts once, with the best score of any (as query: of any of its
+vectors); equal scores go by the smaller id; an empty table, or one whose vector column
+has no type, gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+from corvane.llm.shared import cut
+
+QUERY_BLOCK, ROW_BLOCK = 16_384, 8192
 PARTIAL = "query_id long, vec_id long, score double"
 
 
@@ -59,9 +65,14 @@ def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision on the original vectors."""
-    dot = (a * b).sum(axis=1)
-    return dot / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    """Row by row, in double precision on the original vectors, summed from the first
+    component to the last."""
+    dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)):
+        dot += x * y
+        aa += x * x
+        bb += y * y
+    return np.clip(dot / (np.sqrt(aa) * np.sqrt(bb)), -1, 1)
 
 
 def tile(k: int):
@@ -91,8 +102,8 @@ def tile(k: int):
             score = np.concatenate([exact_cosine(q[part][i[b : b + 65536]], c[j[b : b + 65536]]) for b in range(0, len(i), 65536)] or [np.empty(0)])
             order = np.lexsort((cid[j], -score, i))
             i, j, score = i[order], j[order], score[order]
-            again = (i[1:] == i[:-1]) & (cid[j[1:]] == cid[j[:-1]]) & (score[1:] == score[:-1])
-            once = np.append(True, ~again)[: len(i)]
+            _, once = np.unique(np.stack([i, cid[j]]), axis=1, return_index=True) if len(i) else (None, np.empty(0, np.int64))
+            once.sort()  # the first, that is the best, of each query and id
             i, j, score = i[once], j[once], score[once]
             first = np.searchsorted(i, i)  # where the query's run begins
             keep = np.arange(len(i)) - first < k
@@ -109,13 +120,15 @@ def search(
 ) -> DataFrame:
     """Each query's k nearest rows by cosine: query_id, rank (from 1), vec_id, score."""
     rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
-    n_row_blocks = max(1, math.ceil(vectors.count() / ROW_BLOCK))
-    n_query_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    rows, asked = cut(rows, "search-rows"), cut(asked, "search-queries")
+    n_row_blocks = max(1, math.ceil(rows.count() / ROW_BLOCK))
+    n_query_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = rows.select("vec_id", "v", F.size("v").alias("dim"), block(n_row_blocks, "row").alias("rb"), every(n_query_blocks).alias("qb"))
     asked = asked.select("vec_id", "v", F.size("v").alias("dim"), block(n_query_blocks, "query").alias("qb"), every(n_row_blocks).alias("rb"))
     tiles = asked.groupBy("dim", "qb", "rb").cogroup(rows.groupBy("dim", "qb", "rb")).applyInArrow(tile(k), PARTIAL)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    merged = tiles.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = tiles.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    merged = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return merged.select("query_id", "rank", "vec_id", "score")

@@ -7,20 +7,26 @@ Spark writes to, a lost task is simply run again, and no Python sees a payload.
 
 Reading: each archive file is one binary row; records are cut by Content-Length, so
 a payload may hold anything, record marks included. Files are kept small while
-writing (``FILE_BYTES``), which bounds the memory of a reading task.
+writing (``FILE_BYTES`` on average, at most ``LARGE`` times that), which bounds the
+memory of a reading task; a page of more than that many mean sizes is a file of its own.
 
 Assembly: request, response and metadata records meet through WARC-Concurrent-To,
 and each capture becomes one nested row.
 
 Revisits: of rows with equal payloads of at least ``min_revisit`` bytes, those with
 the smallest page_id are responses and all others revisits of it, which store no
-payload. Digests with copies are found by a pre-aggregated count of digests.
+payload and refer to the response's record id. Digests with copies are found by a
+pre-aggregated count of digests. Record ids are made of the page id and of hashes of
+URL and payload, so that writing again names records alike. Reading back, the bytes of
+a revisit are those of the response it refers to; a payload that does not fit its digest,
+or a revisit without its response, is an error.
 
 Defined cases: a null html is an empty payload; a null url is an empty target; rows
 with a null page_id are captures of their own that come back with a null page_id;
-repeated rows are written each (both are responses if theirs is the smallest
-page_id); an empty table makes no archive and gives an empty result; other columns
-are ignored.
+repeated rows are written each (both are responses if theirs is the smallest page_id)
+and share their record ids if page, URL and payload are equal; a page must stay below
+2 GB, the limit of a value in Spark; an empty table makes no archive and gives an empty
+result; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -33,10 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import cut, new_path
+from corvane.llm.shared import beside, cut, new_path
 
 END = "\r\n\r\n"
 FILE_BYTES = 16 << 20
+#: A page of more than so many mean sizes has a file of its own, which bounds every
+#: other file by so many times FILE_BYTES.
+LARGE = 32
 #: Up to so many duplicated digests (about 100 bytes each) are sent to every task.
 BROADCAST_ROWS = 50_000
 RECORD = (
@@ -69,21 +78,25 @@ def write_archives(
     raw = F.col(f"`{html_col}`")
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), F.coalesce(raw.cast("binary"), F.lit("").cast("binary")).alias("body"))
     base = base.withColumn("digest", F.sha2("body", 256)).withColumn("size", F.octet_length("body").cast("long"))
+    base = base.withColumn("at", F.hex(F.xxhash64("url")))
+    some = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "at"))
     copies = (
         base.where(F.col("size") >= min_revisit)
         .groupBy("digest")
-        .agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
-        .where("n > 1 and first_id is not null")
-        .select("digest", "first_id")
+        .agg(F.count("*").alias("n"), F.min(some).alias("first"))
+        .where("n > 1 and first is not null")
+        .select("digest", "first")
     )
     copies = cut(copies, "warc-copies")
-    mean = base.agg(F.avg("size"), F.count("*")).first()
-    if not mean[1]:
+    sizes = base.agg(F.avg("size").alias("mean"), F.max("size").alias("largest")).first()
+    if sizes["mean"] is None:
         return
     small = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = base.join(F.broadcast(copies) if small else copies, "digest", "left")
-    revisit = F.coalesce(F.col("first_id") != F.col("page_id"), F.col("first_id").isNotNull())
-    rows = rows.withColumn("capture", F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.monotonically_increasing_id().cast("string")))
+    rows = base.join(F.broadcast(copies), "digest", "left") if small else beside(base, copies, "digest", "at", "left")
+    revisit = F.coalesce(F.col("first.page_id") != F.col("page_id"), F.col("first").isNotNull())
+    capture = lambda page, at: F.concat(F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), at, F.lit(":"), F.substring("digest", 1, 16))
+    rows = rows.withColumn("capture", capture(F.col("page_id"), F.col("at")))
+    original = capture(F.col("first.page_id"), F.col("first.at"))
     name, digest = F.col("capture"), F.concat(F.lit("sha256:"), F.col("digest"))
     target, date = ("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit("2024-01-01T00:00:00Z"))
     link = F.concat(F.lit("<urn:capture:"), name, F.lit(":"), F.when(revisit, "revisit").otherwise("response"), F.lit(">"))
@@ -101,7 +114,7 @@ def write_archives(
         [
             target, date, ("WARC-Payload-Digest", digest), kind,
             ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            ("WARC-Refers-To", F.concat(F.lit("<urn:capture:"), F.col("first_id").cast("string"), F.lit(":response>"))),
+            ("WARC-Refers-To", F.concat(F.lit("<urn:capture:"), original, F.lit(":response>"))),
         ],
         http,
     )
@@ -112,8 +125,16 @@ def write_archives(
     )
     gap = F.lit(END).cast("binary")
     value = F.concat(request, gap, F.when(revisit, again).otherwise(response), gap, about).cast("string")
-    per_file = max(1, int(FILE_BYTES / (float(mean[0]) + 1500)))
-    rows.select(value.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+    def store(part: DataFrame, per_file: int, mode: str) -> None:
+        out = part.select(value.alias("value")).write.mode(mode).option("lineSep", END).option("compression", compression)
+        out.option("maxRecordsPerFile", per_file).text(path)
+
+    # files hold FILE_BYTES on average; a page so large that a file of such could be huge has its own
+    mean = float(sizes["mean"])
+    large = max(1 << 16, int(LARGE * mean))
+    store(rows.where(F.col("size") <= large), max(1, int(FILE_BYTES / (mean + 1500))), "errorifexists")
+    if sizes["largest"] > large:
+        store(rows.where(F.col("size") > large), 1, "append")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -197,10 +218,15 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
             raise
         records = spark.createDataFrame([], RECORD)
     rows = assemble(records)
+    told = rows.where("record_type = 'response'").groupBy("record_id").agg(F.min("capture.payload_bytes").alias("original_bytes"), F.min("payload_digest").alias("original_digest"))
+    rows = rows.withColumn("original", F.when(F.col("record_type") == "revisit", F.col("refers_to")).otherwise(F.col("record_id")))
+    rows = beside(rows, told.withColumnRenamed("record_id", "original"), "original", "record_id", "left")
+    sound = F.col("capture.intact") & F.col("payload_digest").eqNullSafe(F.col("original_digest"))
+    broken = F.raise_error(F.concat(F.lit("a payload does not fit its digest, or a revisit its original: "), F.col("record_id")))
     number = lambda c: F.expr(f"try_cast({c} as long)")
     return rows.select(
         number("metadata.fields['page-id']").alias("page_id"),
-        number("metadata.fields['payload-length']").alias("payload_bytes"),
+        F.when(sound, F.col("original_bytes")).otherwise(broken.cast("long")).alias("payload_bytes"),
         "payload_digest",
         "record_type",
         F.when(F.col("record_type") == "revisit", number("regexp_extract(refers_to, 'capture:(-?[0-9]+):', 1)")).alias("refers_to"),
