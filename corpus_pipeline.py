@@ -20,29 +20,32 @@ from corvane.llm.shared import WHITE, new_path
 MIX = mixing.Mix(target_entropy=0.95, max_repeat=1.0, budget=None)
 
 
-def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` in the columns of ``docs``, with n_chars (if there is one) as the text now is."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as row (all columns), doc_id and text: no column can meet an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` in the columns of ``docs``, with the text and n_chars (if there is one) as they now are."""
     out = []
-    for c in docs.columns:
+    for c, kind in docs.dtypes:
         if c == "n_chars":
-            size = F.coalesce(F.length("text"), F.lit(0))
-            out.append(size.cast(dict(docs.dtypes)["n_chars"]).alias("n_chars"))
+            out.append(F.coalesce(F.length(text), F.lit(0)).cast(kind).alias(c))
         else:
-            out.append(F.col(f"`{c}`"))
+            out.append(F.col(text).alias(c) if c == "text" else F.col(f"row.`{c}`"))
     return rows.select(*out)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that fail."""
-    rows = quality_rules.keep(docs).withColumn("text", F.col("clean_text"))
-    return _with_text(docs, rows)
+    return _unpacked(quality_rules.keep(_packed(docs)), docs, "clean_text")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; a document left without words goes."""
-    rows = line_dedup.dedup(docs, exact_chars=1)
+    rows = line_dedup.dedup(_packed(docs), exact_chars=1)
     empty = F.length(F.btrim("text", F.lit(WHITE))) == 0
-    return _with_text(docs, rows.where((F.col("n_dropped") == 0) | ~F.coalesce(empty, F.lit(False))))
+    return _unpacked(rows.where((F.col("n_dropped") == 0) | ~F.coalesce(empty, F.lit(False))), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
