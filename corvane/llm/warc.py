@@ -17,9 +17,9 @@ Revisits: of rows with equal payloads of at least ``min_revisit`` bytes, those w
 the smallest page_id are responses and all others revisits of it, which store no
 payload and refer to the response's record id. Digests with copies are found by a
 pre-aggregated count of digests. Record ids are made of the page id and of hashes of
-URL and payload, so that writing again names records alike. Reading back, the bytes of
-a revisit are those of the response it refers to; a payload that does not fit its digest,
-or a revisit without its response, is an error.
+URL and payload, so that writing again names records alike. Reading back, a payload
+that does not fit its digest, or a revisit without a response of its digest, is an error;
+the bytes of a response are counted, those of a revisit told by its metadata record.
 
 Defined cases: a null html is an empty payload; a null url is an empty target; rows
 with a null page_id are captures of their own that come back with a null page_id;
@@ -206,6 +206,13 @@ def assemble(records: DataFrame) -> DataFrame:
     return main.join(side("request"), "record_id", "left").join(side("metadata"), "record_id", "left")
 
 
+def unfounded(records: DataFrame) -> DataFrame:
+    """refers_to and payload_digest of revisits without a response of that id and digest."""
+    asked = records.where("record_type = 'revisit'").select("refers_to", "payload_digest").distinct()
+    held = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "payload_digest")
+    return asked.join(held, ["refers_to", "payload_digest"], "left_anti")
+
+
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Archives of ``pages``, read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
@@ -217,16 +224,16 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         records = spark.createDataFrame([], RECORD)
+    dangling = unfounded(records).limit(1).collect()
+    if dangling:
+        raise ValueError(f"a revisit's original is missing or has another digest: {dangling[0]['refers_to']}")
     rows = assemble(records)
-    told = rows.where("record_type = 'response'").groupBy("record_id").agg(F.min("capture.payload_bytes").alias("original_bytes"), F.min("payload_digest").alias("original_digest"))
-    rows = rows.withColumn("original", F.when(F.col("record_type") == "revisit", F.col("refers_to")).otherwise(F.col("record_id")))
-    rows = beside(rows, told.withColumnRenamed("record_id", "original"), "original", "record_id", "left")
-    sound = F.col("capture.intact") & F.col("payload_digest").eqNullSafe(F.col("original_digest"))
-    broken = F.raise_error(F.concat(F.lit("a payload does not fit its digest, or a revisit its original: "), F.col("record_id")))
     number = lambda c: F.expr(f"try_cast({c} as long)")
+    torn = F.raise_error(F.concat(F.lit("a payload does not fit its digest: "), F.col("record_id"))).cast("long")
+    told = number("metadata.fields['payload-length']")
     return rows.select(
         number("metadata.fields['page-id']").alias("page_id"),
-        F.when(sound, F.col("original_bytes")).otherwise(broken.cast("long")).alias("payload_bytes"),
+        F.when(~F.col("capture.intact"), torn).when(F.col("record_type") == "revisit", told).otherwise(F.col("capture.payload_bytes")).alias("payload_bytes"),
         "payload_digest",
         "record_type",
         F.when(F.col("record_type") == "revisit", number("regexp_extract(refers_to, 'capture:(-?[0-9]+):', 1)")).alias("refers_to"),
