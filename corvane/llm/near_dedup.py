@@ -73,7 +73,7 @@ class NearDedup:
     trees: int = 12
     levels: int = 2
     depth: int = 21
-    small: int = 512
+    small: int = 1024
     block: int = 512
     medium: int = 4096
     seed: int = 1
@@ -458,10 +458,10 @@ def mixed_only(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(mixed, by, "left_semi")
 
 
-def tiles(rows: DataFrame, by: str, cfg: NearDedup) -> DataFrame:
+def tiles(rows: DataFrame, by: str, block: int, cfg: NearDedup) -> DataFrame:
     """``rows`` with a ``key``: groups in which every two documents of a ``by`` meet, blocks
-    of about ``cfg.block`` of them two by two."""
-    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / cfg.block).cast("int").alias("blocks"))
+    of about ``block`` of them two by two."""
+    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = beside(rows, sizes, by, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("key", F.xxhash64(by, F.least("block", "other"), F.greatest("block", "other"))).drop("block", "other", "blocks")
@@ -481,7 +481,7 @@ def cheapest(groups: DataFrame, cfg: NearDedup) -> DataFrame:
     sizes = placed.groupBy("clump").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("docs"))
     whole = sizes.select("clump", (F.ceil(F.col("docs") / cfg.block) * F.col("docs") <= F.col("rows")).alias("whole"))
     placed = beside(placed, whole, "clump", "doc_id")
-    dense = tiles(placed.where("whole").select("clump", "doc_id").distinct(), "clump", cfg)
+    dense = tiles(placed.where("whole").select("clump", "doc_id").distinct(), "clump", cfg.block, cfg)
     return dense.select("key", "doc_id").unionByName(placed.where("not whole").select("key", "doc_id"))
 
 
@@ -514,7 +514,7 @@ def links_between(docs: DataFrame, classes: DataFrame, sketches: DataFrame, cfg:
             break
         most = cfg.medium if level < cfg.depth else sys.maxsize
         some = large.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") <= most).select("node")
-        medium = tiles(large.join(some, "node", "left_semi").select("node", "doc_id", "label"), "node", cfg).withColumn("node", F.col("key")).distinct()
+        medium = tiles(large.join(some, "node", "left_semi").select("node", "doc_id", "label"), "node", cfg.small, cfg).withColumn("node", F.col("key")).distinct()
         medium = medium.join(held, "doc_id", "left").withColumn("own", F.coalesce("own", key)).join(about.drop("label"), "doc_id")
         groups = groups.unionByName(small_groups(medium, cfg).select("key", "doc_id"))
         large = large.join(some, "node", "left_anti")
