@@ -61,22 +61,23 @@ def looks_like_marker(text: Column) -> Column:
 
 def signals(text: Column, tools: tuple[str, ...] = ()) -> Column:
     """Each pattern's first match, the marker signal, and the escalation, in order."""
-    found = []
-    for flag, category, severity, pattern in (*PATTERNS, *tool_patterns(tools)):
-        rx = java(pattern)
-        evidence = snippet(F.regexp_extract(text, f"({rx})", 1))
-        one = F.struct(F.lit(flag).alias("flag"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), evidence.alias("evidence"))
-        found.append(F.when(text.rlike(rx), one))
-    note = F.lit("content is shaped like a spotlight fence (break-out attempt)")
+    every = (*PATTERNS, *tool_patterns(tools))
+    kind = lambda k: F.array(*[F.lit(p[k]) for p in every])
+    # every pattern matches at least one character, so one extraction tells match and evidence
+    hits = F.array(*[F.regexp_extract(text, f"({java(p[3])})", 1) for p in every])
+    one = lambda e, i: F.when(
+        F.length(e) > 0,
+        F.struct(F.get(kind(0), i).alias("flag"), F.get(kind(1), i).alias("category"), F.get(kind(2), i).alias("severity"), snippet(e).alias("evidence")),
+    )
+    note = F.lit("the text imitates the fence that marks outside data")
     mark = F.struct(F.lit("spotlight_marker_present").alias("flag"), F.lit("marker").alias("category"), F.lit("HIGH").alias("severity"), note.alias("evidence"))
-    found.append(F.when(looks_like_marker(text), mark))
-    return F.filter(F.array(*found), lambda s: s.isNotNull())
+    return F.filter(F.concat(F.transform(hits, one), F.array(F.when(looks_like_marker(text), mark))), lambda s: s.isNotNull())
 
 
 def escalate(found: Column) -> Column:
     """``found`` with a composite signal where two escalating categories meet."""
     kinds = F.array_sort(F.array_intersect(F.transform(found, lambda s: s["category"]), F.array(*[F.lit(c) for c in ESCALATING])))
-    text = F.concat(F.lit("co-occurring attack categories: "), F.array_join(kinds, ", "))
+    text = F.concat(F.lit("several kinds of attack in one text: "), F.array_join(kinds, ", "))
     extra = F.struct(F.lit("injection_high_confidence").alias("flag"), F.lit("composite").alias("category"), F.lit("HIGH").alias("severity"), text.alias("evidence"))
     return F.when(F.size(kinds) >= 2, F.concat(found, F.array(extra))).otherwise(found)
 

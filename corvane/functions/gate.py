@@ -16,6 +16,7 @@ VIOLATION = "struct<code:string,detail:string,arg:string>"
 ARG = "struct<name:string,value:string,is_string:boolean,tier:int,flags:array<string>,sources:array<string>>"
 #: The rules that follow from taint, not from intent.
 TAINT_CODES = ("tier_too_low", "flagged_argument", "tainted_side_effect")
+#: The notes that the ledger shows, word for word.
 READ_NOTE = "read-only tool: taint alone never refuses a read (the worst case is a wrong answer; refusing costs the whole task, attack or not)"
 CONFIRM_NOTE = "CONFIRM treated as DENY: an unattended benchmark run has no human to ask"
 UNGATED_NOTE = "tool is not registered in the runtime"

@@ -69,9 +69,15 @@ def declassify(tier: Column) -> Column:
 
 def merge_provenance(records: Column) -> Column:
     """Distinct by (source_uri, content_sha256): the first of each, in order."""
-    same = lambda a, b: (a["source_uri"].eqNullSafe(b["source_uri"])) & (a["content_sha256"].eqNullSafe(b["content_sha256"]))
-    # a record stays if no earlier one has its key
-    return F.filter(records, lambda r, i: ~F.exists(F.slice(records, F.lit(1), i), lambda e: same(e, r)))
+    key = lambda r: F.struct(r["source_uri"].alias("u"), r["content_sha256"].alias("h"))
+    keyed = F.array_sort(F.transform(records, lambda r, i: F.struct(key(r).alias("k"), i.alias("i"))))
+    # the first of each run of equal keys, back in order: n log n in the records
+
+    def firsts(s: Column) -> Column:
+        return F.array_sort(F.transform(F.filter(s, lambda e, i: (i == 0) | ~e["k"].eqNullSafe(F.get(s, i - 1)["k"])), lambda e: e["i"]))
+
+    places = F.get(F.transform(F.array(keyed), firsts), F.lit(0))
+    return F.transform(places, lambda i: F.get(records, i))
 
 
 def union_in_order(*arrays: Column) -> Column:
@@ -85,3 +91,10 @@ def flags_of(records: Column) -> Column:
 
 def sources_of(records: Column) -> Column:
     return F.array_distinct(F.transform(records, lambda r: r["source_uri"]))
+
+
+def citation_label(source_uri: Column, heading: Column, ordinal: Column, tier: Column) -> Column:
+    """``uri (heading) [tier]``; a chunk without a heading is named by its place."""
+    part = F.concat(F.lit("part "), (ordinal + 1).cast("string"))
+    where = F.when(F.coalesce(heading, F.lit("")) != "", heading).otherwise(part)
+    return F.concat(source_uri, F.lit(" ("), where, F.lit(") ["), tier_label(tier), F.lit("]"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as the matching rules see it (Unicode, and the four separators Java's class lacks).
 SPACE = "[\\s\\x1c-\\x1f]"
@@ -90,22 +94,58 @@ def needles(leaves: Column) -> Column:
     return F.filter(F.transform(leaves, normalise), lambda n: F.length(n) >= MIN_STRING_MATCH)
 
 
-def json_leaves(value: Column, depth: int = 4) -> Column:
-    """Every scalar in a JSON value, as text: strings as they are, others if long enough."""
-    tree = F.try_parse_json(value)
-    leaves = F.array().cast("array<string>")
-    level = F.array(tree)
-    for _ in range(depth):
-        text = lambda v: F.try_variant_get(v, "$", "string")
-        kind = lambda v: F.schema_of_variant(v)
-        scalar = lambda v: ~kind(v).startswith("ARRAY") & ~kind(v).startswith("OBJECT") & (kind(v) != "VOID")
-        good = lambda v: scalar(v) & ((kind(v) == "STRING") | (F.length(text(v)) >= MIN_SCALAR_MATCH))
-        leaves = F.concat(leaves, F.transform(F.filter(level, good), text))
-        inner = lambda v: F.when(kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(
-            kind(v).startswith("OBJECT"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
-        ).otherwise(F.array().cast("array<variant>"))
-        level = F.flatten(F.transform(level, inner))
-    return leaves
+class _Number(float):
+    """A JSON number that is written as it was read."""
+
+    def __new__(cls, text: str):
+        self = super().__new__(cls, text)
+        self.text = text
+        return self
+
+
+def leaves_of(value: object) -> list[str]:
+    """Every scalar in a JSON value, in order: strings as they are, others (as JSON writes
+    them) if they are long enough to identify; containers to any depth."""
+    out, left = [], [value]
+    while left:
+        x = left.pop()
+        if isinstance(x, dict):
+            left.extend(reversed(x.values()))
+        elif isinstance(x, list):
+            left.extend(reversed(x))
+        elif isinstance(x, str):
+            out.append(x)
+        elif x is not None and len(shown := x.text if isinstance(x, _Number) else json.dumps(x)) >= MIN_SCALAR_MATCH:
+            out.append(shown)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_leaves(value: pd.Series) -> pd.Series:
+    """``leaves_of`` JSON texts; a text that is no JSON is one string, null has no leaf."""
+
+    def one(text: str | None) -> list[str]:
+        if text is None:
+            return []
+        try:
+            return leaves_of(json.loads(text, parse_int=_Number, parse_float=_Number))
+        except (ValueError, RecursionError):
+            return [text]
+
+    return value.map(one, na_action=None)
+
+
+@F.pandas_udf(T.StringType())
+def canonical_json(value: pd.Series) -> pd.Series:
+    """JSON texts with sorted keys and no spaces, so that equal arguments are equal texts."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return text
+
+    return value.map(one, na_action=None)
 
 
 def subtract_own_args(error: Column, leaves: Column) -> Column:

@@ -29,9 +29,9 @@ class Chunker:
 
     def __post_init__(self) -> None:
         if self.max_tokens <= 0:
-            raise ValueError("max_tokens must be positive")
+            raise ValueError("a chunk must hold at least one token")
         if not 0 <= self.overlap_tokens < self.max_tokens:
-            raise ValueError("overlap_tokens must be at least 0 and below max_tokens")
+            raise ValueError("the overlap must be shorter than a chunk, and not negative")
 
     @property
     def max_chars(self) -> int:

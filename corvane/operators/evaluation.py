@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_DISCORDANT = 6
 
@@ -96,14 +99,60 @@ def mcnemar_statistic(b: Column, c: Column) -> Column:
     return F.when(b + c > 0, F.pow(F.greatest(F.abs(b - c) - 1, F.lit(0)).cast("double"), 2) / (b + c))
 
 
+def key_mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
+    """key and right_only of the keys that only one of two tables (key, ...) has."""
+    left, right = a.select("key").distinct().withColumn("l", F.lit(True)), b.select("key").distinct().withColumn("r", F.lit(True))
+    return left.join(right, "key", "full_outer").where("l is null or r is null").select("key", F.col("l").isNull().alias("right_only"))
+
+
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """key, a, b of two outcome tables (key, passed) that must cover the same keys."""
-    both = a.select("key", F.col("passed").alias("a")).join(b.select("key", F.col("passed").alias("b")), "key", "full_outer")
-    odd = both.where("a is null or b is null").select("key", F.col("a").isNull().alias("right_only")).orderBy("key")
+    odd = key_mismatches(a, b).orderBy("key")
     sample = odd.where("right_only").limit(3).unionByName(odd.where("not right_only").limit(3)).collect()
     if sample:
         raise PairingError("keys without a partner: " + ", ".join(str(r["key"]) for r in sample))
-    return both
+    return paired_where_both(a, b)
+
+
+def paired_where_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """key, a, b of the keys that both tables have: for display, where a partial run is still shown."""
+    return a.select("key", F.col("passed").alias("a")).join(b.select("key", F.col("passed").alias("b")), "key")
+
+
+def p_floor(discordant: Column) -> Column:
+    """The smallest p-value that so many discordant pairs can reach."""
+    return F.least(F.lit(1.0), 2 * F.pow(F.lit(0.5), discordant))
+
+
+def mean_or_none(flag: Column) -> Column:
+    """Aggregate: the share of true values; null where there are none."""
+    return F.avg(flag.cast("double"))
+
+
+@F.pandas_udf(T.DoubleType())
+def erfc(x: pd.Series) -> pd.Series:
+    """The complementary error function."""
+    return x.map(lambda v: None if pd.isna(v) else math.erfc(v)).astype("float64")
+
+
+#: Runs of letters, runs of digits, and any other visible or private character by itself.
+TOKEN = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9 \\t\\r\\n]"
+
+
+def n_tokens(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+
+
+def token_inflation(df: DataFrame, before: Column, after: Column, count: Callable[[Column], Column] = n_tokens) -> DataFrame:
+    """tokens_before, tokens_after and their ratio over all rows, by any counting function."""
+    sums = df.agg(F.sum(count(before)).alias("tokens_before"), F.sum(count(after)).alias("tokens_after"))
+    return sums.withColumn("ratio", F.try_divide("tokens_after", "tokens_before"))
+
+
+def cluster_sums(pairs: DataFrame, order: str = "cluster") -> DataFrame:
+    """cluster, n, sa, sb: pairs and successes of either side, and what clusters are numbered by."""
+    yes = lambda c: F.sum(F.col(c).cast("int"))
+    return pairs.groupBy("cluster").agg(F.count("*").alias("n"), yes("a").alias("sa"), yes("b").alias("sb"), F.min(order).alias("_o"))
 
 
 def pair_counts(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -150,8 +199,7 @@ def cluster_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 0,
     from pyspark.sql import Window
 
     spark = pairs.sparkSession
-    yes = lambda c: F.sum(F.col(c).cast("int"))
-    sums = pairs.groupBy("cluster").agg(F.count("*").alias("n"), yes("a").alias("sa"), yes("b").alias("sb"), F.min(order).alias("_o"))
+    sums = cluster_sums(pairs, order)
     sums = sums.withColumn("cluster_idx", F.row_number().over(Window.orderBy("_o", "cluster")) - 1)
     n = sums.count()
     if n == 0:
@@ -167,11 +215,8 @@ def cluster_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 0,
 
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per metric, the paired table of two runs (metric, key, passed)."""
-    both = None
-    for metric in [r[0] for r in a.select("metric").distinct().orderBy("metric").collect()]:
-        one = paired(a.where(F.col("metric") == metric), b.where(F.col("metric") == metric)).withColumn("metric", F.lit(metric))
-        both = one if both is None else both.unionByName(one)
-    return pair_counts(both, ["metric"])
+    key = lambda df: df.select(F.struct("metric", "key").alias("key"), "passed")
+    return pair_counts(paired(key(a), key(b)).withColumn("metric", F.col("key.metric")), ["metric"])
 
 
 def fingerprint(*parts: Column) -> Column:

@@ -58,6 +58,12 @@ def tier_conflicts(chunks: DataFrame, known: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "tier").join(old, "chunk_id").where("tier <> known_tier").distinct()
 
 
+def new_chunks(chunks: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The chunks of a batch that are not known, each once."""
+    once = chunks.dropDuplicates(["chunk_id"])
+    return once if known is None else once.join(known.select("chunk_id"), "chunk_id", "left_anti")
+
+
 def ingest(docs: DataFrame, policy: Policy, registry: DataFrame | None = None, known: DataFrame | None = None, chunker: Chunker = Chunker(), order: str = "identity") -> Ingest:
     """Raises TierConflict before anything could be written."""
     labelled = label(docs, policy)
@@ -67,11 +73,8 @@ def ingest(docs: DataFrame, policy: Policy, registry: DataFrame | None = None, k
     clash = held.groupBy("chunk_id").agg(F.min("tier").alias("a"), F.max("tier").alias("b")).where("a <> b").limit(3).collect()
     if clash:
         raise TierConflict(f"chunks under two tiers: {', '.join(r['chunk_id'] for r in clash)}")
-    new = chunks.dropDuplicates(["chunk_id"])
     skipped = chunks.limit(0) if known is None else chunks.join(known.select("chunk_id"), "chunk_id", "left_semi")
-    if known is not None:
-        new = new.join(known.select("chunk_id"), "chunk_id", "left_anti")
-    return Ingest(new, fresh.select("identity", "source_uri", "doc_sha256"), skipped)
+    return Ingest(new_chunks(chunks, known), fresh.select("identity", "source_uri", "doc_sha256"), skipped)
 
 
 def report(chunks: DataFrame) -> DataFrame:

@@ -2,20 +2,25 @@
 
 Queries are a table, so a whole batch is one dataflow: query terms meet the postings of
 their terms, scores are summed by (query, chunk), and each arm keeps its best candidates
-by a window with a row limit, which Spark applies partially before the shuffle. Only
-postings of query terms move; a frequent term is a skewed key on the postings side,
-which adaptive execution splits.
+by a window with a row limit, which Spark applies partially before the shuffle.
+
+An index is written once (``save_index``) and appended to (``append_index``); queries then
+read its tables and tokenise nothing but themselves. The query terms are written too, so
+that their size is known when the join is planned: below Spark's broadcast threshold the
+postings stay where they are and only those of query terms move; a frequent term is
+otherwise a skewed key on the postings side, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokenize
+from corvane.sources.store import cut, new_path
 
 #: BM25's k1 and b, and the rank constant of fusion.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -32,6 +37,20 @@ class Index:
     postings: DataFrame
     term_stats: DataFrame
     totals: DataFrame  # one row: n, avg_len
+    norms: DataFrame | None = None  # chunk_id, norm of its TF-IDF vector
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """The seam of the vector arm: scores a batch of queries against an index.
+
+    ``fits`` says whether it needs the corpus' statistics; ``score`` returns query_id,
+    chunk_id and a score above 0. The default is the sparse TF-IDF embedding.
+    """
+
+    name: str
+    score: Callable[[Index, DataFrame], DataFrame]
+    fits: bool = True
 
 
 def searchable(heading: Column, text: Column) -> Column:
@@ -48,10 +67,49 @@ def build_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: Column | st
     return Index(stats, postings, df, stats.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")))
 
 
+def save_index(chunks: DataFrame, root: str, chunk_id: str = "chunk_id", text: Column | str = "text") -> Index:
+    """Writes the index of ``chunks`` under ``root`` (a new folder) and reads it back."""
+    return append_index(chunks, root, chunk_id, text)
+
+
+def append_index(chunks: DataFrame, root: str, chunk_id: str = "chunk_id", text: Column | str = "text") -> Index:
+    """Adds new chunks to the index under ``root``: the same tables as indexing all at once.
+
+    Postings and lengths are appended; document frequencies are kept as counts per batch,
+    which add up; the vectors' norms follow from both and are written anew.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    tokens = chunks.select(F.col(chunk_id).alias("chunk_id"), tokenize(F.coalesce(text, F.lit(""))).alias("tokens"))
+    tokens = cut(tokens, "index-tokens")
+    tokens.select("chunk_id", F.size("tokens").alias("len")).write.mode("append").parquet(f"{root}/chunks")
+    terms = tokens.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    postings = terms.groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
+    batch = new_path(chunks.sparkSession, "index-batch")
+    postings.write.parquet(batch)
+    postings = chunks.sparkSession.read.parquet(batch)
+    postings.write.mode("append").parquet(f"{root}/postings")
+    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("append").parquet(f"{root}/terms")
+    index = load_index(chunks.sparkSession, root)
+    return replace(index, norms=cut(tfidf_norms(index), "index-norms"))
+
+
+def load_index(spark: SparkSession, root: str) -> Index:
+    """The index under ``root``; norms are computed when they are asked for."""
+    stats, postings = spark.read.parquet(f"{root}/chunks"), spark.read.parquet(f"{root}/postings")
+    terms = cut(spark.read.parquet(f"{root}/terms").groupBy("term").agg(F.sum("df").alias("df")), "index-terms")
+    return Index(stats, postings, terms, cut(stats.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")), "index-totals"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term, qtf, from (query_id, query)."""
+    """query_id, term, qtf, from (query_id, query); written, so that its size is known."""
     terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term"))
-    return terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return cut(terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "query-terms")
+
+
+def rank_ids(ranked: DataFrame, by: str = "query_id") -> DataFrame:
+    """``by`` and its chunk ids in rank order (rankings are bounded by their limit)."""
+    rows = ranked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("r"))
+    return rows.select(by, F.transform("r", lambda x: x["chunk_id"]).alias("chunk_ids"))
 
 
 def bm25(index: Index, queries: DataFrame) -> DataFrame:
@@ -81,6 +139,7 @@ def tfidf(index: Index, queries: DataFrame, norms: DataFrame | None = None) -> D
     lengths = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qnorm"))
     rows = asked.join(index.postings, "term").withColumn("wd", _tfidf(asked, "tf"))
     dots = rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
+    norms = index.norms if norms is None else norms
     both = dots.join(lengths, "query_id").join(tfidf_norms(index) if norms is None else norms, "chunk_id")
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dot") / (F.col("qnorm") * F.col("norm"))))
     return both.where("qnorm > 0 and norm > 0").select("query_id", "chunk_id", cosine.alias("score")).where("score > 0")
@@ -162,7 +221,12 @@ def reranked(rows: DataFrame, hook: Reranker) -> DataFrame:
     return out
 
 
-def retrieve(index: Index, queries: DataFrame, config: Config = Config(), limit: int | None = None, hook: Reranker | None = None) -> DataFrame:
+SPARSE = Embedder("tfidf", tfidf)
+
+
+def retrieve(
+    index: Index, queries: DataFrame, config: Config = Config(), limit: int | None = None, hook: Reranker | None = None, embedder: Embedder = SPARSE
+) -> DataFrame:
     """query_id, chunk_id, score, retriever, rank: the configured arms, fused if there are two."""
     limit = config.top_k if limit is None else limit
     if limit <= 0:
@@ -171,7 +235,7 @@ def retrieve(index: Index, queries: DataFrame, config: Config = Config(), limit:
     if config.use_bm25:
         arms["bm25"] = top_k(bm25(index, queries), config.candidate_k)
     if config.use_vector:
-        arms["vector"] = top_k(tfidf(index, queries), config.candidate_k)
+        arms["vector"] = top_k(embedder.score(index, queries), config.candidate_k)
     if len(arms) == 1:
         (arm, rows), = arms.items()
         fused = rows.withColumn("retriever", F.lit(arm)).select("query_id", "chunk_id", "score", "retriever", "rank")
@@ -180,3 +244,7 @@ def retrieve(index: Index, queries: DataFrame, config: Config = Config(), limit:
     if config.rerank and hook is not None:
         fused = reranked(fused, hook)
     return fused.where(F.col("rank") <= limit)
+
+
+#: Arms by name, as evaluations report them; a reranked arm is never one of them.
+NAMED_ARMS = {"bm25": Config(use_vector=False), "vector": Config(use_bm25=False), "hybrid": Config()}

@@ -1,6 +1,6 @@
 """Taint tracing in batch: which arguments of a call come from which tool outputs.
 
-Events of a conversation are ordered by (progress, seq). An output event carries the
+Events of a conversation are ordered by seq. An output event carries the
 evidence a tool returned; a call event carries its arguments. A turn whose progress is
 not above what was processed starts the conversation anew (its earlier records no
 longer count). A call sees the outputs before it in its segment.
@@ -8,14 +8,19 @@ longer count). A call sees the outputs before it in its segment.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import detect
+from corvane.functions import detect, spotlight
 from corvane.functions.gate import ARG
-from corvane.functions.lattice import UNTRUSTED, USER
+from corvane.functions.lattice import UNTRUSTED, USER, union_in_order
 from corvane.functions.text import normalise, needles
 
+#: Adds signals, score, verdict and flags to a table, by its text column and the tools' names.
+Detector = Callable[[DataFrame, str, tuple[str, ...]], DataFrame]
 USER_SOURCE, CONTEXT_ARG = "session://user-turn", "<conversation>"
 
 
@@ -31,21 +36,24 @@ def segments(turns: DataFrame, key: str = "conversation_id") -> DataFrame:
     not above what the segment has processed; only marking turns move that forward. A
     conversation is one agent session, whose turns are bounded by the session.
     """
-    turn = F.struct("seq", "progress", "marks")
-    rows = turns.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
-    kind = "array<struct<seq:bigint,reset:boolean,segment:int>>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit(0).cast("bigint").alias("done"), F.lit(0).alias("segment"))
-
-    def step(acc, t):
-        reset = (acc["segment"] == 0) | (t["progress"] <= acc["done"])
-        done = F.when(reset, F.lit(0).cast("bigint")).otherwise(acc["done"])
-        segment = acc["segment"] + reset.cast("int")
-        row = F.struct(t["seq"].cast("bigint").alias("seq"), reset.alias("reset"), segment.alias("segment"))
-        after = F.when(t["marks"], F.greatest(done, t["progress"].cast("bigint"))).otherwise(done)
-        return F.struct(F.concat(acc["out"], F.array(row)).alias("out"), after.alias("done"), segment.alias("segment"))
-
-    folded = rows.select(key, F.aggregate("_turns", start, step, lambda a: a["out"]).alias("o"))
-    return folded.select(key, F.inline("o"))
+    kind = dict(turns.dtypes)[key]
+
+    def fold(group: pa.Table) -> pa.Table:
+        rows = group.sort_by([("seq", "ascending"), ("progress", "ascending")])
+        done, segment, resets, segments_ = 0, 0, [], []
+        for progress, marks in zip(rows.column("progress").to_pylist(), rows.column("marks").to_pylist()):
+            reset = segment == 0 or progress <= done
+            if reset:
+                done, segment = 0, segment + 1
+            if marks:
+                done = max(done, progress)
+            resets.append(reset)
+            segments_.append(segment)
+        values = [rows.column(key), rows.column("seq").cast(pa.int64()), pa.array(resets, pa.bool_()), pa.array(segments_, pa.int32())]
+        return pa.table(values, names=[key, "seq", "reset", "segment"])
+
+    slim = turns.select(key, "seq", "progress", "marks")
+    return slim.groupBy(key).applyInArrow(fold, f"`{key}` {kind}, seq long, reset boolean, segment int")
 
 
 def resets_by_lag(turns: DataFrame, key: str = "conversation_id") -> DataFrame:
@@ -55,11 +63,47 @@ def resets_by_lag(turns: DataFrame, key: str = "conversation_id") -> DataFrame:
     return turns.withColumn("reset", before.isNull() | (F.col("progress") <= before))
 
 
-def guard(outputs: DataFrame, tools: tuple[str, ...] = ()) -> DataFrame:
-    """Tool outputs as records: scanned raw, untrusted, with the form they are matched in."""
-    scanned = detect.scan(outputs, "evidence", tools)
+def guard(outputs: DataFrame, tools: tuple[str, ...] = (), detector: Detector = detect.scan, assessor: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Tool outputs as records: scanned raw, untrusted, with the form they are matched in.
+
+    ``detector`` adds flags to a table by its text column; ``assessor`` (a quarantined
+    model) adds quarantine_flags from the column ``evidence``, and what it adds is kept
+    whether it found an instruction or was unavailable.
+    """
+    scanned = detector(outputs, "evidence", tools)
+    if assessor is not None:
+        scanned = assessor(scanned).withColumn("flags", union_in_order(F.col("flags"), F.col("quarantine_flags")))
     source = F.concat(F.lit("tool:"), F.col("tool"))
-    return scanned.select("conversation_id", "segment", "seq", source.alias("source"), F.lit(UNTRUSTED).alias("tier"), "flags", normalise(F.col("evidence")).alias("norm"))
+    spans = ["spans"] if "spans" in outputs.columns else []
+    return scanned.select("conversation_id", "segment", "seq", source.alias("source"), F.lit(UNTRUSTED).alias("tier"), "flags", normalise(F.col("evidence")).alias("norm"), *spans)
+
+
+def rendered(records: DataFrame, style: str, nonce: Column, enabled: bool = True) -> DataFrame:
+    """``records`` with each of their ``spans`` marked on its own: after scanning, never before."""
+    return records.withColumn("spans", F.transform("spans", lambda s: spotlight.wrap(s, style, nonce, enabled=enabled)))
+
+
+def unprocessed(messages: DataFrame) -> DataFrame:
+    """The messages (position, processed) that were not guarded in an earlier turn."""
+    return messages.where(F.col("position") > F.col("processed"))
+
+
+def flags_seen(records: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and the distinct flags raised there, in the order first seen."""
+    each = records.select(*by, "seq", F.posexplode("flags").alias("pos", "flag")).groupBy(*by, "flag").agg(F.min(F.struct("seq", "pos")).alias("first"))
+    found = each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("first", "flag"))).alias("f")).select(*by, F.transform("f", lambda x: x["flag"]).alias("flags"))
+    return records.select(*by).distinct().join(found, by, "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
+
+
+def trace(decided: DataFrame) -> DataFrame:
+    """One row per argument of each decided call: its tier, flags, sources and the codes raised on it."""
+    rows = decided.select("conversation_id", "segment", "seq", "tool", "verdict", "violations", F.posexplode("args").alias("pos", "_arg"))
+    codes = F.transform(F.filter("violations", lambda v: v["arg"] == F.col("_arg.name")), lambda v: v["code"])
+    return rows.select("conversation_id", "segment", "seq", "tool", "verdict", "pos", F.col("_arg.name").alias("arg"), F.col("_arg.tier").alias("tier"), F.col("_arg.flags").alias("flags"), F.col("_arg.sources").alias("sources"), codes.alias("codes"))
+
+
+def refusals(ledger: DataFrame) -> DataFrame:
+    return ledger.where("action = 'refused'")
 
 
 def attribute(calls: DataFrame, records: DataFrame) -> DataFrame:

@@ -14,11 +14,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import detect, gate, lattice, spotlight, text
-from corvane.operators import chunking, evaluation, ingest, retrieval, taint
+from corvane.functions import credentials, detect, gate, lattice, runs, spotlight, text
+from corvane.operators import budget, chunking, evaluation, ingest, retrieval, taint
 from corvane.plans import relational
 from corvane.session import table
 from corvane.sources import policy as policies
+from corvane.sources.store import new_path
+from corvane.streaming import ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -88,9 +90,17 @@ def _(spark, sf_dir):
     return tiered(spark, sf_dir).groupBy(lattice.tier_label(F.col("tier")).alias("tier_label")).agg(F.count("*").alias("documents"))
 
 
-@query("page_tiers", "SELECT page_id, CASE WHEN url LIKE 'https://%' OR url LIKE 'http://%' THEN 0 ELSE 0 END AS tier FROM pages")
+URIS = ("kb://", "config://", "session://", "file://corpus/", "https://", "http://", "tool:", "email://")
+
+
+@query(
+    "page_tiers",
+    "SELECT page_id, CASE page_id % 8 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 0 END::INTEGER AS tier FROM pages",
+)
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", policies.load().tier(F.col("url")).alias("tier"))
+    scheme = F.get(F.array(*[F.lit(u) for u in URIS]), F.pmod("page_id", F.lit(8)).cast("int"))
+    tail = F.when(F.col("page_id") % 8 == 2, "user-turn").otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", policies.load().tier(F.concat(scheme, tail)).alias("tier"))
 
 
 ROLE_SQL = "CASE role WHEN 'system' THEN 4 WHEN 'user' THEN 3 ELSE 0 END"
@@ -111,49 +121,91 @@ def _(spark, sf_dir):
     return turns.groupBy("conv_id").agg(lattice.glb(F.when(F.col("role") == "tool", 0)).alias("glb"))
 
 
+def provenance(spark, sf_dir):
+    """Each conversation's turns as provenance records; a role and a text's length stand for source and content."""
+    record = F.struct(
+        F.col("role").alias("source_uri"), role_tier().alias("tier"), F.md5((F.length("text") % 5).cast("string")).alias("content_sha256"),
+        F.array("role").alias("detector_flags"), F.col("turn").cast("string").alias("note"),
+    )
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", record.alias("r")))).alias("t"))
+    return rows.select("conv_id", F.transform("t", lambda x: x["r"]).cast(f"array<{lattice.PROVENANCE}>").alias("records"))
+
+
 @query(
     "provenance_merge",
-    """WITH k AS (SELECT lang, doc_id, source, md5(text) AS h, row_number() OVER (PARTITION BY lang, source, md5(text) ORDER BY doc_id) AS n FROM documents)
-    SELECT lang, count(*) AS records, sum(doc_id)::BIGINT AS kept_ids, count(DISTINCT source) AS sources FROM k WHERE n = 1 GROUP BY lang""",
+    """WITH k AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role, length(text) % 5 ORDER BY turn) AS n FROM conversations)
+    SELECT conv_id, count(*)::INTEGER AS records, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS kept, string_agg(role, ',' ORDER BY turn) AS sources FROM k WHERE n = 1 GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    merged = provenance(spark, sf_dir).select("conv_id", lattice.merge_provenance(F.col("records")).alias("m"))
+    note = F.transform("m", lambda r: r["note"])
+    return merged.select("conv_id", F.size("m").alias("records"), F.array_join(note, ",").alias("kept"), F.array_join(F.transform("m", lambda r: r["source_uri"]), ",").alias("sources"))
+
+
+@query(
+    "provenance_flags",
+    """WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) SELECT conv_id, string_agg(role, ',' ORDER BY t) AS flags, string_agg(role, ',' ORDER BY t) AS sources FROM f GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    rows = provenance(spark, sf_dir)
+    return rows.select("conv_id", F.array_join(lattice.flags_of(F.col("records")), ",").alias("flags"), F.array_join(lattice.sources_of(F.col("records")), ",").alias("sources"))
+
+
+@query(
+    "citation_labels",
+    f"{TIERED_SQL} SELECT doc_id, source_uri || ' (' || CASE WHEN lang = 'en' THEN source ELSE 'part ' || (doc_id % 3 + 1) END || ') [' || {LABEL_SQL} || ']' AS citation FROM d",
 )
 def _(spark, sf_dir):
-    w = Window.partitionBy("lang", "source", F.md5("text")).orderBy("doc_id")
-    first = table(spark, sf_dir, "documents").withColumn("n", F.row_number().over(w)).where("n = 1")
-    return first.groupBy("lang").agg(F.count("*").alias("records"), F.sum("doc_id").alias("kept_ids"), F.countDistinct("source").alias("sources"))
+    heading = F.when(F.col("lang") == "en", F.col("source"))
+    label = lattice.citation_label(F.col("source_uri"), heading, F.col("doc_id") % 3, F.col("tier"))
+    return tiered(spark, sf_dir).select("doc_id", label.alias("citation"))
 
 
 # ---------------------------------------------------------------- ingest
 
 
+def labelled_documents(spark, sf_dir) -> DataFrame:
+    docs = documents(spark, sf_dir).select("text", "source_uri", F.col("doc_id").cast("string").alias("doc_id"))
+    return ingest.label(docs, policies.load())
+
+
+#: Every third document is known; every second of those under an older text.
+KNOWN = F.expr("CASE WHEN doc_id % 6 = 0 THEN text || ' (old)' ELSE text END")
+
+
 @query(
     "doc_dedup_skip",
-    """WITH r AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE lang = 'en'), o AS (SELECT * FROM documents WHERE lang <> 'en')
-    SELECT doc_id, md5(text) AS sha FROM o WHERE md5(text) NOT IN (SELECT h FROM r)""",
+    f"{TIERED_SQL} SELECT doc_id::VARCHAR AS identity, source_uri, sha256(text) AS doc_sha256, tier FROM d WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0",
 )
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("sha"))
-    known = docs.where("lang = 'en'").select("sha").distinct()
-    return docs.where("lang <> 'en'").join(known, "sha", "left_anti").select("doc_id", "sha")
+    known = documents(spark, sf_dir).where("doc_id % 3 = 0").select(KNOWN.alias("text"), "source_uri", F.col("doc_id").cast("string").alias("doc_id"))
+    registry = ingest.label(known, policies.load())
+    fresh = ingest.new_documents(labelled_documents(spark, sf_dir), registry)
+    return fresh.select("identity", "source_uri", "doc_sha256", "tier")
+
+
+def text_chunks(spark, sf_dir) -> DataFrame:
+    """Documents as chunks known by their text alone, so that copies meet under several tiers."""
+    return tiered(spark, sf_dir).select(F.sha2("text", 256).alias("chunk_id"), "tier", "doc_id")
 
 
 @query(
     "chunk_dedup",
-    f"""{TIERED_SQL}, k AS (SELECT doc_id, tier, row_number() OVER (PARTITION BY sha256(text), tier ORDER BY doc_id) AS n FROM d)
-    SELECT doc_id, tier FROM k WHERE n = 1""",
+    f"{TIERED_SQL}, k AS (SELECT DISTINCT sha256(text) AS chunk_id, doc_id % 2 AS old FROM d WHERE tier = 0) SELECT chunk_id FROM k GROUP BY 1 HAVING max(old) = 0",
 )
 def _(spark, sf_dir):
-    w = Window.partitionBy(F.sha2("text", 256), "tier").orderBy("doc_id")
-    return tiered(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id", "tier")
+    rows = text_chunks(spark, sf_dir).where("tier = 0")
+    return ingest.new_chunks(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")).select("chunk_id")
 
 
 @query(
     "tier_conflicts",
-    f"""{TIERED_SQL} SELECT sha256(text) AS sha, min(tier)::INTEGER AS low_tier, max(tier)::INTEGER AS high_tier, count(*) AS copies FROM d
-    GROUP BY 1 HAVING min(tier) <> max(tier)""",
+    f"""{TIERED_SQL}, c AS (SELECT DISTINCT sha256(text) AS chunk_id, tier FROM d)
+    SELECT a.chunk_id, a.tier, b.tier AS known_tier FROM c a JOIN c b ON a.chunk_id = b.chunk_id AND a.tier <> b.tier""",
 )
 def _(spark, sf_dir):
-    g = tiered(spark, sf_dir).groupBy(F.sha2("text", 256).alias("sha"))
-    return g.agg(F.min("tier").alias("low_tier"), F.max("tier").alias("high_tier"), F.count("*").alias("copies")).where("low_tier <> high_tier")
+    rows = text_chunks(spark, sf_dir)
+    return ingest.tier_conflicts(rows, rows)
 
 
 CHUNKER = chunking.Chunker()
@@ -172,17 +224,31 @@ def _(spark, sf_dir):
 
 
 @query(
-    "chunk_count_short",
-    """SELECT doc_id, 1 AS chunks, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS chars FROM documents
-    WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) BETWEEN 1 AND 2048""",
+    "chunk_coverage",
+    r"""SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS visible, (length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) <= 2048) AS whole FROM documents""",
 )
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length(text.strip(F.col("text"))).between(1, CHUNKER.max_chars))
-    rows = chunking.chunk(docs, chunking.Chunker(respect_headings=False))
-    return rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunks"), F.sum(F.length("chunk_text")).alias("chars"))
+    """Without overlap, a document's chunks hold exactly its visible characters; a short one is one chunk."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = chunking.chunk(docs, chunking.Chunker(overlap_tokens=0, respect_headings=False))
+    seen = F.length(F.regexp_replace("chunk_text", "\\s", ""))
+    found = rows.groupBy("doc_id").agg(F.sum(seen).cast("int").alias("visible"), (F.count("*") <= 1).alias("whole"))
+    every = docs.select("doc_id").join(found, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("visible", F.lit(0)).alias("visible"), F.coalesce("whole", F.lit(True)).alias("whole"))
+
+
+SECTIONED_SQL = "'# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || text"
+HEADING_SQL = r"(?m)^\s{0,3}(#{1,6})\s+(.+?)\s*$"
 
 
-@query("heading_sections")
+@query(
+    "heading_sections",
+    f"""WITH t AS (SELECT doc_id, {SECTIONED_SQL} AS t FROM documents),
+    p AS (SELECT doc_id, [''] || regexp_extract_all(t, '{HEADING_SQL}', 2) AS heads, regexp_split_to_array(t, '{HEADING_SQL}') AS bodies FROM t),
+    s AS (SELECT doc_id, unnest(heads) AS heading, unnest(bodies) AS body FROM p)
+    SELECT doc_id, heading, length(trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS chars FROM s
+    WHERE length(trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0""",
+)
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n"), "text").alias("text"))
     return docs.select("doc_id", F.inline(chunking.sections(F.col("text")))).select("doc_id", "heading", F.length("body").alias("chars"))
@@ -220,9 +286,16 @@ def ranked_sql(cte: str, k: int) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {cte}) WHERE rank <= {k}"
 
 
+_INDEXES: dict[tuple[str, str], retrieval.Index] = {}
+
+
 def corpus(spark, sf_dir) -> tuple[retrieval.Index, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.build_index(docs), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    """The documents' index, written once per application and table, and the benchmark's texts as queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+        _INDEXES[key] = retrieval.save_index(docs, new_path(spark, "documents-index"))
+    return _INDEXES[key], table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def shown(rows: DataFrame, digits: int = 6) -> DataFrame:
@@ -259,7 +332,7 @@ def _(spark, sf_dir):
 
 @query("tfidf_norms", f"WITH {TOKENS_SQL}, {TFIDF_SQL} SELECT chunk_id, round(norm, 6) AS norm FROM norms")
 def _(spark, sf_dir):
-    return retrieval.tfidf_norms(corpus(spark, sf_dir)[0]).select("chunk_id", F.round("norm", 6).alias("norm"))
+    return corpus(spark, sf_dir)[0].norms.select("chunk_id", F.round("norm", 6).alias("norm"))
 
 
 @query("tfidf_topk", f"WITH {TOKENS_SQL}, {TFIDF_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({ranked_sql('tv', 5)})")
@@ -287,6 +360,17 @@ def _(spark, sf_dir):
     return shown(retrieval.retrieve(*corpus(spark, sf_dir), retrieval.Config(top_k=5, weights={"bm25": 2.0, "vector": 0.5})), 9)
 
 
+@query("incremental_index", f"WITH {TOKENS_SQL}, {BM25_SQL} SELECT query_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS ranking FROM ({ranked_sql('bm', 5)}) GROUP BY 1")
+def _(spark, sf_dir):
+    """An index grown in two batches ranks as one built at once."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    root = new_path(spark, "grown-index")
+    retrieval.save_index(docs.where("chunk_id % 2 = 0"), root)
+    index = retrieval.append_index(docs.where("chunk_id % 2 = 1"), root)
+    ranked = retrieval.rank_ids(retrieval.top_k(retrieval.bm25(index, corpus(spark, sf_dir)[1]), 5))
+    return ranked.select("query_id", F.array_join("chunk_ids", ",").alias("ranking"))
+
+
 @query("single_arm_passthrough", f"WITH {TOKENS_SQL}, {BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, 'bm25' AS retriever, rank FROM ({ranked_sql('bm', 10)})")
 def _(spark, sf_dir):
     return shown(retrieval.retrieve(*corpus(spark, sf_dir), retrieval.Config(use_vector=False)))
@@ -306,7 +390,7 @@ def _(spark, sf_dir):
 
 # ---------------------------------------------------------------- ranking metrics
 
-REL_SQL = """rel AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60))),
+REL_SQL = """rel AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 rels AS (SELECT item_id AS query_id, count(rel.doc_id) AS n_relevant FROM benchmark LEFT JOIN rel ON rel.query_id = item_id GROUP BY 1)"""
 METRICS_SQL = f"""WITH {TOKENS_SQL}, {BM25_SQL}, {REL_SQL}, top AS ({ranked_sql('bm', 5)}),
 hit AS (SELECT top.query_id, rank, (rel.doc_id IS NOT NULL) AS rel FROM top LEFT JOIN rel ON rel.query_id = top.query_id AND rel.doc_id = top.chunk_id),
@@ -317,12 +401,29 @@ m AS (SELECT query_id, n_relevant, hits, CASE WHEN n_relevant > 0 THEN hits / n_
   CASE WHEN n_relevant > 0 THEN dcg / list_sum([1 / log2(i + 1) for i in range(1, least(5, n_relevant) + 1)]) END AS ndcg, CASE WHEN n_relevant > 0 THEN (hits > 0)::INT::DOUBLE END AS hit FROM per)"""
 
 
+def holders(docs: DataFrame, queries: DataFrame, width: int = 5) -> DataFrame:
+    """query_id and doc_id of the texts that hold a query's whole text.
+
+    A text that holds the query holds its second to sixth word as whole words, so the
+    hash of these is an equi-join key; what meets is then verified. Queries of fewer
+    than seven words have no such key and are held against every text.
+    """
+    words = F.split("query", " ")
+    probe = F.when(F.size(words) >= width + 2, F.xxhash64(F.array_join(F.slice(words, 2, width), " ")))
+    asked = queries.withColumn("probe", probe)
+    word = lambda i: F.get(F.col("parts"), i)
+    gram = lambda x, i: F.xxhash64(F.concat_ws(" ", x, *[word(i + k) for k in range(1, width)]))
+    parts = docs.select("doc_id", F.split("text", " ").alias("parts"))
+    spots = parts.select("doc_id", F.explode(F.array_distinct(F.transform("parts", gram))).alias("probe")).join(asked.where("probe is not null"), "probe")
+    long = spots.select("doc_id", "query_id", "query").join(docs, "doc_id").where(F.contains("text", F.col("query")))
+    short = docs.join(asked.where("probe is null"), F.contains(F.col("text"), F.col("query")))
+    return long.select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))
+
+
 def metrics(spark, sf_dir):
     index, queries = corpus(spark, sf_dir)
     ranked = retrieval.top_k(retrieval.bm25(index, queries), 5).select("query_id", F.col("chunk_id").alias("item"), "rank")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), "text")
-    # a stated set of queries against all rows; the benchmark is a fixed list
-    held = docs.join(queries, F.contains(F.col("text"), F.substring("query", 1, 60))).groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
+    held = holders(table(spark, sf_dir, "documents").select("doc_id", "text"), queries).groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
     asked = queries.join(held, "query_id", "left").select("query_id", F.coalesce("relevant", F.array().cast("array<bigint>")).alias("relevant"))
     return evaluation.score_queries(asked, ranked, 5)
 
@@ -415,53 +516,143 @@ def _(spark, sf_dir):
     return payloaded(spark, sf_dir).select("doc_id", spotlight.wrap(F.col("text"), spotlight.ENCODE, F.lit("n")).alias("fenced"))
 
 
-@query("datamark_inflation", rf"SELECT sum(length(regexp_replace(text, '(\S)[\t\x0b\f ]+', '\1' || chr(57344), 'g')))::DOUBLE / sum(length(text)) AS ratio FROM conversations")
+COUNT_SQL = "sum(len(regexp_extract_all({t}, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9 \t\r\n]')))::BIGINT"
+
+
+@query(
+    "datamark_inflation",
+    rf"""WITH t AS (SELECT text, regexp_replace(text, '(\S)[\t\x0b\f ]+', '\1' || chr(57344), 'g') AS marked FROM conversations),
+    s AS (SELECT {COUNT_SQL.format(t='text')} AS tokens_before, {COUNT_SQL.format(t='marked')} AS tokens_after FROM t)
+    SELECT *, tokens_after / tokens_before AS ratio FROM s""",
+)
 def _(spark, sf_dir):
     marked = F.regexp_replace("text", spotlight.GAP, text.DATAMARK)
-    return table(spark, sf_dir, "conversations").agg((F.sum(F.length(marked)) / F.sum(F.length("text"))).alias("ratio"))
+    return evaluation.token_inflation(table(spark, sf_dir, "conversations"), F.col("text"), marked)
 
 
 # ---------------------------------------------------------------- taint and gate
 
-NORM_SQL = r"lower(trim(regexp_replace(replace({t}, chr(57344), ' '), '\s+', ' ', 'g')))"
+NORM_SQL = r"replace(lower(trim(regexp_replace(replace({t}, chr(57344), ' '), '\s+', ' ', 'g'))), 'ß', 'ss')"
 
 
-@query("normalise_text", f"SELECT conv_id, turn, md5({NORM_SQL.format(t='text')}) AS norm FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@query("normalise_text", f"SELECT conv_id, turn, md5({NORM_SQL.format(t='text')}) AS norm FROM conversations")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike("[^\\x00-\\x7f]"))
-    return rows.select("conv_id", "turn", F.md5(text.normalise(F.col("text"))).alias("norm"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.normalise(F.col("text"))).alias("norm"))
 
 
-#: Assistant turns stand for tool outputs, user turns for calls whose one argument is the beginning of their text.
-CALLS_SQL = f"""WITH o AS (SELECT conv_id, turn, {NORM_SQL.format(t='text')} AS norm FROM conversations WHERE role = 'assistant'),
-c AS (SELECT conv_id, turn, {NORM_SQL.format(t='left(text, 5)')} AS needle FROM conversations WHERE role = 'user')"""
+#: Assistant turns stand for tool outputs, half of which repeat the turn before them; user turns for
+#: calls with two arguments, the user's text before (which an output may have repeated) and this one.
+SESSION_SQL = f"""t AS (SELECT conv_id, turn, role, text, lag(text) OVER w AS before, lag(text, 2) OVER w AS earlier FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+o AS (SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN coalesce(before || chr(10), '') ELSE '' END || text || ' ' || PAYLOAD AS text FROM t WHERE role = 'assistant'),
+c AS (SELECT conv_id, turn, unnest(['to', 'body']) AS arg, unnest([coalesce(earlier, ''), text]) AS value FROM t WHERE role = 'user')""".replace(
+    "PAYLOAD", "CASE turn % 3 " + " ".join(f"WHEN {k} THEN {lit(p.strip())}" for k, p in enumerate((PAYLOADS[0], PAYLOADS[3], PAYLOADS[4]))) + " END"
+)
 
 
 def session(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").where("text is not null").withColumns({"before": F.lag("text").over(w), "earlier": F.lag("text", 2).over(w)})
     ids = [F.col("conv_id").alias("conversation_id"), F.lit(1).alias("segment"), F.col("turn").alias("seq")]
-    outputs = turns.where("role = 'assistant'").select(*ids, F.lit("search").alias("tool"), F.col("text").alias("evidence"))
-    value = F.substring("text", 1, 5)
-    arg = F.struct(F.lit("to").alias("name"), value.alias("value"), F.lit(True).alias("is_string"), F.array(value).alias("leaves"))
-    calls = turns.where("role = 'user'").select(*ids, F.lit("send_email").alias("tool"), F.array(arg).alias("args"))
+    echo = F.when((F.col("turn") % 4 < 2) & F.col("before").isNotNull(), F.concat("before", F.lit("\n"))).otherwise("")
+    payload = F.get(F.array(*[F.lit(p.strip()) for p in (PAYLOADS[0], PAYLOADS[3], PAYLOADS[4])]), (F.col("turn") % 3).cast("int"))
+    outputs = turns.where("role = 'assistant'").select(*ids, F.lit("search").alias("tool"), F.concat(echo, "text", F.lit(" "), payload).alias("evidence"))
+    arg = lambda name, v: F.struct(F.lit(name).alias("name"), v.alias("value"), F.lit(True).alias("is_string"), F.array(v).alias("leaves"))
+    args = F.array(arg("to", F.coalesce("earlier", F.lit(""))), arg("body", F.col("text")))
+    calls = turns.where("role = 'user'").select(*ids, F.lit("send_email").alias("tool"), args.alias("args"))
     return outputs, calls
 
 
-@query("arg_attribution", f"{CALLS_SQL} SELECT c.conv_id AS conversation_id, c.turn AS seq, CASE WHEN count(o.turn) > 0 THEN 0 ELSE 3 END AS tier FROM c LEFT JOIN o ON o.conv_id = c.conv_id AND o.turn < c.turn AND length(needle) >= 4 AND contains(o.norm, needle) GROUP BY 1, 2")
+def traced(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The session's decided calls and its records."""
+    policy = policies.load()
+    outputs, calls = session(spark, sf_dir)
+    records = taint.guard(outputs)
+    rows = taint.with_context(gate.with_policy(taint.attribute(calls, records), policy.policies(spark)), records)
+    return gate.act(gate.decide(rows, policy.blocking_flags)), records
+
+
+#: Calls and arguments with the outputs that hold their whole text, the outputs' flags, and the codes they raise.
+LEDGER_SQL = signals_sql(f"WITH {SESSION_SQL}, t2 AS (SELECT * FROM o)".replace("t2 AS (SELECT * FROM o)", "x AS (SELECT 1)")).replace("FROM t),", "FROM o),", 1) + f""",
+n AS (SELECT conv_id, turn, {NORM_SQL.format(t='text')} AS norm, list_distinct([x.f for x in sig]) AS flags FROM s),
+m AS (SELECT c.conv_id, c.turn, c.arg, count(n.turn) AS hits, flatten(list(n.flags) FILTER (WHERE n.turn IS NOT NULL)) AS flags
+  FROM c LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn < c.turn AND length({NORM_SQL.format(t='value')}) >= 4 AND contains(n.norm, {NORM_SQL.format(t='value')}) GROUP BY 1, 2, 3),
+a AS (SELECT conv_id, turn, arg, CASE WHEN hits > 0 THEN 0 ELSE 3 END AS tier,
+  len(list_intersect(coalesce(flags, []), ['injection_high_confidence', 'exfiltration_pattern', 'tool_invocation_attempt', 'credential_pattern', 'quarantine_detected_instruction'])) > 0 AS flagged FROM m)"""
+
+
+@query("arg_attribution", LEDGER_SQL + " SELECT conv_id AS conversation_id, turn AS seq, arg, tier FROM a")
 def _(spark, sf_dir):
     outputs, calls = session(spark, sf_dir)
-    rows = taint.attribute(calls, taint.guard(outputs))
-    return rows.select("conversation_id", "seq", F.get("args", F.lit(0))["tier"].alias("tier"))
+    rows = taint.attribute(calls, taint.guard(outputs)).select("conversation_id", "seq", F.explode("args").alias("a"))
+    return rows.select("conversation_id", "seq", F.col("a.name").alias("arg"), F.col("a.tier").alias("tier"))
 
 
-@query("conversation_ledger")
+CODES_SQL = """, k AS (SELECT conv_id, turn, min(tier)::INTEGER AS effective_tier, max(CASE WHEN arg = 'to' THEN flagged::INT END) + max(CASE WHEN arg = 'body' THEN flagged::INT END) AS nf,
+  max(CASE WHEN arg = 'to' THEN (tier <= 1)::INT END) AS risky FROM a GROUP BY 1, 2)
+SELECT conv_id AS conversation_id, turn AS seq, CASE WHEN nf + risky > 0 THEN 'deny' ELSE 'allow' END AS verdict, CASE WHEN nf + risky > 0 THEN 'refused' ELSE 'executed' END AS action, effective_tier,
+  array_to_string(list_concat(list_resize([]::VARCHAR[], nf, 'flagged_argument'), CASE WHEN risky > 0 THEN ['tainted_side_effect'] ELSE []::VARCHAR[] END), ',') AS codes FROM k"""
+
+
+@query("conversation_ledger", LEDGER_SQL + CODES_SQL)
 def _(spark, sf_dir):
-    policy = policies.load()
+    done, _ = traced(spark, sf_dir)
+    return done.select("conversation_id", "seq", "verdict", "action", "effective_tier", F.array_join("codes", ",").alias("codes"))
+
+
+@query(
+    "argument_trace",
+    LEDGER_SQL + """ SELECT conv_id AS conversation_id, turn AS seq, arg, tier, array_to_string(list_concat(CASE WHEN flagged THEN ['flagged_argument'] ELSE []::VARCHAR[] END,
+    CASE WHEN arg = 'to' AND tier <= 1 THEN ['tainted_side_effect'] ELSE []::VARCHAR[] END), ',') AS codes FROM a""",
+)
+def _(spark, sf_dir):
+    done, _ = traced(spark, sf_dir)
+    return taint.trace(done).select("conversation_id", "seq", "arg", "tier", F.array_join("codes", ",").alias("codes"))
+
+
+@query("refusals_by_conversation", LEDGER_SQL + ", r AS (" + CODES_SQL[2:].replace("k AS (", "SELECT * FROM (WITH k AS (", 1) + ")) SELECT conversation_id, count(*) AS refusals FROM r WHERE action = 'refused' GROUP BY 1")
+def _(spark, sf_dir):
+    done, _ = traced(spark, sf_dir)
+    return taint.refusals(done).groupBy("conversation_id").agg(F.count("*").alias("refusals"))
+
+
+@query(
+    "flags_by_conversation",
+    LEDGER_SQL + """, e AS (SELECT conv_id, turn, unnest(flags) AS flag, generate_subscripts(flags, 1) AS pos FROM n), f AS (SELECT conv_id, flag, min((turn, pos)) AS p FROM e GROUP BY 1, 2),
+    g AS (SELECT conv_id, string_agg(flag, ',' ORDER BY p) AS flags FROM f GROUP BY 1)
+    SELECT DISTINCT o.conv_id AS conversation_id, 'tool:search' AS source, coalesce(g.flags, '') AS flags FROM o LEFT JOIN g USING (conv_id)""",
+)
+def _(spark, sf_dir):
+    outputs, _ = session(spark, sf_dir)
+    rows = taint.flags_seen(taint.guard(outputs), ["conversation_id", "source"])
+    return rows.select("conversation_id", "source", F.array_join("flags", ",").alias("flags"))
+
+
+@query("guard_rendered", LEDGER_SQL.split(",\nn AS (")[0] + r""" SELECT conv_id AS conversation_id, turn AS seq, md5('<<UNTRUSTED_n>>' || chr(10) || regexp_replace(text, '(<</?\s*)UNTRUSTED(_[^\s>]*\s*>>)', '\1UNTR' || chr(8203) || 'USTED\2', 'g') || chr(10) || '<</UNTRUSTED_n>>') AS fenced, len(list_distinct([x.f for x in sig]))::INTEGER AS n_flags FROM s""")
+def _(spark, sf_dir):
+    """Outputs scanned raw and marked afterwards, span by span."""
+    outputs, _ = session(spark, sf_dir)
+    shown = taint.rendered(taint.guard(outputs.withColumn("spans", F.array("evidence"))), spotlight.DELIMIT, F.lit("n"))
+    return shown.select("conversation_id", "seq", F.md5(F.get("spans", F.lit(0))).alias("fenced"), F.size("flags").alias("n_flags"))
+
+
+def stream_events(spark, sf_dir) -> DataFrame:
+    """The session as a stream's events: outputs and calls with the history's length as progress."""
     outputs, calls = session(spark, sf_dir)
-    records = taint.guard(outputs)
-    rows = taint.with_context(gate.with_policy(taint.attribute(calls, records), policy.policies(spark)), records)
-    done = gate.act(gate.decide(rows, policy.blocking_flags))
-    return done.select("conversation_id", "seq", "tool", "verdict", "action", "effective_tier", "codes", "tainted_args", "reason", "note")
+    none = F.lit(None)
+    ids = [F.col("conversation_id").cast("string").alias("conversation_id"), F.col("seq").cast("long").alias("seq")]
+    place = [(F.col("seq") + 1).cast("long").alias("progress"), (F.col("seq") + 1).cast("long").alias("position")]
+    scanned = taint.guard(outputs)
+    out = scanned.select(*ids, F.lit("output").alias("kind"), *place, "source", "norm", "flags", none.cast("array<string>").alias("needles"))
+    value = F.get("args", F.lit(0))["value"]
+    call = calls.select(*ids, F.lit("call").alias("kind"), *place, none.cast("string").alias("source"), none.cast("string").alias("norm"), none.cast("array<string>").alias("flags"), text.needles(F.array(value)).alias("needles"))
+    return out.unionByName(call)
+
+
+@query("stream_ledger", LEDGER_SQL + " SELECT conv_id::VARCHAR AS conversation_id, turn::BIGINT AS seq, tier FROM a WHERE arg = 'to'")
+def _(spark, sf_dir):
+    """Guard and gate over one keyed state give the tiers that the batch joins give."""
+    rows = ledger_stream.ledger_batch(stream_events(spark, sf_dir))
+    return rows.where("kind = 'call'").select("conversation_id", "seq", "tier")
 
 
 #: Event types as tools: how each is treated by the policy that the gate queries use.
@@ -545,7 +736,14 @@ def _(spark, sf_dir):
     return taint.segments(turns(spark, sf_dir).withColumn("marks", F.lit(True))).select("conversation_id", "seq", "reset", "segment")
 
 
-@query("turn_resets_unmarked")
+@query(
+    "turn_resets_unmarked",
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS p, turn % 2 = 0 AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE text IS NOT NULL),
+    f AS (SELECT conv_id, turn, k, true AS reset, 1 AS segment, CASE WHEN m THEN greatest(0, p) ELSE 0 END AS done FROM t WHERE k = 1
+      UNION ALL SELECT t.conv_id, t.turn, t.k, t.p <= f.done, f.segment + (t.p <= f.done)::INT,
+        CASE WHEN t.m THEN greatest(CASE WHEN t.p <= f.done THEN 0 ELSE f.done END, t.p) WHEN t.p <= f.done THEN 0 ELSE f.done END FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)
+    SELECT conv_id::VARCHAR AS conversation_id, turn::BIGINT AS seq, reset, segment FROM f""",
+)
 def _(spark, sf_dir):
     return taint.segments(turns(spark, sf_dir).withColumn("marks", F.col("seq") % 2 == 0)).select("conversation_id", "seq", "reset", "segment")
 
@@ -605,13 +803,13 @@ def _(spark, sf_dir):
 
 @query("cluster_rates", "SELECT source AS cluster, count(*) AS n, round(avg((quality = 0)::INT), 9) AS rate_a, round(avg((toxic = 1)::INT), 9) AS rate_b FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def _(spark, sf_dir):
-    mean = lambda c: F.round(F.avg(F.col(c).cast("int")), 9).alias(f"rate_{c}")
-    return outcomes(spark, sf_dir).groupBy("cluster").agg(F.count("*").alias("n"), mean("a"), mean("b"))
+    rate = lambda c: F.round(F.col(f"s{c}") / F.col("n"), 9).alias(f"rate_{c}")
+    return evaluation.cluster_sums(outcomes(spark, sf_dir)).select("cluster", "n", rate("a"), rate("b"))
 
 
 @query("cluster_bootstrap_ci")
 def _(spark, sf_dir):
-    return evaluation.cluster_bootstrap(outcomes(spark, sf_dir), resamples=2000, seed=0)
+    return evaluation.cluster_bootstrap(outcomes(spark, sf_dir), seed=0)
 
 
 @query(
@@ -620,11 +818,130 @@ def _(spark, sf_dir):
     SELECT coalesce(a.doc_id, b.doc_id) AS key, a.doc_id IS NULL AS right_only FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL""",
 )
 def _(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    a = labels.where("quality = 1").select("doc_id").distinct().withColumn("l", F.lit(True))
-    b = labels.where("toxic = 0").select("doc_id").distinct().withColumn("r", F.lit(True))
-    both = a.join(b, "doc_id", "full_outer").where("l is null or r is null")
-    return both.select(F.col("doc_id").alias("key"), F.col("l").isNull().alias("right_only"))
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "key")
+    return evaluation.key_mismatches(labels.where("quality = 1"), labels.where("toxic = 0"))
+
+
+@query(
+    "paired_intersection",
+    """WITH a AS (SELECT doc_id, toxic = 1 AS p FROM labels WHERE quality = 1), b AS (SELECT doc_id, doc_id % 3 = 0 AS p FROM labels WHERE doc_id % 2 = 0),
+    c AS (SELECT count(*) AS couples, count(*) FILTER (WHERE a.p AND b.p) AS n_both, count(*) FILTER (WHERE a.p AND NOT b.p) AS only_a, count(*) FILTER (WHERE b.p AND NOT a.p) AS only_b FROM a JOIN b USING (doc_id))
+    SELECT couples, n_both AS "both", only_a, only_b, round(least(1, 2 * pow(0.5, only_a + only_b)), 4) AS p_floor FROM c""",
+)
+def _(spark, sf_dir):
+    """The console's pairing: keys that both arms have, and the least p-value their discordant pairs allow."""
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "key")
+    a = labels.where("quality = 1").select("key", (F.col("toxic") == 1).alias("passed"))
+    b = labels.where("key % 2 = 0").select("key", (F.col("key") % 3 == 0).alias("passed"))
+    rows = evaluation.pair_counts(evaluation.paired_where_both(a, b))
+    return rows.select(F.col("n_pairs").alias("couples"), "both", "only_a", "only_b", F.round(evaluation.p_floor(F.col("only_a") + F.col("only_b")), 4).alias("p_floor"))
+
+
+@query("compare_metrics", COUNTS_SQL.replace("SELECT lang,", "SELECT lang AS metric,").replace("n_both", '"both"').replace("lang AS metric, count", "lang AS metric, count"))
+def _(spark, sf_dir):
+    """Two runs, metric by metric, keys checked."""
+    rows = labelled(spark, sf_dir).select(F.col("lang").alias("metric"), F.col("doc_id").cast("string").alias("key"), "quality", "toxic")
+    a = rows.select("metric", "key", (F.col("quality") == 0).alias("passed"))
+    b = rows.select("metric", "key", (F.col("toxic") == 1).alias("passed"))
+    return evaluation.compare_runs(a, b).select("metric", "both", "only_a", "only_b", "neither")
+
+
+@query("mean_or_none", "SELECT lang, avg((toxic = 1)::INT) FILTER (WHERE quality = 0 AND lang <> 'en') AS rate FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def _(spark, sf_dir):
+    some = F.when((F.col("quality") == 0) & (F.col("lang") != "en"), F.col("toxic") == 1)
+    return labelled(spark, sf_dir).groupBy("lang").agg(evaluation.mean_or_none(some).alias("rate"))
+
+
+# ---------------------------------------------------------------- runs and configuration
+
+
+@query("defence_labels", "SELECT event_id, 'guard-l1' || CASE WHEN event_id % 2 = 0 THEN '+l2-delimit' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '+l3' ELSE '' END || CASE WHEN event_id % 7 = 0 THEN '+l4' ELSE '' END || CASE WHEN event_id % 5 = 0 THEN '+l5' ELSE '' END AS label FROM events")
+def _(spark, sf_dir):
+    on = lambda n: F.col("event_id") % n == 0
+    return table(spark, sf_dir, "events").select("event_id", runs.label_of(on(2), on(3), on(7), on(5), F.lit(spotlight.DELIMIT)).alias("label"))
+
+
+@query("task_selection", "SELECT c_name AS task FROM (SELECT c_name, regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT AS n FROM (SELECT 'task_' || c_custkey AS c_name FROM customer)) ORDER BY n, c_name LIMIT 25")
+def _(spark, sf_dir):
+    tasks = table(spark, sf_dir, "customer").select(F.concat(F.lit("task_"), F.col("c_custkey").cast("string")).alias("task"))
+    return runs.first_ids(tasks, "task", 25)
+
+
+@query("run_flags", "SELECT event_id, (event_id % 4 = 0 AND event_id % 3 <> 0) AS replayed, (event_id % 5 = 0 OR event_id % 6 = 0) AS screening_only FROM events")
+def _(spark, sf_dir):
+    e = F.col("event_id")
+    metric = F.when(e % 3 != 0, e.cast("double"))
+    named = lambda n: F.when(e % n == 0, F.array(F.lit("task_1")))
+    return table(spark, sf_dir, "events").select("event_id", runs.replayed(e % 4, F.lit(None), metric).alias("replayed"), runs.screening_only(named(5), named(6)).alias("screening_only"))
+
+
+SETTINGS = ("GITHUB_TOKEN", "OPENAI_API_KEY", "HOME", "MONKEY", "db_password", "OPENAI_API_KEY")
+VALUES = ("plain", "sk-abc", "/root", "gsk_x", "hunter2", "ghp_z")
+
+
+@query(
+    "credential_shapes",
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'name-shape' WHEN 3 THEN 'value-prefix' WHEN 4 THEN 'name-shape' WHEN 5 THEN 'value-prefix' END AS kind,
+    CASE event_id % 6 WHEN 0 THEN '' WHEN 3 THEN 'Groq' WHEN 4 THEN '' WHEN 5 THEN 'GitHub' END AS issuer FROM events""",
+)
+def _(spark, sf_dir):
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("event_id") % 6).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", credentials.finding(pick(SETTINGS), pick(VALUES)).alias("f")).select("event_id", "f.kind", "f.issuer")
+
+
+@query("blocking_flags", DOC_SIGNALS + " SELECT doc_id, array_to_string(list_filter(list_distinct([x.f for x in sig]), lambda f: f IN ('exfiltration_pattern', 'credential_pattern')), ',') IN ('exfiltration_pattern', 'credential_pattern', 'exfiltration_pattern,credential_pattern', 'credential_pattern,exfiltration_pattern') AS blocked, verdict = 'clean' AS is_clean FROM s")
+def _(spark, sf_dir):
+    held = detect.blocking(F.col("flags"), ("exfiltration_pattern", "credential_pattern"))
+    return scanned(spark, sf_dir).select("doc_id", (F.size(held) > 0).alias("blocked"), (F.col("verdict") == "clean").alias("is_clean"))
+
+
+@query("tool_counts", f"SELECT {len(policies.load().tools)} AS tools, {sum(t['side_effecting'] for t in policies.load().tools)} AS sinks")
+def _(spark, sf_dir):
+    return policies.load().policies(spark).agg(F.count("*").cast("int").alias("tools"), F.count_if("side_effecting").cast("int").alias("sinks"))
+
+
+@query(
+    "budget_by_day",
+    "SELECT ts::DATE AS day, count(*) AS request_count, coalesce(sum(user_id), 0)::BIGINT AS input_tokens, coalesce(sum(event_id), 0)::BIGINT AS output_tokens FROM events GROUP BY 1",
+)
+def _(spark, sf_dir):
+    """Daily totals kept as state: two batches of requests merged by day."""
+    log = call_log(spark, sf_dir)
+    return budget.merged(budget.daily(log.where("seq % 2 = 0")), log.where("seq % 2 = 1"))
+
+
+def call_log(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("user_id").alias("input_tokens"), F.col("event_id").alias("output_tokens"))
+
+
+@query(
+    "budget_decisions",
+    """WITH e AS (SELECT event_id AS seq, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) - 1 AS d, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS r FROM events)
+    SELECT seq, d < 200 AND r < 50 AS allowed FROM e""",
+)
+def _(spark, sf_dir):
+    return budget.decisions(call_log(spark, sf_dir), 200, 50).select("seq", "allowed")
+
+
+@query("positional_zip", "SELECT conv_id, count(*) AS pairs, max(turn)::BIGINT AS last FROM conversations GROUP BY 1")
+def _(spark, sf_dir):
+    """Calls and decisions paired by position: arrays zipped, as many pairs as the longer has."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("calls"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("decisions"))
+    pairs = rows.select("conv_id", F.explode(F.arrays_zip("calls", "decisions")).alias("p")).where(F.col("p.calls") == F.col("p.decisions.turn"))
+    return pairs.groupBy("conv_id").agg(F.count("*").alias("pairs"), F.max("p.calls").cast("long").alias("last"))
+
+
+@query(
+    "argument_leaves",
+    """SELECT event_id, (10000000 + event_id) || ',' || event_type || ',deep-' || event_id AS leaves,
+    '{"a":["' || event_type || '",{"b":{"c":{"d":{"e":["deep-' || event_id || '"]}}}}],"n":' || (10000000 + event_id) || ',"z":7}' AS canonical FROM events""",
+)
+def _(spark, sf_dir):
+    """JSON arguments: leaf texts at any depth (numbers only if long enough), and the canonical text."""
+    ident = F.col("event_id").cast("string")
+    value = F.format_string('{"z": 7, "n": %s, "a": ["%s", {"b": {"c": {"d": {"e": ["deep-%s"]}}}}]}', (F.col("event_id") + 10_000_000).cast("string"), "event_type", ident)
+    rows = table(spark, sf_dir, "events").select("event_id", value.alias("v"))
+    return rows.select("event_id", F.array_join(text.json_leaves("v"), ",").alias("leaves"), text.canonical_json("v").alias("canonical"))
 
 
 @query("config_fingerprint", "SELECT doc_id, left(sha256(lang || chr(31) || source || chr(31) || coalesce(CASE WHEN lang = 'en' THEN doc_id::VARCHAR END, chr(0) || 'None')), 8) AS fingerprint FROM documents")

@@ -9,12 +9,9 @@ from corvane.operators import evaluation, ingest, retrieval
 from corvane.operators.chunking import Chunker
 from corvane.sources import files
 from corvane.sources import policy as policies
+from corvane.sources.store import cut, new_path
 
-ARMS = {
-    "bm25": retrieval.Config(use_vector=False),
-    "vector": retrieval.Config(use_bm25=False),
-    "hybrid": retrieval.Config(),
-}
+ARMS = retrieval.NAMED_ARMS
 
 
 def evaluate(spark: SparkSession, path: str, k: int = 5) -> DataFrame:
@@ -22,12 +19,13 @@ def evaluate(spark: SparkSession, path: str, k: int = 5) -> DataFrame:
     docs, queries, settings = files.load_golden(spark, path)
     docs = docs.select("text", F.concat(F.lit("kb://"), "doc_id").alias("source_uri"), "doc_id")
     chunks = ingest.ingest(docs, policies.load(), chunker=Chunker(**settings)).chunks
-    keyed = chunks.withColumn("key", F.concat("doc_id", F.lit("#"), F.col("ordinal").cast("string"))).cache()
+    keyed = chunks.withColumn("key", F.concat("doc_id", F.lit("#"), F.col("ordinal").cast("string")))
+    keyed = cut(keyed, "golden-chunks")
     labelled = queries.select(F.explode("relevant_chunk_ids").alias("key")).distinct()
     lost = [r["key"] for r in labelled.join(keyed, "key", "left_anti").limit(3).collect()]
     if lost:
         raise files.SourceError(f"labelled chunks that the corpus does not have: {lost}")
-    index = retrieval.build_index(keyed, "key", retrieval.searchable(F.col("heading"), F.col("text")))
+    index = retrieval.save_index(keyed, new_path(spark, "golden-index"), "key", retrieval.searchable(F.col("heading"), F.col("text")))
     asked = queries.select("query_id", "query")
     truth = queries.select("query_id", F.col("relevant_chunk_ids").alias("relevant"))
     out = None

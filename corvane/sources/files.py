@@ -60,7 +60,7 @@ def load_run(spark: SparkSession, path: str) -> DataFrame:
     """(run, metric, key, passed) of a result file's per-couple maps."""
     results = "map<string,boolean>"
     schema = f"raw struct<clean:struct<utility_results:{results},security_results:{results}>,injected:struct<utility_results:{results},security_results:{results}>>"
-    raw = spark.read.option("multiLine", True).schema(schema).json(path).withColumn("run", F.input_file_name())
+    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path).withColumn("run", F.input_file_name())
     parts = None
     for metric in METRICS:
         one = raw.select("run", F.lit(metric).alias("metric"), F.explode(F.col(f"raw.{metric}")).alias("key", "passed"))
@@ -69,6 +69,16 @@ def load_run(spark: SparkSession, path: str) -> DataFrame:
     return parts
 
 
+def load_run_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """``load_run``, or None where there is no such file or it does not read: a page shows an absent section."""
+    try:
+        rows = load_run(spark, path)
+        rows.limit(1).collect()
+        return rows
+    except Exception:
+        return None
+
+
 def headline_check(results: DataFrame, told: dict[str, float | None], tolerance: float = 1e-9) -> None:
     """Raises where a metric's mean is not what the file's headline says."""
     for r in results.groupBy("metric").agg(F.avg(F.col("passed").cast("double")).alias("rate")).collect():

@@ -1,7 +1,7 @@
 """Taint state as a stream: per conversation, resets and what was processed.
 
-The same rule as the batch fold, kept as keyed state: (processed, segment). Events of
-a micro-batch are ordered by (progress, seq) inside a conversation.
+The same rule as the batch fold, kept as keyed state: (processed, segment). Events
+carry their caller's sequence number, by which a micro-batch is ordered.
 """
 
 from __future__ import annotations

@@ -1,54 +1,66 @@
-"""The chunker against an independent restatement, on random texts."""
+"""What chunks must be, on random texts, and outputs worked out by hand."""
 
 import random
 
 import pytest
 
+from corvane.functions.text import CHARS_PER_TOKEN
 from corvane.operators import chunking
 
-SEPS = ["\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " "]
-
-
-def pieces(text, most, level=0):
-    if len(text) <= most:
-        return [text]
-    if level == len(SEPS):
-        return [text[k : k + most] for k in range(0, len(text), most)]
-    if SEPS[level] not in text:
-        return pieces(text, most, level + 1)
-    parts = text.split(SEPS[level])
-    whole = [p + SEPS[level] for p in parts[:-1]] + parts[-1:]
-    return [q for p in whole if p.strip() for q in (pieces(p, most, level + 1) if len(p) > most else [p])]
-
-
-def merged(text, most, overlap):
-    text = text.strip()
-    if not text:
-        return []
-    if len(text) <= most:
-        return [text]
-    out, buf = [], ""
-    for p in pieces(text, most):
-        if buf and len(buf) + len(p) > most:
-            out.append(buf.strip())
-            buf = (buf[-overlap:] if overlap else "") + p
-        else:
-            buf += p
-    return out + ([buf.strip()] if buf.strip() else [])
-
-
-@pytest.mark.parametrize(("tokens", "overlap"), [(4, 1), (8, 0), (16, 4)])
-def test_chunks_match(spark, tokens, overlap):
-    rng = random.Random(tokens)
-    bits = ["a", "bb", "word", ". ", "! ", "? ", "; ", ", ", " ", "\n", "\n\n", "longerword", "x" * 40, "é"]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(150)]
+
+def chunked(spark, texts, config):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    cfg = chunking.Chunker(tokens, overlap, respect_headings=False)
-    got = {}
-    for r in chunking.chunk(df, cfg).collect():
-        got.setdefault(r["doc_id"], []).append((r["ordinal"], r["chunk_text"]))
-    for k, t in enumerate(texts):
-        assert [c for _, c in sorted(got.get(k, []))] == merged(t, tokens * 4, overlap * 4)
+    got = {k: [] for k in range(len(texts))}
+    for r in chunking.chunk(df, config).orderBy("doc_id", "ordinal").collect():
+        got[r["doc_id"]].append((r["ordinal"], r["chunk_text"]))
+    assert all([o for o, _ in rows] == list(range(len(rows))) for rows in got.values())
+    return [[c for _, c in got[k]] for k in range(len(texts))]
+
+
+def random_texts(seed, n=150):
+    rng = random.Random(seed)
+    bits = ["a", "bb", "word", ". ", "! ", "? ", "; ", ", ", " ", "\n", "\n\n", "longerword", "x" * 40, "é"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(n)]
+
+
+def visible(text):
+    return "".join(text.split())
+
+
+@pytest.mark.parametrize("tokens", [4, 8, 25])
+def test_without_overlap_chunks_hold_the_text_in_order_and_within_bounds(spark, tokens):
+    texts = random_texts(tokens)
+    for text, chunks in zip(texts, chunked(spark, texts, chunking.Chunker(tokens, 0, respect_headings=False))):
+        assert visible("".join(chunks)) == visible(text)
+        assert all(len(c) <= tokens * CHARS_PER_TOKEN and c == c.strip() for c in chunks)
+        if len(text.strip()) <= tokens * CHARS_PER_TOKEN:
+            assert chunks == ([text.strip()] if text.strip() else [])
+
+
+@pytest.mark.parametrize(("tokens", "overlap"), [(8, 2), (16, 4)])
+def test_overlap_begins_a_chunk_with_the_end_of_the_one_before(spark, tokens, overlap):
+    texts = [t for t in random_texts(99 + tokens) if t.strip()]
+    plain = chunked(spark, texts, chunking.Chunker(tokens, 0, respect_headings=False))
+    for text, alone, chunks in zip(texts, plain, chunked(spark, texts, chunking.Chunker(tokens, overlap, respect_headings=False))):
+        assert all(len(c) <= (tokens + overlap) * CHARS_PER_TOKEN for c in chunks)
+        assert visible(chunks[0])[:1] == visible(text)[:1] and visible(chunks[-1])[-1:] == visible(text)[-1:]
+        assert len(chunks) >= len(alone)
+        for before, after in zip(chunks, chunks[1:]):
+            shared = max((k for k in range(len(after) + 1) if visible(before).endswith(visible(after[:k]))), default=0)
+            assert shared > 0 or not visible(before)
+
+
+def test_outputs_worked_by_hand(spark):
+    config = chunking.Chunker(4, 1, respect_headings=False)  # at most 16 characters, 4 of them repeated
+    texts = ["one two. three four. five", "para one\n\npara two is long", "abcdefghijklmnopqrst", "  \n ", "short"]
+    want = [
+        ["one two.", "wo. three four.", "ur. five"],  # cut after sentences; ". " stays with what it ends
+        ["para one", "ne\n\npara two is long"],  # cut at the paragraph only; what is repeated comes on top
+        ["abcdefghijklmnop", "mnopqrst"],  # nothing to cut at: cut hard
+        [],
+        ["short"],
+    ]
+    assert chunked(spark, texts, config) == want
 
 
 def test_sections(spark):
