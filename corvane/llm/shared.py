@@ -2,60 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources.store import cut, new_path, remove, work_dir
+
+__all__ = ["WHITE", "WHITE_RUN", "beside", "cut", "free_name", "key128", "new_path", "remove", "work_dir"]
 #: White space that separates words in all operators: space, \t, \n, \v, \f, \r.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset and the master is local (tests on one machine) a local folder
-    is made and recorded in the session, so that later calls agree on it; a cluster
-    without a shared folder is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), "corvane-" + uuid.uuid4().hex[:12])
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name under the shared folder, deleted when the session ends."""
-    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared store that no later plan reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here.
-
-    A lost executor then costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have in any spelling."""
     taken = {c.lower() for c in df.columns}
