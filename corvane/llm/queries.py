@@ -11,6 +11,10 @@ from corvane.llm import line_dedup, lm_scoring, mixing, near_dedup, packing, qua
 from corvane.session import table
 
 
+#: Half as many tokens again as there are, dealt almost evenly: sources are repeated, small ones more often.
+MIX = mixing.Mix(target_entropy=0.99995, max_repeat=4.0, budget=1.5)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = sharding.shard(docs, n_shards=40)
@@ -66,7 +70,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan, _ = mixing.spread(table(spark, sf_dir, "documents"), mixing.Mix())
+    plan, _ = mixing.spread(table(spark, sf_dir, "documents"), MIX)
     return plan
 
 
@@ -140,33 +144,57 @@ SELECT n.doc_id, n.n AS n_shingles, min(other) AS component_id, min(other) = n.d
 """
 
 
+def _phrases_sql() -> str:
+    return "(?:" + "|".join(p.replace("'", "''") for p in quality_rules.BOILERPLATE) + ")s?"
+
+
 def _fails_sql(x: str) -> str:
-    """A line fails one of the shipped rules."""
+    """A line fails one of the shipped rules, menus of several lines aside."""
     rules, few = quality_rules.QualityRules(), f"length({x})"
     marks = lambda m: f"(length({x}) - length(translate({x}, '{m}', '')))"
     words = f"len({_WORDS_SQL.format(t=x).replace('lambda x: x', 'lambda w: w')})"
-    phrases = " OR ".join(f"contains(lower({x}), '{p}')" for p in quality_rules.BOILERPLATE)
+    lower = f"lower(trim({x}, {_WHITE_SQL}))"
+    whole = f"'(?:^|[^\\pL\\pN])({_phrases_sql()})(?:[^\\pL\\pN]|$)'"
+    held = f"length(array_to_string(regexp_extract_all({lower}, {whole}, 1), ''))"
+    phrases = f"(regexp_matches({lower}, {whole}) AND {held} * 100 >= length({lower}) * {rules.boiler_share})"
     return (
-        f"({marks(quality_rules.NOISE_MARKS)} * 100 > {few} * {rules.noise_share} OR ({marks('|')} >= {rules.nav_marks} "
-        f"AND {marks('|')} * 100 >= {words} * {rules.nav_share}) OR {phrases})"
+        f"({marks(quality_rules.NOISE_MARKS)} * 100 > {few} * {rules.noise_share} OR ({marks(quality_rules.NAV_MARKS)} >= {rules.nav_marks} "
+        f"AND {marks(quality_rules.NAV_MARKS)} * 100 >= {words} * {rules.nav_share}) OR {phrases})"
     )
 
 
+_RULES = quality_rules.QualityRules()
+_ENDS = quality_rules.TERMINAL.replace("'", "''")
 QUALITY_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, {_WORDS_SQL.format(t='t')} AS ws, string_split(t, chr(10)) AS ls FROM d),
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM r GROUP BY 1),
-l AS (SELECT doc_id, unnest(ls) AS x FROM w),
-b AS (SELECT doc_id, sum(length(array_to_string({_WORDS_SQL.format(t='x').replace('lambda x: x', 'lambda w: w')}, ''))) AS n FROM l WHERE {_fails_sql('x')} GROUP BY 1),
+l AS (SELECT doc_id, i, ls[i] AS x, trim(ls[i], {_WHITE_SQL}) AS s FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM w)),
+e AS (SELECT *, length(s) BETWEEN 1 AND {_RULES.menu_chars} AND NOT contains('{_ENDS}', right(s, 1)) AND len({_WORDS_SQL.format(t='s').replace('lambda x: x', 'lambda w: w')}) <= {_RULES.menu_words} AS entry FROM l),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, entry ORDER BY i) AS run FROM e),
+m AS (SELECT *, entry AND count(*) OVER (PARTITION BY doc_id, entry, run) >= {_RULES.menu_run} AS menu FROM o),
+b AS (SELECT doc_id, sum(length(array_to_string({_WORDS_SQL.format(t='x').replace('lambda x: x', 'lambda w: w')}, ''))) AS n FROM m WHERE menu OR {_fails_sql('x')} GROUP BY 1),
 f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   (length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')))::BIGINT AS n_symbols,
-  list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS full_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(b.n, 0) AS lost
+  list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(b.n, 0) AS lost
   FROM w LEFT JOIN c USING (doc_id) LEFT JOIN b USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND lost * 100 <= word_chars * {quality_rules.QualityRules().max_lost_share} AS kept FROM v
+  NOT base_failed AND lost * 100 <= word_chars * {_RULES.max_lost_share} AS kept FROM v
+"""
+
+
+_DOT_SQL = "list_reduce(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]), lambda x, y: x + y)"  # summed from first to last
+SEARCH_SQL = f"""
+WITH u AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+v AS (SELECT vec_id, e, sqrt({_DOT_SQL.format(a='e', b='e')}) AS n FROM u),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, q.e AS a, c.e AS b, q.n AS na, c.n AS nb FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+s AS (SELECT query_id, vec_id, max(greatest(-1, least(1, {_DOT_SQL.format(a='a', b='b')} / (na * nb)))) AS score FROM p GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
@@ -176,5 +204,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_near_dedup": NEAR_DEDUP_SQL,
         "op4_line_dedup": LINE_DEDUP_SQL,
         "op5_warc": WARC_SQL,
+        "op8_vector_search": SEARCH_SQL,
         "op9_quality_rules": QUALITY_SQL,
     }

@@ -584,3 +584,44 @@ def test_columns_may_have_any_name(spark):
         assert out.columns == df.columns
         assert all(r[n] == f"own{r['doc_id']}" for r in out.collect() for n in names)
     assert corpus_pipeline.pack(spark, df, "").count() == 6
+
+
+CLEAN_BY_LANGUAGE = {
+    "en": "The council met late on Tuesday.\nIt heard from the harbour master, who wants a copyright on the tide tables.\nNobody agreed",
+    "de": "Der Rat tagte am Dienstag bis spät in die Nacht.\nIm Impressumsrecht ist vieles offen, sagte die Leiterin nach der Sitzung.\nEs blieb ruhig",
+    "fr": "Le conseil a siégé mardi soir.\nLa directrice veut en savoir plus sur le port avant de voter le budget de la ville et de ses quais.\nOui",
+    "es": "El consejo se reunió el martes.\nLa directora quiere leer más informes sobre el puerto antes de votar el presupuesto de la ciudad vieja.\nSí",
+}
+JUNK_BY_LANGUAGE = {
+    "en": "Click here to log in",
+    "de": "Klicken Sie hier • Alle Rechte vorbehalten",
+    "fr": "Tous droits réservés - Mentions légales",
+    "es": "Todos los derechos reservados. Aviso legal",
+}
+
+
+def test_quality_rules_in_four_languages(spark):
+    rng = random.Random(31)
+    rows = []
+    for k, lang in enumerate(CLEAN_BY_LANGUAGE):
+        body = f"{CLEAN_BY_LANGUAGE[lang]}\n{prose(rng, 60)}."
+        rows += [(10 * k, body), (10 * k + 1, f"{JUNK_BY_LANGUAGE[lang]}\n{body}"), (10 * k + 2, "Home\nNews\nContact us\nSearch\nSite map\n" + body)]
+    rows.append((99, f"Home\nNews\n\nSearch\nHelp\n{prose(rng, 60)}."))  # a blank line ends a run
+    got = {r["doc_id"]: r for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(4):
+        body = rows[3 * k][1]
+        assert [got[10 * k + j]["clean_text"] for j in range(3)] == [body] * 3
+        assert all(got[10 * k + j]["kept"] for j in range(3))
+    assert got[99]["clean_text"] == rows[-1][1]
+
+
+def test_a_registered_mix_moves_weights(spark):
+    from corvane.llm import queries
+
+    rows = [(k, "a b c d e f g h i", f"s{k % 20}" if k % 3 else "s0") for k in range(3000)]
+    got = mixing.spread(spark.createDataFrame(rows, "doc_id long, text string, source string"), queries.MIX)[0].collect()
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["copies"] * r["n_tokens"]
+    assert max(taken.values()) <= 1.1 * min(taken.values()) and len({r["copies"] for r in got}) >= 2
+    assert abs(sum(taken.values()) - 1.5 * sum(r["n_tokens"] for r in got)) < 0.01 * sum(taken.values())
