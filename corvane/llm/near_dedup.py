@@ -515,7 +515,7 @@ def links_between(docs: DataFrame, classes: DataFrame, sketches: DataFrame, cfg:
         most = cfg.medium if level < cfg.depth else sys.maxsize
         some = large.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") <= most).select("node")
         medium = tiles(large.join(some, "node", "left_semi").select("node", "doc_id", "label"), "node", cfg.small, cfg).withColumn("node", F.col("key")).distinct()
-        medium = medium.join(held, "doc_id", "left").withColumn("own", F.coalesce("own", key)).join(about.drop("label"), "doc_id")
+        medium = medium.withColumn("own", key).join(about.drop("label"), "doc_id")
         groups = groups.unionByName(small_groups(medium, cfg).select("key", "doc_id"))
         large = large.join(some, "node", "left_anti")
         if large.limit(1).count() == 0:
