@@ -7,8 +7,8 @@ the position of every 64th one kept as a sample.
 ``Trie`` has two levels. The first holds the sorted distinct contexts and a monotone
 pointer per context to where its successors begin; the second holds, context by
 context, the successors (made monotone over the whole level by adding the running
-sum of context ranges) and one quantised value each. A query finds its context, then
-searches its successor relative to that context's range.
+sum of context ranges) and one quantised value each. A query finds its context, reads its
+pointers, and searches its successor in that context's range alone.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import numpy as np
 
 #: Counts below this are stored exactly, larger ones in steps of half a percent.
 EXACT, STEP = 1024, 1.005
+#: Successors that a search decodes at a time (8 bytes each).
+STRIDE = 1 << 16
 
 
 def quantise(values: np.ndarray) -> np.ndarray:
@@ -66,12 +68,32 @@ class EliasFano:
             out |= self.low[k * self.n : (k + 1) * self.n].astype(np.uint64) << np.uint64(8 * k)
         return out
 
+    def between(self, lo: int, hi: int) -> np.ndarray:
+        """The values at the positions from ``lo`` up to ``hi``."""
+        if lo >= hi:
+            return np.empty(0, np.uint64)
+        first, last = (int(p) for p in self.select(np.array([lo, hi - 1])))
+        start = first // 8
+        bits = np.unpackbits(self.high[start : last // 8 + 1], bitorder="little")
+        ones = np.nonzero(bits[first - start * 8 :])[0][: hi - lo] + first
+        out = (ones - np.arange(lo, hi)).astype(np.uint64) << np.uint64(self.low_bits)
+        for k in range(self.low_bits // 8):
+            out |= self.low[k * self.n + lo : k * self.n + hi].astype(np.uint64) << np.uint64(8 * k)
+        return out
+
     def arrays(self) -> list[np.ndarray]:
         return [self.low, self.high, self.ranks]
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """The values at some positions: select of the at-th one, then the low bits."""
         at = np.asarray(at, dtype=np.int64)
+        value = (self.select(at) - at).astype(np.uint64) << np.uint64(self.low_bits)
+        for k in range(self.low_bits // 8):
+            value |= self.low[k * self.n + at].astype(np.uint64) << np.uint64(8 * k)
+        return value
+
+    def select(self, at: np.ndarray) -> np.ndarray:
+        """The bit positions of some ones, found from the counts before every 64th byte."""
         block = np.searchsorted(self.ranks, at, side="right") - 1
         left = (at - self.ranks[block]).astype(np.int64)
         out = np.zeros(len(at), np.int64)
@@ -88,10 +110,7 @@ class EliasFano:
             rest = left[part] - np.where(byte > 0, total[row, byte - 1], 0)
             bit = _SELECT[window[row, byte], rest]
             out[part] = (start + byte) * 8 + bit
-        value = (out - at).astype(np.uint64) << np.uint64(self.low_bits)
-        for k in range(self.low_bits // 8):
-            value |= self.low[k * self.n + at].astype(np.uint64) << np.uint64(8 * k)
-        return value
+        return out
 
 
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.int64)
@@ -146,9 +165,9 @@ class Trie:
     def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """The value codes of some n-grams, 0 where the trie has none.
 
-        The pointers of a query's context give the range of its successors. A few
-        queries bisect inside that range on the compressed level; for many, the level
-        is decoded once and all are placed by one merge, context by context.
+        Queries are taken context by context: the pointers give the range of a context's
+        successors, which alone is decoded and searched, relative to its context. Ranges
+        of neighbouring contexts are decoded together, ``STRIDE`` successors at a time.
         """
         out = np.zeros(len(context), np.uint16)
         if not self.contexts.n or not len(context):
@@ -156,22 +175,20 @@ class Trie:
         heads = self.contexts.decode()
         c = np.minimum(np.searchsorted(heads, context), len(heads) - 1)
         known = np.nonzero(heads[c] == context)[0]
+        known = known[np.lexsort((successor[known], c[known]))]
         c = c[known]
         want = successor[known].astype(np.uint64) + (c.astype(np.uint64) << np.uint64(self.width))
-        if len(known) * 16 > self.successors.n:
-            level = self.successors.decode()
-            at = np.minimum(np.searchsorted(level, want), len(level) - 1)
-            hit = np.nonzero(level[at] == want)[0]
-            out[known[hit]] = self.values[at[hit]]
-            return out
-        lo, hi = (self.pointers.get(c + k).astype(np.int64) for k in (0, 1))
-        end = hi.copy()
-        while len(open_ := np.nonzero(lo < hi)[0]):
-            mid = (lo[open_] + hi[open_]) // 2
-            below = self.successors.get(mid) < want[open_]
-            lo[open_[below]] = mid[below] + 1
-            hi[open_[~below]] = mid[~below]
-        inside = np.nonzero(lo < end)[0]
-        hit = inside[self.successors.get(lo[inside]) == want[inside]]
-        out[known[hit]] = self.values[lo[hit]]
+        asked = np.unique(c)
+        begin, end = (self.pointers.get(asked + k).astype(np.int64) for k in (0, 1))
+        at = 0
+        while at < len(asked):
+            # as many asked contexts as lie within a stride of successors, at least one
+            stop = max(at + 1, int(np.searchsorted(end, begin[at] + STRIDE, side="right")))
+            lo, hi = int(begin[at]), int(end[stop - 1])
+            rows = slice(int(np.searchsorted(c, asked[at])), int(np.searchsorted(c, asked[stop - 1], side="right")))
+            level = self.successors.between(lo, hi)
+            place = np.minimum(np.searchsorted(level, want[rows]), len(level) - 1)
+            hit = np.nonzero(level[place] == want[rows])[0]
+            out[known[rows][hit]] = self.values[lo + place[hit]]
+            at = stop
         return out

@@ -237,7 +237,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/z").where("intact").count() == 3 * len(rows)
 
 
-def test_trie_and_elias_fano():
+def test_trie_and_elias_fano(monkeypatch):
     rng = np.random.default_rng(0)
     for universe in (10, 1000, 1 << 44):
         v = np.sort(rng.integers(0, universe, 500).astype(np.uint64))
@@ -249,6 +249,13 @@ def test_trie_and_elias_fano():
     trie = ngram_trie.Trie.of(c, s, count, 8, 10).mapped()
     for n in (20, len(pairs)):
         assert (trie.lookup(c[:n], s[:n]) == count[:n]).all()
+    calls = []
+    monkeypatch.setattr(ngram_trie, "STRIDE", 64)
+    monkeypatch.setattr(ngram_trie.EliasFano, "between", lambda self, lo, hi, real=ngram_trie.EliasFano.between: calls.append((lo, hi)) or real(self, lo, hi))
+    some = rng.permutation(len(pairs))[:400]
+    assert (trie.lookup(c[some], s[some]) == count[some]).all()
+    assert len(calls) > 10 and all(hi - lo <= 64 + 24 for lo, hi in calls)  # ranges, never the whole level
+    assert (trie.successors.between(5, 9) == trie.successors.decode()[5:9]).all()
     missing = np.setdiff1d(np.arange(1 << 12).astype(np.uint64), pairs)
     assert (trie.lookup(missing >> np.uint64(10), missing & np.uint64(1023)) == 0).all()
     big = np.array([1024, 5000, 10**6])
