@@ -170,7 +170,7 @@ def labelled_documents(spark, sf_dir) -> DataFrame:
 
 
 #: Every third document is known; every second of those under an older text.
-KNOWN = F.expr("CASE WHEN doc_id % 6 = 0 THEN text || ' (old)' ELSE text END")
+KNOWN = "CASE WHEN doc_id % 6 = 0 THEN text || ' (old)' ELSE text END"
 
 
 @query(
@@ -178,7 +178,7 @@ KNOWN = F.expr("CASE WHEN doc_id % 6 = 0 THEN text || ' (old)' ELSE text END")
     f"{TIERED_SQL} SELECT doc_id::VARCHAR AS identity, source_uri, sha256(text) AS doc_sha256, tier FROM d WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0",
 )
 def _(spark, sf_dir):
-    known = documents(spark, sf_dir).where("doc_id % 3 = 0").select(KNOWN.alias("text"), "source_uri", F.col("doc_id").cast("string").alias("doc_id"))
+    known = documents(spark, sf_dir).where("doc_id % 3 = 0").select(F.expr(KNOWN).alias("text"), "source_uri", F.col("doc_id").cast("string").alias("doc_id"))
     registry = ingest.label(known, policies.load())
     fresh = ingest.new_documents(labelled_documents(spark, sf_dir), registry)
     return fresh.select("identity", "source_uri", "doc_sha256", "tier")
