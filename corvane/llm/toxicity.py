@@ -1,31 +1,36 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-Voters. Each voter is a word (lexicon) or the beginning of words (pattern). The
-insults of ``SEED_LEXICON`` always vote; further words and word beginnings are mined
-from the labelled training rows by how much more often toxic texts hold them. A voter
-votes "toxic" on a text that holds its word, and otherwise abstains.
+Voters. Each voter is a word (lexicon) or the beginning of words (pattern) and votes for
+one class on a text that holds it, else it abstains. The insults of ``SEED_LEXICON``
+always vote for toxic; further words and beginnings are mined from the labelled training
+rows, for either class, by how much more often texts of that class hold them.
 
 Label model. A text's votes are modelled as generated by its hidden class. Voters
 that nearly always vote together, given the class, are correlated: their excess
 agreement is estimated and each voter's weight is divided by the size of the group
 it effectively speaks for. Accuracies (the rates of voting in either class) and the
 class balance are estimated by expectation maximisation over the votes. A row's given
-label is one more voter, of a fixed accuracy, so no label is beyond doubt.
+label is one more voter: it starts the maximisation, so that it knows which class is
+which, and its accuracy is estimated like any other but never above ``label_accuracy``,
+so that votes can overrule it. (Without the labels' vote the classes drift apart from
+them: half as many toxic texts are found.)
 
 Classifier. A logistic regression on vote counts is trained on the label model's
 posteriors and scores every text. Inputs are the text's words alone.
 
 Scale: the models are fitted on a bounded sample of labelled training rows
 (``max_rows`` of either class, taken by a hash of the id, weighted back to the fold's
-class balance); counts for mining are aggregated on the
-executors; scoring is one pass over the texts without a shuffle. What tasks receive is
-the sample's ids (at most twice ``max_rows`` numbers) and at most ``max_voters`` voters.
-
-Defined cases: null and empty texts have no votes and get the base score; unlabelled
-rows, null labels and rows outside the training fold never reach the models; rows
-that repeat an id are scored each; without any toxic training row the seed lexicon
-votes with default accuracies; an empty table gives an empty result; other columns
-are ignored.
+class balance); counts for mining are aggregated on the executors; scoring is one pass
+over the texts without a shuffle. The model's size is part of its definition: the
+``max_voters`` toxic and ``max_clean_voters`` clean features that tell most, by text
+count and lift, ties by length and spelling. Tasks receive these and the sample's ids.
+
+Defined cases: null and empty texts have no votes and get the base score; a very long
+text is scored whole; unlabelled rows, null labels and rows outside the training fold
+never reach the models; rows that repeat an id are scored each, and count in training
+with any of their texts; a null id is scored and has no label; without any toxic training
+row the seed lexicon votes with default accuracies; an empty table gives an empty result;
+other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -55,9 +60,10 @@ REMEMBERED = 500_000
 class Toxicity:
     max_rows: int = 6_000
     max_voters: int = 640
+    max_clean_voters: int = 160
     min_texts: int = 6
     min_lift: float = 8.0
-    rounds: int = 12
+    rounds: int = 25
     label_accuracy: float = 0.98
 
 
@@ -129,32 +135,34 @@ def _voter(voters: dict[str, int]):
     return run
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, odds: float, cfg: Toxicity) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors of the sample's rows and the voters' log-odds weights.
+def label_model(votes: np.ndarray, labels: np.ndarray, share: np.ndarray, cfg: Toxicity) -> tuple[np.ndarray, np.ndarray, float]:
+    """Posteriors of the sample's rows, the voters' log-odds weights, and the class log-odds.
 
-    odds: the logarithm of the fold's toxic over clean rows.
+    Class balance, the rates of voting in either class and the accuracy of the given
+    labels are estimated together, rows weighted by ``share``.
     """
-    n, m = votes.shape
-    told = np.log(cfg.label_accuracy / (1 - cfg.label_accuracy)) * (2 * labels - 1)
-    y = labels.astype(np.float32)
-    pull = np.zeros(m, np.float32)
+    m, most = votes.shape[1], cfg.label_accuracy
+    y, pull, balance = labels.astype(np.float64), np.zeros(m), 0.0
     for _ in range(cfg.rounds):
-        on = (y @ votes + 0.5) / (y.sum() + 1)
-        off = ((1 - y) @ votes + 1.0) / ((1 - y).sum() + 2)
+        yes, no = share * y, share * (1 - y)
+        n = len(y) * yes.sum(), len(y) * no.sum()  # effective rows of either class
+        on = (len(y) * (yes @ votes) + 0.5) / (n[0] + 1)
+        off = (len(y) * (no @ votes) + 0.5) / (n[1] + 1)
         # excess agreement of two voters inside the classes, as a correlation
-        centred = votes - (y[:, None] * on + (1 - y)[:, None] * off)
-        spread = np.sqrt((centred**2).mean(axis=0) + 1e-9)
-        corr = np.clip((centred.T @ centred) / n / np.outer(spread, spread), 0, 1)
+        centred = (votes - (y[:, None] * on + (1 - y)[:, None] * off)) * np.sqrt(share)[:, None]
+        spread = np.sqrt((centred**2).sum(axis=0) + 1e-9)
+        corr = np.clip((centred.T @ centred) / np.outer(spread, spread), 0, 1)
         group = np.maximum(1.0, (corr * (corr > 0.4)).sum(axis=1))
-        yes, no = np.log(on / off) / group, np.log((1 - on) / (1 - off)) / group
-        pull = (yes - no).astype(np.float32)
-        log = odds + told + votes @ pull + no.sum()
-        new = (1 / (1 + np.exp(-np.clip(log, -30, 30)))).astype(np.float32)
+        told, silent = np.log(on / off) / group, np.log((1 - on) / (1 - off)) / group
+        pull, balance = told - silent, float(np.log(yes.sum() / no.sum()))
+        right = np.clip([yes @ labels / yes.sum(), no @ (1 - labels) / no.sum()], 0.5, most)
+        given = np.where(labels == 1, np.log(right[0] / (1 - right[1])), np.log((1 - right[0]) / right[1]))
+        new = 1 / (1 + np.exp(-np.clip(balance + given + votes @ pull + silent.sum(), -30, 30)))
         moved = np.abs(new - y).max()
         y = new
         if moved < 1e-4:
             break
-    return y, pull
+    return y, pull, balance
 
 
 def design(rows: list[tuple[list[int], list[int]]], m: int) -> np.ndarray:
@@ -165,9 +173,10 @@ def design(rows: list[tuple[list[int], list[int]]], m: int) -> np.ndarray:
     return x
 
 
-def linear(x: np.ndarray, y: np.ndarray, share: np.ndarray, start: np.ndarray, odds: float, steps: int = 300) -> tuple[np.ndarray, float]:
+def linear(x: np.ndarray, y: np.ndarray, share: np.ndarray, start: np.ndarray, toxic: np.ndarray, odds: float, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels with row weights ``share``, from the label
-    model's weights on; each weight adapts at its own pace. No vote speaks for clean."""
+    model's weights on; each weight adapts at its own pace. A voter never speaks against
+    its polarity (``toxic``: true where it votes for toxic)."""
     w, b = start.copy(), float(odds)
     mean, var = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     for t in range(1, steps + 1):
@@ -176,24 +185,29 @@ def linear(x: np.ndarray, y: np.ndarray, share: np.ndarray, start: np.ndarray, o
         grad = np.append(x.T @ g + 1e-6 * w, g.sum())
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad**2
         move = 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-7)
-        w, b = np.maximum(w - move[:-1], 0).astype(np.float32), b - float(move[-1])
+        w = w - move[:-1]
+        w, b = np.where(toxic, np.maximum(w, 0), np.minimum(w, 0)).astype(np.float32), b - float(move[-1])
     return w, b
 
 
-def choose_voters(found: list[tuple[str, int, int]], cfg: Toxicity) -> dict[str, int]:
-    """The seed lexicon and the mined features, without a beginning that matches the
-    very texts that a longer voter does."""
+def choose_voters(found: list[tuple[str, int, int]], clean: list[tuple[str, int, int]], cfg: Toxicity) -> tuple[dict[str, int], int]:
+    """The voters, toxic ones first, and how many of them are toxic: the seed lexicon and
+    mined features, without a beginning that matches the very texts a longer voter does."""
     voters = {w: k for k, w in enumerate(SEED_LEXICON)}
-    chosen: dict[tuple[int, int], list[str]] = {}
-    for name, toxic, clean in found:
-        same = chosen.setdefault((toxic, clean), [])
-        if name.endswith("*") and any(o.startswith(name[:-1]) for o in same):
-            continue
-        same.append(name)
-        voters.setdefault(name, len(voters))
-        if len(voters) >= cfg.max_voters:
-            break
-    return voters
+
+    def add(rows: list[tuple[str, int, int]], most: int) -> None:
+        chosen: dict[tuple[int, int], list[str]] = {}
+        for name, toxic, other in rows:
+            same = chosen.setdefault((toxic, other), [])
+            if len(voters) >= most or name.endswith("*") and any(o.startswith(name[:-1]) for o in same):
+                continue
+            same.append(name)
+            voters.setdefault(name, len(voters))
+
+    add(found, cfg.max_voters)
+    n_toxic = len(voters)
+    add(clean, n_toxic + cfg.max_clean_voters)
+    return voters, n_toxic
 
 
 def fit(texts: DataFrame, n_toxic: int, n_clean: int, cfg: Toxicity = Toxicity()) -> Model:
@@ -201,20 +215,22 @@ def fit(texts: DataFrame, n_toxic: int, n_clean: int, cfg: Toxicity = Toxicity()
     sizes = texts.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     p, n = int(sizes["p"] or 0), int(sizes["n"])
     if not n_toxic or not n_clean or not p or p == n:
-        voters = choose_voters([], cfg)
+        voters, _ = choose_voters([], [], cfg)
         return Model(voters, np.full(len(voters), 4.0), -2.5)
     counts = texts.mapInArrow(_mine, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     lift = (F.col("toxic") / F.lit(p)) / ((F.col("clean") + 1) / F.lit(max(n - p, 1)))
-    strong = counts.where((F.col("toxic") >= cfg.min_texts) & (lift >= cfg.min_lift))
-    best = strong.orderBy((F.col("toxic") * F.ln(lift)).desc(), F.length("feature").desc(), "feature").limit(4 * cfg.max_voters)
-    voters = choose_voters([(r["feature"], r["toxic"], r["clean"]) for r in best.collect()], cfg)
-    rows = texts.mapInArrow(_voter(voters), "toxic int, voter array<int>, times array<int>").collect()
-    x = design([(r["voter"], r["times"]) for r in rows], len(voters))
-    labels = np.array([r["toxic"] for r in rows])
-    odds = float(np.log(n_toxic / n_clean))
-    posterior, pull = label_model((x > 0).astype(np.float32), labels, odds, cfg)
+    fall = (F.col("clean") / F.lit(max(n - p, 1))) / ((F.col("toxic") + 1) / F.lit(p))
+    some = cut(counts.where(((F.col("toxic") >= cfg.min_texts) & (lift >= cfg.min_lift)) | ((F.col("clean") >= cfg.min_texts) & (fall >= cfg.min_lift))), "tox-features")
+    rows = lambda by, most: [tuple(r)[:3] for r in some.where(by >= cfg.min_lift).orderBy((F.greatest("toxic", "clean") * F.ln(by)).desc(), F.length("feature").desc(), "feature").limit(most).collect()]
+    voters, n_for = choose_voters(rows(lift, 4 * cfg.max_voters), rows(fall, 4 * cfg.max_clean_voters), cfg)
+    got = texts.mapInArrow(_voter(voters), "toxic int, voter array<int>, times array<int>").collect()
+    x = design([(r["voter"], r["times"]) for r in got], len(voters))
+    labels = np.array([r["toxic"] for r in got])
     share = np.where(labels == 1, n_toxic / p, n_clean / max(n - p, 1)) / (n_toxic + n_clean)
-    w, b = linear(x, posterior, share.astype(np.float32), np.maximum(pull, 0), odds)
+    posterior, pull, odds = label_model((x > 0).astype(np.float64), labels, share, cfg)
+    toxic = np.arange(len(voters)) < n_for
+    start = np.where(toxic, np.maximum(pull, 0), np.minimum(pull, 0)).astype(np.float32)
+    w, b = linear(x, posterior, share.astype(np.float32), start, toxic, odds)
     return Model(voters, w, b)
 
 
