@@ -41,8 +41,10 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """node and component (the smallest node reachable) for every node of ``links`` (a, b).
 
-    Few links are solved in one task of bounded size. Otherwise this alternates large-star and small-star steps: each node's larger (then smaller)
-    neighbours are linked to its smallest neighbour, until nothing changes. Every
+    Few links are solved in one task of bounded size, with the same result. Otherwise this
+    alternates large-star and small-star steps: each node's larger (then smaller)
+    neighbours are linked to its smallest neighbour, until nothing changes (which takes a
+    number of rounds logarithmic in the nodes; more than ``max_rounds`` is an error). Every
     step is one aggregation and one join; its result is written to the shared folder.
     A node with very many neighbours only contributes its minimum to the join, and
     adaptive execution splits its rows.
@@ -64,5 +66,7 @@ def components(links: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK)
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
