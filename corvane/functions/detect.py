@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions.lattice import UNTRUSTED, union_in_order
+from corvane.functions.text import let
 
 #: Flag, category, severity, pattern; in the order they are tried.
 PATTERNS = (
@@ -25,6 +28,23 @@ PATTERNS = (
     ("hidden_content", "hidden", "MEDIUM", "[\u200b\u200c\u200d\u200e\u200f\u2060\ufeff]"),
     ("encoded_content", "encoded", "LOW", r"\b[A-Za-z0-9+/]{60,}={0,2}\b"),
 )
+#: What a match of each pattern cannot do without: one literal of every group, in the folded text.
+NEEDS: tuple[tuple[tuple[str, ...], ...], ...] = (
+    (("ignore", "disregard", "forget", "override"), ("instruction", "prompt", "command", "direction", "rule", "context")),
+    ((":",), ("instruction", "task", "prompt", "objective")),
+    ((":",), ("system", "assistant", "developer")),
+    (("you",), ("are",), ("now",)),
+    (("mode",), ("maintenance", "developer", "debug", "admin", "god", "jailbreak", "dan")),
+    (("act", "pretend"),),
+    (("@",), ("forward", "send", "email", "e-mail", "leak", "exfiltrate", "upload", "post", "transmit", "share")),
+    (("all",), ("forward", "send", "email", "leak", "exfiltrate", "upload", "transmit")),
+    (("key", "token", "password", "passwd"),),
+    (("sk-", "ghp_", "xox", "akia"),),
+    (("<!--",), ("-->",)),
+    (("\u200b", "\u200c", "\u200d", "\u200e", "\u200f", "\u2060", "\ufeff"),),
+    (),
+)
+ENCODED = 12  # has no literal; a long run of its characters instead
 MARKER = r"<</?\s*UNTRUSTED_[^\s>]*\s*>>"
 #: A severity's weight, and the verdicts' thresholds.
 WEIGHTS = {"LOW": 0.2, "MEDIUM": 0.5, "HIGH": 0.9}
@@ -60,18 +80,46 @@ def looks_like_marker(text: Column) -> Column:
 
 
 def signals(text: Column, tools: tuple[str, ...] = ()) -> Column:
-    """Each pattern's first match, the marker signal, and the escalation, in order."""
-    every = (*PATTERNS, *tool_patterns(tools))
-    kind = lambda k: F.array(*[F.lit(p[k]) for p in every])
+    """Each pattern's first match and the marker signal, in order.
+
+    A pattern is tried on texts alone that hold the literals it needs: most texts are
+    passed over by plain searches.
+    """
+    return let(text, lambda t: let(folded(t), lambda hay: _signals(t, hay, tools)))
+
+
+def folded(text: Column) -> Column:
+    """``text`` in which every character that equals an ASCII letter without case is that lower-case letter."""
+    for odd, plain in ("\u0130i", "\u0131i", "\u017fs", "\u212ak"):
+        text = F.replace(text, F.lit(odd), F.lit(plain))
+    return F.lower(text)
+
+
+def possible(hay: Column, need: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether the folded text holds one literal of each group."""
+    found = F.lit(True)
+    for group in need:
+        found = found & reduce(or_, [F.contains(hay, F.lit(x)) for x in group])
+    return found
+
+
+def _signals(text: Column, hay: Column, tools: tuple[str, ...]) -> Column:
+    called = tool_patterns(tools)
+    names = tuple(n.lower() for n in tools if n)
+    every = (*PATTERNS, *called)
+    may = [possible(hay, n) for n in NEEDS] + [possible(hay, (names,)) for _ in called]
+    may[ENCODED] = hay.rlike("(?:^|[^a-z0-9+/])[a-z0-9+/]{60}")
     # every pattern matches at least one character, so one extraction tells match and evidence
-    hits = F.array(*[F.regexp_extract(text, f"({java(p[3])})", 1) for p in every])
+    hits = F.array(*[F.when(m, F.regexp_extract(text, f"({java(p[3])})", 1)) for m, p in zip(may, every)])
+    kind = lambda k: F.array(*[F.lit(p[k]) for p in every])
     one = lambda e, i: F.when(
         F.length(e) > 0,
         F.struct(F.get(kind(0), i).alias("flag"), F.get(kind(1), i).alias("category"), F.get(kind(2), i).alias("severity"), snippet(e).alias("evidence")),
     )
     note = F.lit("the text imitates the fence that marks outside data")
     mark = F.struct(F.lit("spotlight_marker_present").alias("flag"), F.lit("marker").alias("category"), F.lit("HIGH").alias("severity"), note.alias("evidence"))
-    return F.filter(F.concat(F.transform(hits, one), F.array(F.when(looks_like_marker(text), mark))), lambda s: s.isNotNull())
+    marked = F.when(F.contains(hay, F.lit("untrusted_")) & looks_like_marker(text), mark)
+    return F.filter(F.concat(F.transform(hits, one), F.array(marked)), lambda s: s.isNotNull())
 
 
 def escalate(found: Column) -> Column:
@@ -96,12 +144,19 @@ def verdict(value: Column) -> Column:
 
 
 def scan(df, text: str = "text", tools: tuple[str, ...] = (), enabled: bool = True):
-    """``df`` with signals, flags, score and verdict of its text (empty ones are clean)."""
+    """``df`` with signals, flags, score and verdict of its text (empty ones are clean).
+
+    All four are made in one generated row per row, so that no filter or column that
+    uses them has the patterns tried again.
+    """
     none = F.array().cast(f"array<{SIGNAL}>")
     raw = F.when(F.length(text) > 0, signals(F.col(text), tools)).otherwise(none) if enabled else none
-    df = df.withColumn("_found", F.coalesce(raw, none)).withColumn("signals", escalate(F.col("_found"))).drop("_found")
-    df = df.withColumn("score", score(F.col("signals"))).withColumn("verdict", verdict(F.col("score")))
-    return df.withColumn("flags", F.array_distinct(F.transform("signals", lambda s: s["flag"])))
+    whole = lambda found, value: F.struct(
+        found.alias("signals"), value.alias("score"), verdict(value).alias("verdict"), F.array_distinct(F.transform(found, lambda s: s["flag"])).alias("flags")
+    )
+    scanned = let(F.coalesce(raw, none), lambda f: let(escalate(f), lambda found: let(score(found), lambda value: whole(found, value))))
+    names = [c for c in df.columns if c not in ("signals", "score", "verdict", "flags")]
+    return df.select("*", F.explode(F.array(scanned)).alias("_scan")).select(*[F.col(f"`{c}`") for c in names], "_scan.*")
 
 
 def strict_tier(tier: Column, found: Column) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import CHARS_PER_TOKEN, SPACE, strip
+from corvane.functions.text import CHARS_PER_TOKEN, SPACE, let, strip
 
 #: Separators, coarsest first.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
@@ -42,11 +42,6 @@ class Chunker:
         return self.overlap_tokens * CHARS_PER_TOKEN
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def sections(text: Column) -> Column:
     """array<struct<heading, body>>: the part before the first heading, then each heading
     with what follows it; parts without a body are left out."""
