@@ -108,7 +108,7 @@ def _signals(text: Column, hay: Column, tools: tuple[str, ...]) -> Column:
     names = tuple(n.lower() for n in tools if n)
     every = (*PATTERNS, *called)
     may = [possible(hay, n) for n in NEEDS] + [possible(hay, (names,)) for _ in called]
-    may[ENCODED] = hay.rlike("(?:^|[^a-z0-9+/])[a-z0-9+/]{60}")
+    may[ENCODED] = hay.rlike("(?<![a-z0-9+/])[a-z0-9+/]{60}")
     # every pattern matches at least one character, so one extraction tells match and evidence
     hits = F.array(*[F.when(m, F.regexp_extract(text, f"({java(p[3])})", 1)) for m, p in zip(may, every)])
     kind = lambda k: F.array(*[F.lit(p[k]) for p in every])
