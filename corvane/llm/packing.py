@@ -64,6 +64,10 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
+#: A single space between two visible characters: texts may be cut before it.
+BREAK = re.compile(r"(?<=\S) (?=\S)")
+
+
 class Tokens:
     """Texts to ids as little-endian 32-bit bytes, remembering words.
 
@@ -80,8 +84,9 @@ class Tokens:
         self.marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.known: dict[str, bytes] = {}
 
-    def ids(self, part: str) -> bytes:
-        return np.array(self.encode(part), dtype="<u4").tobytes()
+    def each(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of some texts."""
+        return [np.array(self.encode(part), dtype="<u4").tobytes() for part in parts]
 
     def of(self, text: str) -> bytes:
         if self.marks is None or not self.marks.search(text):
@@ -90,25 +95,18 @@ class Tokens:
         return b"".join(own(t) if k % 2 else self.plain(t) for k, t in enumerate(self.marks.split(text)) if t)
 
     def plain(self, text: str) -> bytes:
-        parts = text.split(" ")
-        if len(parts) < 4:
-            return self.ids(text)
-        known, out, held = self.known, [], parts[0]
+        first, *parts = BREAK.split(text)
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for p in parts[1:]:
-            if held and p and not p[0].isspace() and not held[-1].isspace():
-                found = known.get(held)
-                if found is None:
-                    found = self.ids(held)
-                    if len(held) < 64:
-                        known[held] = found
-                out.append(found)
-                held = " " + p
-            else:
-                held = held + " " + p
-        out.append(self.ids(held))
-        return b"".join(out)
+        out = list(map(known.get, parts))
+        (head,) = self.each([first])
+        if None in out:
+            new = list({p: None for p, ids in zip(parts, out) if ids is None})
+            found = dict(zip(new, self.each([" " + p for p in new])))
+            out = [found[p] if ids is None else ids for p, ids in zip(parts, out)]
+            known.update((p, ids) for p, ids in found.items() if len(p) < 64)
+        return head + b"".join(out)
 
 
 def cutter(vocabulary: str, capacity: int, end_id: int):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import line_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules, sharding, toxicity, vector_search, warc
+from corvane.llm import divergence, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules, sharding, spelling, token_files, toxicity, vector_search, warc
 from corvane.session import table
 
 
@@ -74,6 +74,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the operators' order."""
     return {
@@ -87,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_search": op8_vector_search,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
+        "op11_divergence": op11_divergence,
+        "op12_spelling": op12_spelling,
+        "op13_token_files": op13_token_files,
     }
 
 
@@ -199,6 +216,51 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+_TERMS_SQL = f"regexp_extract_all(translate(t, '{_UPPER}', '{_UPPER.lower()}'), '{divergence.TERM}')"
+_SHARE_SQL = "(1 + ({n} + 2)::HUGEINT * 1000000000 // ({total} + 2 * {kept}))::BIGINT"
+_APART_SQL = "((p - q) * (p - q)) // (p + q)"
+DIVERGENCE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+x AS (SELECT id, lang, source, unnest({_TERMS_SQL}) AS term FROM d),
+k AS (SELECT lang, term FROM x GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS kept FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM x SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(any_value(kept), 0) AS kept, coalesce(any_value(total), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2) USING (lang, source) GROUP BY 1, 2),
+s AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, {_SHARE_SQL.format(n='coalesce(n, 0)', total='total', kept='kept')} AS p FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+w AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2),
+u AS (SELECT lang, sum(n) AS total FROM w GROUP BY 1),
+q AS (SELECT lang, term, {_SHARE_SQL.format(n='n', total='total', kept='kept')} AS q FROM w JOIN u USING (lang) JOIN v USING (lang)),
+m AS (SELECT a.lang, a.source, b.source AS item, sum({_APART_SQL}) AS value FROM s a JOIN (SELECT lang, source, term, p AS q FROM s) b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ({_APART_SQL})::BIGINT FROM s JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+#: CRC-32 of a text's UTF-8 bytes: the table by its rule, then a fold over the bytes.
+_CRC_TABLE_SQL = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+_BYTES_SQL = "list_transform(range(octet_length(encode({t}))), lambda i: ('0x' || substr(hex(encode({t})), 2 * i + 1, 2))::BIGINT)"
+SPELLING_SQL = f"""
+WITH RECURSIVE d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(text, '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
+x AS (SELECT id || ':' || run AS marked, run, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(t, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM d) GROUP BY 1, 2),
+tab AS (SELECT {_CRC_TABLE_SQL} AS crc_table),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, {_BYTES_SQL.format(t='marked')}), lambda c, b: xor(crc_table[(xor(c, b) & 255) + 1], c >> 8))) AS h FROM x, tab),
+r AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM r WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+v AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+c AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM v),
+pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM c a JOIN c b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM c JOIN w ON c.rest = w.word UNION SELECT w.word, c.word, c.n FROM c JOIN w ON c.rest = w.word),
+near AS (SELECT word, count(*) AS n_near, min((-other_n, other)) AS best FROM pairs GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * w.n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * w.n THEN -best[1] END AS form_n FROM w LEFT JOIN near USING (word)),
+up AS (SELECT word, word AS at FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON up.at = f.word WHERE f.form IS NOT NULL),
+top AS (SELECT up.word, up.at AS root FROM up JOIN f ON f.word = up.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN top USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries whose full result it can express."""
     return {
@@ -207,4 +269,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": WARC_SQL,
         "op8_vector_search": SEARCH_SQL,
         "op9_quality_rules": QUALITY_SQL,
+        "op11_divergence": DIVERGENCE_SQL,
+        "op12_spelling": SPELLING_SQL,
     }
