@@ -38,8 +38,6 @@ from pyspark.sql import functions as F
 from corvane.llm.shared import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 300_000
 #: Rows of one numbering bucket, on average.
 BUCKET_ROWS = 1_000
 
@@ -64,29 +62,17 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
-#: A single space between two visible characters: texts may be cut before it.
-BREAK = re.compile(r"(?<=\S) (?=\S)")
-
-
 class Tokens:
-    """Texts to ids as little-endian 32-bit bytes, remembering words.
+    """Texts to ids as little-endian 32-bit bytes.
 
-    The vocabulary's pattern always begins a new token at the last white space
-    character before a visible one, so a text may be cut before every single space
-    that stands between two visible characters. Added tokens that stand in a text have
-    their own id; what lies between them is encoded by itself.
+    Added tokens that stand in a text have their own id; what lies between them is
+    encoded by itself.
     """
 
     def __init__(self, vocabulary: str) -> None:
-        encoding, self.added = encoder(vocabulary)
-        self.encode = encoding.encode_ordinary
+        self.encoding, self.added = encoder(vocabulary)
         longest = sorted(self.added, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        self.known: dict[str, bytes] = {}
-
-    def each(self, parts: list[str]) -> list[bytes]:
-        """The ids of each of some texts."""
-        return [np.array(self.encode(part), dtype="<u4").tobytes() for part in parts]
 
     def of(self, text: str) -> bytes:
         if self.marks is None or not self.marks.search(text):
@@ -95,18 +81,7 @@ class Tokens:
         return b"".join(own(t) if k % 2 else self.plain(t) for k, t in enumerate(self.marks.split(text)) if t)
 
     def plain(self, text: str) -> bytes:
-        first, *parts = BREAK.split(text)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = list(map(known.get, parts))
-        (head,) = self.each([first])
-        if None in out:
-            new = list({p: None for p, ids in zip(parts, out) if ids is None})
-            found = dict(zip(new, self.each([" " + p for p in new])))
-            out = [found[p] if ids is None else ids for p, ids in zip(parts, out)]
-            known.update((p, ids) for p, ids in found.items() if len(p) < 64)
-        return head + b"".join(out)
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def cutter(vocabulary: str, capacity: int, end_id: int):

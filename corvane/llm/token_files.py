@@ -13,11 +13,13 @@ Every id takes as many bits as the vocabulary's largest id needs. A file is
 A line feed follows the header, each block and the footer, so that Spark's text writer
 can store them: files go to any store that Spark writes to, and a lost task is run again.
 Block offsets and equal widths make any id's place computable; a block is unpacked by
-numpy in one go (``TokenFile.ids``, ``TokenFile.document``).
+numpy in one go (``TokenFile.ids``, ``TokenFile.document``). Ids are those of the
+``tokenizers`` library with its defaults, by a faster encoder over the same merges (tested).
 
-Scale: texts are tokenised where they are read; packed ids, not texts, are sorted into
-ranges of the document id, one file each. Rows of one id are spread by their place in the
-input, so a hot id fills several files. A task holds one block and the footer of a file.
+Scale: texts are sorted into ranges of the document id, one file each, and are tokenised
+by the task that writes them, so nothing is stored in between. Rows of one id are spread by
+their place in the input, so a hot id fills several files. A task holds one block and the
+footer of a file, and the longest text's ids.
 Where files start among all ids is a prefix sum over files, in groups of ``GROUP_FILES``.
 
 Defined cases: a null or empty text has the end id alone; null ids come first and are kept
@@ -32,6 +34,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,8 +50,9 @@ from corvane.llm.shared import cut, new_path
 MARK = b"TOKBITS1"
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 16 << 20
+#: Bytes of text behind an id, as files are planned.
+BYTES_PER_ID = 3
 GROUP_FILES = 1024
-PACKED = "doc_id long, place long, n_tokens long, packed binary"
 ROWS = "file long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -114,19 +118,6 @@ class TokenFile:
             parts, held = [], held[n:]
 
 
-class LibraryTokens(Tokens):
-    """The same by the ``tokenizers`` library."""
-
-    def __init__(self, vocabulary: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(vocabulary)
-        super().__init__(vocabulary)
-
-    def each(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-
-
 @lru_cache(maxsize=4)
 def width(vocabulary: str, end_id: int) -> int:
     """Bits that the largest id of a tokenizers file, or the end id, needs."""
@@ -136,73 +127,56 @@ def width(vocabulary: str, end_id: int) -> int:
     return max(1, largest.bit_length())
 
 
-def packer(vocabulary: str, end_id: int):
-    """Batches of (doc_id, place, text) to ``PACKED``."""
+def writer(vocabulary: str, end_id: int):
+    """A partition of (doc_id, place, text) rows in order to the rows of one file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, bits = LibraryTokens(vocabulary), width(vocabulary, end_id)
+        row = lambda data: pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["part"])
+        tokens, bits = Tokens(vocabulary), width(vocabulary, end_id)
         end = np.array([end_id], dtype="<u4").tobytes()
+        header = struct.pack("<8s4I", MARK, bits, BLOCK_IDS, TaskContext.get().partitionId(), 0)
+        yield row(header)
+        at, docs, known, starts, offsets = len(header) + 1, array("q"), bytearray(), array("Q", [0]), array("Q")
+        held, n_held, last, ids = [], 0, None, np.zeros(0, "<u4")
         for batch in batches:
-            sizes, blobs, last, size, blob = [], [], None, 0, b""
+            docs.extend(batch.column(0).fill_null(0).to_pylist())
+            known.extend(batch.column(0).is_valid().to_pylist())
             for text in batch.column(2):
                 text = text.as_py() or ""
                 if text != last:
-                    ids = np.frombuffer(tokens.of(text) + end, "<u4")
-                    last, size, blob = text, len(ids), pack_bits(ids, bits)
-                sizes.append(size)
-                blobs.append(blob)
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "n_tokens", "packed"])
-
-    return run
-
-
-def writer(bits: int):
-    """A partition of ``PACKED`` rows in order to the rows of one file."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = lambda data: pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["part"])
-        header = struct.pack("<8s4I", MARK, bits, BLOCK_IDS, TaskContext.get().partitionId(), 0)
-        yield row(header)
-        at, n_ids, docs, known, starts, offsets = len(header) + 1, 0, [], [], [0], []
-        held, n_held = [], 0
-        for batch in batches:
-            docs.extend(np.asarray(batch.column(0).fill_null(0)).tolist())
-            known.extend(np.asarray(batch.column(0).is_valid()).astype(np.uint8).tolist())
-            for n, packed in zip(batch.column(2).to_pylist(), batch.column(3)):
-                starts.append(starts[-1] + n)
-                held.append(unpack_bits(packed.as_buffer(), n, bits))
-                n_held += n
+                    last, ids = text, np.frombuffer(tokens.of(text) + end, "<u4")
+                starts.append(starts[-1] + len(ids))
+                held.append(ids)
+                n_held += len(ids)
                 if n_held >= BLOCK_IDS:
-                    ids = np.concatenate(held)
+                    together = np.concatenate(held)
                     for k in range(0, n_held - BLOCK_IDS + 1, BLOCK_IDS):
-                        data = pack_bits(ids[k : k + BLOCK_IDS], bits)
+                        data = pack_bits(together[k : k + BLOCK_IDS], bits)
                         offsets.append(at)
                         at += len(data) + 1
                         yield row(data)
-                    held = [ids[n_held - n_held % BLOCK_IDS :]]
+                    held = [together[n_held - n_held % BLOCK_IDS :]]
                     n_held = len(held[0])
-        n_ids = starts[-1]
         if n_held:
             data = pack_bits(np.concatenate(held), bits)
             offsets.append(at)
             at += len(data) + 1
             yield row(data)
-        footer = np.array(docs, "<i8").tobytes() + np.array(known, "u1").tobytes() + np.array(starts, "<u8").tobytes() + np.array(offsets, "<u8").tobytes()
-        yield row(footer + struct.pack("<4Q8s", len(docs), n_ids, len(offsets), at, MARK))
+        footer = np.array(docs, "<i8").tobytes() + bytes(known) + np.array(starts, "<u8").tobytes() + np.array(offsets, "<u8").tobytes()
+        yield row(footer + struct.pack("<4Q8s", len(docs), starts[-1], len(offsets), at, MARK))
 
     return run
 
 
 def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
-    """Tokenises ``docs`` and writes them under ``path`` in ascending order of ids, about ``file_bytes`` a file."""
-    bits = width(vocabulary, end_id)
+    """Tokenises ``docs`` and writes them under ``path`` in ascending order of ids; a file has the ids of
+    as many bytes of text as would make ``file_bytes`` at ``BYTES_PER_ID``."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("place"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    packed = cut(texts.mapInArrow(packer(vocabulary, end_id), PACKED), "token-ids")
-    n_ids = packed.agg(F.sum("n_tokens")).first()[0] or 0
-    n_files = max(1, -(-n_ids * bits // 8 // file_bytes))
-    rows = packed.repartitionByRange(n_files, "doc_id", "place").sortWithinPartitions("doc_id", "place")
-    rows.mapInArrow(writer(bits), "part binary").select(F.col("part").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_files = max(1, -(-n_bytes * width(vocabulary, end_id) // (8 * BYTES_PER_ID * file_bytes)))
+    rows = texts.repartitionByRange(n_files, "doc_id", "place").sortWithinPartitions("doc_id", "place")
+    rows = rows.mapInArrow(writer(vocabulary, end_id), "part binary").select(F.col("part").cast("string").alias("value"))
+    rows.write.option("lineSep", "\n").text(path)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -212,22 +212,20 @@ def test_files_are_read_at_random(spark, rows, vocabulary, tmp_path):
         token_files.TokenFile(f.read(size // 2))
 
 
-def test_documents_straddle_blocks(monkeypatch):
-    """A file whose blocks are shorter than its documents."""
+def test_documents_straddle_blocks(rows, vocabulary, monkeypatch):
+    """A file whose blocks are shorter than its documents, 17 bits an id."""
     import pyarrow as pa
 
     monkeypatch.setattr(token_files, "BLOCK_IDS", 10)
     monkeypatch.setattr(token_files.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 7})()))
-    rng = np.random.default_rng(1)
-    docs = [rng.integers(0, 2**13, n, dtype=np.uint64).astype("<u4") for n in (1, 25, 10, 9, 40, 3)]
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array([1, 2, None, 4, 5, 6], pa.int64()), pa.array(range(6), pa.int64()), pa.array([len(d) for d in docs], pa.int64()), pa.array([token_files.pack_bits(d, 13) for d in docs], pa.binary())],
-        names=["doc_id", "place", "n_tokens", "packed"],
-    )
-    data = b"".join(row.column(0)[0].as_py() + b"\n" for row in token_files.writer(13)(iter([batch])))
-    file = token_files.TokenFile(data)
-    assert file.number == 7 and file.n_blocks == 9 and file.known.tolist() == [1, 1, 0, 1, 1, 1]
-    assert all((a == b).all() for a, b in zip(file.documents(), docs)) and all((file.document(k) == d).all() for k, d in enumerate(docs))
+    want = [x for _, x in by_library(rows, vocabulary, 70_000)]
+    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array([r[1] for r in rows], pa.string())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "text"])
+    parts = token_files.writer(vocabulary, 70_000)(iter([batch.slice(0, 20), batch.slice(20)]))
+    file = token_files.TokenFile(b"".join(part.column(0)[0].as_py() + b"\n" for part in parts))
+    assert (file.number, file.bits, file.n_ids) == (7, 17, sum(map(len, want))) and file.n_blocks == -(-file.n_ids // 10)
+    assert file.known.tolist() == [r[0] is not None for r in rows]
+    assert all((a == b).all() for a, b in zip(file.documents(), want)) and all((file.document(k) == x).all() for k, x in enumerate(want))
 
 
 def test_token_files_of_nothing(spark, vocabulary):
