@@ -1,26 +1,31 @@
-"""Batch retrieval: one postings table, BM25 and TF-IDF arms, dense vectors, fusion.
+"""Batch retrieval: postings in blocks, BM25 and TF-IDF arms, dense vectors, fusion.
 
 Queries are a table, so a whole batch is one dataflow: query terms meet the postings of
 their terms, scores are summed by (query, chunk), and each arm keeps its best candidates
 by a window with a row limit, which Spark applies partially before the shuffle.
 
-An index is written once (``save_index``) and appended to (``append_index``); queries then
-read its tables and tokenise nothing but themselves. The query terms are written too, so
+An index is kept as segments (``save_index``, ``append_index``; see ``segments``); queries
+then read its tables and tokenise nothing but themselves. The query terms are written too, so
 that their size is known when the join is planned: below Spark's broadcast threshold the
 postings stay where they are and only those of query terms move; a frequent term is
 otherwise a skewed key on the postings side, which adaptive execution splits.
+
+The best k by BM25 (``bm25_top``) need not score every posting: each block of chunks bounds
+what it can give a query, the most promising blocks are scored first, and blocks whose
+bound lies under the k-th score found there are never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokenize
-from corvane.sources.store import cut, new_path
+from corvane.operators import segments
+from corvane.sources.store import cut
 
 #: BM25's k1 and b, and the rank constant of fusion.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -38,6 +43,7 @@ class Index:
     term_stats: DataFrame
     totals: DataFrame  # one row: n, avg_len
     norms: DataFrame | None = None  # chunk_id, norm of its TF-IDF vector
+    blocks: DataFrame | None = None  # segment, block, bucket, term, max_tf, min_len, n, entries
 
 
 @dataclass(frozen=True)
@@ -73,31 +79,21 @@ def save_index(chunks: DataFrame, root: str, chunk_id: str = "chunk_id", text: C
 
 
 def append_index(chunks: DataFrame, root: str, chunk_id: str = "chunk_id", text: Column | str = "text") -> Index:
-    """Adds new chunks to the index under ``root``: the same tables as indexing all at once.
-
-    Postings and lengths are appended; document frequencies are kept as counts per batch,
-    which add up; the vectors' norms follow from both and are written anew.
-    """
-    text = F.col(text) if isinstance(text, str) else text
-    tokens = chunks.select(F.col(chunk_id).alias("chunk_id"), tokenize(F.coalesce(text, F.lit(""))).alias("tokens"))
-    tokens = cut(tokens, "index-tokens")
-    tokens.select("chunk_id", F.size("tokens").alias("len")).write.mode("append").parquet(f"{root}/chunks")
-    terms = tokens.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    postings = terms.groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
-    batch = new_path(chunks.sparkSession, "index-batch")
-    postings.write.parquet(batch)
-    postings = chunks.sparkSession.read.parquet(batch)
-    postings.write.mode("append").parquet(f"{root}/postings")
-    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("append").parquet(f"{root}/terms")
-    index = load_index(chunks.sparkSession, root)
-    return replace(index, norms=cut(tfidf_norms(index), "index-norms"))
+    """Adds new chunks to the index under ``root``: answers are those of indexing all at once."""
+    version = segments.append(chunks, root, chunk_id, text)
+    return load_index(chunks.sparkSession, root, version)
 
 
-def load_index(spark: SparkSession, root: str) -> Index:
-    """The index under ``root``; norms are computed when they are asked for."""
-    stats, postings = spark.read.parquet(f"{root}/chunks"), spark.read.parquet(f"{root}/postings")
-    terms = cut(spark.read.parquet(f"{root}/terms").groupBy("term").agg(F.sum("df").alias("df")), "index-terms")
-    return Index(stats, postings, terms, cut(stats.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")), "index-totals"))
+def load_index(spark: SparkSession, root: str, version: int | None = None) -> Index:
+    """The index under ``root`` as of a version (the last one by default), whatever is appended meanwhile."""
+    _, parts = segments.manifest(spark, root, version)
+    if not parts:
+        raise ValueError(f"no index under {root}")
+    stats, terms, blocks = (segments.read(spark, root, parts, t) for t in segments.TABLES)
+    n, tokens = sum(s.chunks for s in parts), sum(s.tokens for s in parts)
+    totals = spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(tokens / n if n else None).cast("double").alias("avg_len"))
+    df = terms.groupBy("term").agg(F.sum("df").alias("df")) if len(parts) > 1 else terms.select("term", "df")
+    return Index(stats.select("chunk_id", "len"), segments.postings(blocks), df, totals, blocks=blocks)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -122,6 +118,70 @@ def bm25(index: Index, queries: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
+#: Blocks that are scored for a threshold, for each k results.
+FIRST_BLOCKS = 4
+#: Scores and bounds are sums in any order: a block this close to the threshold is scored.
+SLACK = 1e-6
+
+
+class BlockScorer:
+    """BM25 of a batch of queries by blocks: bounds of all that could matter, scores of those asked for.
+
+    A chunk's postings all lie in its block, so a scored block's scores are whole. The bound
+    of a block is the sum of its terms' bounds.
+    """
+
+    key = ["query_id", "segment", "block"]
+
+    def __init__(self, index: Index, queries: DataFrame) -> None:
+        avg = F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1.0)
+        idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        asked = query_terms(queries).join(index.term_stats, "term").crossJoin(F.broadcast(index.totals))
+        self.asked = cut(asked.select("query_id", "term", segments.bucket(F.col("term")).alias("bucket"), (F.col("qtf") * idf).alias("w"), avg.alias("avg")), "query-weights")
+        buckets = [r["bucket"] for r in self.asked.select("bucket").distinct().collect()]
+        self.blocks = index.blocks.where(F.col("bucket").isin(buckets)) if len(buckets) < segments.BUCKETS else index.blocks
+
+    @staticmethod
+    def part(tf: str, length: str) -> Column:
+        return F.col("w") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / F.col("avg")))
+
+    def bounds(self) -> DataFrame:
+        """query_id, segment, block, bound and n, the postings behind it; no posting is read."""
+        each = self.asked.join(self.blocks.select("segment", "block", "bucket", "term", "max_tf", "min_len", "n"), ["bucket", "term"])
+        return each.groupBy(*self.key).agg(F.sum(self.part("max_tf", "min_len")).alias("bound"), F.sum("n").alias("n"))
+
+    def scores(self, wanted: DataFrame) -> DataFrame:
+        """query_id, chunk_id, score > 0 from the ``wanted`` blocks of each query."""
+        terms = wanted.select(*self.key).join(self.asked, "query_id")
+        rows = terms.join(self.blocks.select("segment", "block", "bucket", "term", "entries"), ["bucket", "term", "segment", "block"])
+        rows = rows.select("query_id", "w", "avg", F.explode("entries").alias("e")).select("query_id", "w", "avg", "e.*")
+        return rows.groupBy("query_id", "chunk_id").agg(F.sum(self.part("tf", "len")).alias("score")).where("score > 0")
+
+
+def block_rounds(scorer: BlockScorer, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All bounds (with first: whether a block is scored first), the k best of the first blocks,
+    and the blocks that could still hold one of the k best.
+
+    The k-th best score of the first blocks is a lower bound of the k-th best of all.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "segment", "block")
+    place = F.row_number().over(w) <= FIRST_BLOCKS * -(-k // segments.BLOCK_CHUNKS)
+    bounds = cut(scorer.bounds().withColumn("first", place), "block-bounds")
+    best = cut(top_k(scorer.scores(bounds.where("first")), k), "first-blocks")
+    least = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    rest = bounds.where("not first").join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
+    return bounds, best, rest
+
+
+def bm25_top(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query by BM25, as ``top_k(bm25(...), k)`` has them, from as few blocks as it takes."""
+    if index.blocks is None:
+        return top_k(bm25(index, queries), k)
+    scorer = BlockScorer(index, queries)
+    _, best, rest = block_rounds(scorer, k)
+    return top_k(best.drop("rank").unionByName(scorer.scores(rest)), k)
+
+
 def _tfidf(rows: DataFrame, tf: str) -> Column:
     return (1 + F.ln(F.col(tf))) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
 
@@ -233,7 +293,7 @@ def retrieve(
         raise ValueError("the limit must be positive")
     arms = {}
     if config.use_bm25:
-        arms["bm25"] = top_k(bm25(index, queries), config.candidate_k)
+        arms["bm25"] = bm25_top(index, queries, config.candidate_k)
     if config.use_vector:
         arms["vector"] = top_k(embedder.score(index, queries), config.candidate_k)
     if len(arms) == 1:

@@ -286,16 +286,14 @@ def ranked_sql(cte: str, k: int) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {cte}) WHERE rank <= {k}"
 
 
-_INDEXES: dict[tuple[str, str], retrieval.Index] = {}
+def corpus(spark, sf_dir) -> tuple[retrieval.Index, DataFrame]:
+    """The documents' index, built anew for each query, and the benchmark's texts as queries."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return retrieval.save_index(docs, new_path(spark, "documents-index")), questions(spark, sf_dir)
 
 
-def corpus(spark, sf_dir) -> tuple[retrieval.Index, DataFrame]:
-    """The documents' index, written once per application and table, and the benchmark's texts as queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-        _INDEXES[key] = retrieval.save_index(docs, new_path(spark, "documents-index"))
-    return _INDEXES[key], table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+def questions(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def shown(rows: DataFrame, digits: int = 6) -> DataFrame:
@@ -321,7 +319,7 @@ def _(spark, sf_dir):
 
 @query("bm25_topk", f"WITH {TOKENS_SQL}, {BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({ranked_sql('bm', 5)})")
 def _(spark, sf_dir):
-    return shown(retrieval.top_k(retrieval.bm25(*corpus(spark, sf_dir)), 5))
+    return shown(retrieval.bm25_top(*corpus(spark, sf_dir), 5))
 
 
 @query("bm25_scores", f"WITH {TOKENS_SQL}, {BM25_SQL} SELECT query_id, count(*) AS matched, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM bm GROUP BY 1")
@@ -332,7 +330,7 @@ def _(spark, sf_dir):
 
 @query("tfidf_norms", f"WITH {TOKENS_SQL}, {TFIDF_SQL} SELECT chunk_id, round(norm, 6) AS norm FROM norms")
 def _(spark, sf_dir):
-    return corpus(spark, sf_dir)[0].norms.select("chunk_id", F.round("norm", 6).alias("norm"))
+    return retrieval.tfidf_norms(corpus(spark, sf_dir)[0]).select("chunk_id", F.round("norm", 6).alias("norm"))
 
 
 @query("tfidf_topk", f"WITH {TOKENS_SQL}, {TFIDF_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({ranked_sql('tv', 5)})")
@@ -362,12 +360,12 @@ def _(spark, sf_dir):
 
 @query("incremental_index", f"WITH {TOKENS_SQL}, {BM25_SQL} SELECT query_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS ranking FROM ({ranked_sql('bm', 5)}) GROUP BY 1")
 def _(spark, sf_dir):
-    """An index grown in two batches ranks as one built at once."""
+    """An index grown in three batches ranks as one built at once."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     root = new_path(spark, "grown-index")
-    retrieval.save_index(docs.where("chunk_id % 2 = 0"), root)
-    index = retrieval.append_index(docs.where("chunk_id % 2 = 1"), root)
-    ranked = retrieval.rank_ids(retrieval.top_k(retrieval.bm25(index, corpus(spark, sf_dir)[1]), 5))
+    for k in range(3):
+        index = retrieval.append_index(docs.where(F.col("chunk_id") % 3 == k), root)
+    ranked = retrieval.rank_ids(retrieval.bm25_top(index, questions(spark, sf_dir), 5))
     return ranked.select("query_id", F.array_join("chunk_ids", ",").alias("ranking"))
 
 
@@ -422,7 +420,7 @@ def holders(docs: DataFrame, queries: DataFrame, width: int = 5) -> DataFrame:
 
 def metrics(spark, sf_dir):
     index, queries = corpus(spark, sf_dir)
-    ranked = retrieval.top_k(retrieval.bm25(index, queries), 5).select("query_id", F.col("chunk_id").alias("item"), "rank")
+    ranked = retrieval.bm25_top(index, queries, 5).select("query_id", F.col("chunk_id").alias("item"), "rank")
     held = holders(table(spark, sf_dir, "documents").select("doc_id", "text"), queries).groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
     asked = queries.join(held, "query_id", "left").select("query_id", F.coalesce("relevant", F.array().cast("array<bigint>")).alias("relevant"))
     return evaluation.score_queries(asked, ranked, 5)

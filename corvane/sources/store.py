@@ -49,3 +49,45 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file of any store that Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(conf).open(where)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small text file in one step; False if it is there already.
+
+    The file is written aside and renamed without overwriting, so that of several writers
+    one succeeds and readers see it whole.
+    """
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    where, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    fs = where.getFileSystem(conf)
+    stream = fs.create(aside, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    try:
+        context.rename(fs.makeQualified(aside), fs.makeQualified(where), sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Exception:
+        fs.delete(aside, False)
+        if fs.exists(where):
+            return False
+        raise
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
