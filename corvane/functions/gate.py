@@ -125,3 +125,13 @@ def refusal_text() -> Column:
     start = F.lit("The capability gate refused this call. It was not executed and nothing changed.")
     end = F.lit("This is a policy decision, not a passing error: do not repeat the call. Go on with what needs no such action, and tell the user what was refused and why.")
     return F.concat_ws("\n\n", F.filter(F.array(start, F.col("reason"), F.col("note"), end), lambda x: x != ""))
+
+
+def boot_counts(calls: DataFrame, policies: DataFrame) -> DataFrame:
+    """One row on the tools of ``calls`` (tool, calls): how many there are, how many are sinks
+    (side-effecting by their policy) and called how often, and how many no policy registers."""
+    known, sink = F.col("policy").isNotNull(), F.coalesce(F.col("policy.side_effecting"), F.lit(False))
+    return with_policy(calls, policies).agg(
+        F.count(F.lit(1)).alias("tools"), F.count_if(sink).alias("sinks"),
+        F.coalesce(F.sum(F.when(sink, F.col("calls"))), F.lit(0)).alias("sink_calls"), F.count_if(~known).alias("unregistered"),
+    )

@@ -19,7 +19,7 @@ from corvane.operators import budget, chunking, evaluation, ingest, retrieval, t
 from corvane.plans import relational
 from corvane.session import table
 from corvane.sources import policy as policies
-from corvane.sources.store import new_path
+from corvane.sources.store import cut, new_path
 from corvane.streaming import ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -636,21 +636,25 @@ def _(spark, sf_dir):
 def stream_events(spark, sf_dir) -> DataFrame:
     """The session as a stream's events: outputs and calls with the history's length as progress."""
     outputs, calls = session(spark, sf_dir)
-    none = F.lit(None)
-    ids = [F.col("conversation_id").cast("string").alias("conversation_id"), F.col("seq").cast("long").alias("seq")]
-    place = [(F.col("seq") + 1).cast("long").alias("progress"), (F.col("seq") + 1).cast("long").alias("position")]
-    scanned = taint.guard(outputs)
-    out = scanned.select(*ids, F.lit("output").alias("kind"), *place, "source", "norm", "flags", none.cast("array<string>").alias("needles"))
-    value = F.get("args", F.lit(0))["value"]
-    call = calls.select(*ids, F.lit("call").alias("kind"), *place, none.cast("string").alias("source"), none.cast("string").alias("norm"), none.cast("array<string>").alias("flags"), text.needles(F.array(value)).alias("needles"))
-    return out.unionByName(call)
+    place = [F.col("conversation_id").cast("string").alias("conversation_id"), F.col("seq").cast("long").alias("seq")]
+    place += [(F.col("seq") + 1).cast("long").alias(c) for c in ("progress", "position")]
+    out = taint.guard(outputs).select(*place, F.lit("output").alias("kind"), "source", "norm", "flags")
+    owned = F.flatten(F.transform("args", lambda a: F.transform(text.needles(a["leaves"]), lambda n: F.struct(a["name"].alias("owner"), n.alias("needle")))))
+    call = calls.select(*place, F.lit("call").alias("kind"), F.transform("args", lambda a: a["name"]).alias("names"), owned.alias("_n"))
+    call = call.select("*", F.transform("_n", lambda x: x["owner"]).alias("owners"), F.transform("_n", lambda x: x["needle"]).alias("needles")).drop("_n")
+    rows = out.unionByName(call, allowMissingColumns=True)
+    return rows.select(*[F.col(c.split()[0]) for c in ledger_stream.EVENT.split(", ")])
 
 
-@query("stream_ledger", LEDGER_SQL + " SELECT conv_id::VARCHAR AS conversation_id, turn::BIGINT AS seq, tier FROM a WHERE arg = 'to'")
+@query("stream_ledger", LEDGER_SQL + " SELECT conv_id::VARCHAR AS conversation_id, turn::BIGINT AS seq, arg, tier FROM a")
 def _(spark, sf_dir):
-    """Guard and gate over one keyed state give the tiers that the batch joins give."""
-    rows = ledger_stream.ledger_batch(stream_events(spark, sf_dir))
-    return rows.where("kind = 'call'").select("conversation_id", "seq", "tier")
+    """A stream over files in two runs: the second goes on from the first's state. Same tiers as the batch joins."""
+    source, out, checkpoint = (new_path(spark, f"ledger-{x}") for x in ("events", "rows", "state"))
+    events = cut(stream_events(spark, sf_dir), "ledger-feed")
+    for part in (events.where("seq < 4"), events.where("seq >= 4")):
+        part.write.mode("append").parquet(source)
+        ledger_stream.run_available(spark.readStream.schema(events.schema).parquet(source), out, checkpoint)
+    return spark.read.parquet(out).where("kind = 'call'").select("conversation_id", "seq", "arg", "tier")
 
 
 #: Event types as tools: how each is treated by the policy that the gate queries use.
@@ -893,9 +897,15 @@ def _(spark, sf_dir):
     return scanned(spark, sf_dir).select("doc_id", (F.size(held) > 0).alias("blocked"), (F.col("verdict") == "clean").alias("is_clean"))
 
 
-@query("tool_counts", f"SELECT {len(policies.load().tools)} AS tools, {sum(t['side_effecting'] for t in policies.load().tools)} AS sinks")
+@query(
+    "tool_counts",
+    f"""WITH {EVENT_POLICY_SQL}, c AS (SELECT event_type AS tool, count(*) AS calls FROM events GROUP BY 1)
+    SELECT count(*) AS tools, count(*) FILTER (WHERE side) AS sinks, coalesce(sum(calls) FILTER (WHERE side), 0)::BIGINT AS sink_calls, count(*) FILTER (WHERE side IS NULL) AS unregistered FROM c LEFT JOIN p USING (tool)""",
+)
 def _(spark, sf_dir):
-    return policies.load().policies(spark).agg(F.count("*").cast("int").alias("tools"), F.count_if("side_effecting").cast("int").alias("sinks"))
+    """The tools that the events call, and how many of them the policies treat as sinks."""
+    calls = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"))
+    return gate.boot_counts(calls, spark.createDataFrame(EVENT_POLICIES, policies.POLICY_ROW))
 
 
 @query(
