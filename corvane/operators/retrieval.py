@@ -118,8 +118,8 @@ def bm25(index: Index, queries: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-#: Blocks that are scored for a threshold, for each k results.
-FIRST_BLOCKS = 4
+#: Blocks that are scored for a threshold, besides one for each of the k results.
+FIRST_BLOCKS = 8
 #: Scores and bounds are sums in any order: a block this close to the threshold is scored.
 SLACK = 1e-6
 
@@ -165,7 +165,7 @@ def block_rounds(scorer: BlockScorer, k: int) -> tuple[DataFrame, DataFrame, Dat
     The k-th best score of the first blocks is a lower bound of the k-th best of all.
     """
     w = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "segment", "block")
-    place = F.row_number().over(w) <= FIRST_BLOCKS * -(-k // segments.BLOCK_CHUNKS)
+    place = F.row_number().over(w) <= FIRST_BLOCKS + k
     bounds = cut(scorer.bounds().withColumn("first", place), "block-bounds")
     best = cut(top_k(scorer.scores(bounds.where("first")), k), "first-blocks")
     least = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))

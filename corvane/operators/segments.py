@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from corvane.functions.text import tokenize
 from corvane.sources.store import cut, names, read_text, remove, write_once
 
-#: Chunks of one block, on average.
+#: Chunks that share a hash, on average; those of a similar length among them are a block,
+#: because a bound that the shortest of a block sets says little of much longer ones.
 BLOCK_CHUNKS = 64
+#: Classes of lengths, four to each doubling.
+LENGTH_CLASSES = 128
 BUCKETS = 16
 #: So many segments of one size class become one.
 FANOUT = 4
@@ -76,7 +79,8 @@ def write_postings(postings: DataFrame, stats: DataFrame, root: str) -> Segment:
     """A segment of postings (term, chunk_id, tf, len) and all chunks' (chunk_id, len), not yet committed."""
     name = "s" + uuid.uuid4().hex
     total = stats.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).first()
-    block = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-total["n"] // BLOCK_CHUNKS))))
+    some = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-total["n"] // BLOCK_CHUNKS))))
+    block = some * LENGTH_CLASSES + F.least(F.floor(4 * F.log2(F.col("len") + 1)), F.lit(LENGTH_CLASSES - 1))
     stats.select("chunk_id", "len", block.alias("block")).write.parquet(f"{root}/chunks/segment={name}")
     entry = F.struct("chunk_id", F.col("tf").cast("long").alias("tf"), F.col("len").cast("int").alias("len"))
     rows = postings.groupBy("term", block.alias("block")).agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.count("*").alias("n"), F.collect_list(entry).alias("entries"))
