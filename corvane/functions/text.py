@@ -60,32 +60,23 @@ def tokenize(text: Column, drop_stopwords: bool = True, stems: bool = True) -> C
     return F.transform(out, stem) if stems else out
 
 
-def _casefold_map() -> tuple[str, str, list[tuple[str, str]]]:
-    """What case folding changes beyond lower case: one-to-one and one-to-many."""
-    one, to, many = [], [], []
-    for k in range(0x110000):
-        c = chr(k)
-        if 0xD800 <= k < 0xE000 or c.lower() == c.casefold():
-            continue
-        folded = c.casefold()
-        if len(folded) == 1 and len(c.lower()) == 1:
-            one.append(c.lower())
-            to.append(folded)
-        else:
-            many.append((c.lower(), folded))
-    return "".join(one), "".join(to), many
-
-
-_ONE, _TO, _MANY = _casefold_map()
-#: The one-to-many foldings that occur in ordinary text; rarer ones stay in lower case.
-_COMMON = [(a, b) for a, b in _MANY if a in "ßŉǰﬀﬁﬂﬃﬄﬅﬆ"]
+def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
+    """What case folding changes: characters that become one other, and those that become several."""
+    changed = [(c, c.casefold()) for c in map(chr, range(0x110000)) if c.casefold() != c]
+    one = [(c, to) for c, to in changed if len(to) == 1]
+    return "".join(c for c, _ in one), "".join(to for _, to in one), [(c, to) for c, to in changed if len(to) > 1]
+
+
+_ONE, _TO, _MANY = _foldings()
 
 
 def casefold(text: Column) -> Column:
-    out = F.translate(F.lower(text), _ONE, _TO)
-    for a, b in _COMMON:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Unicode's full case folding. Every text is translated; only those that hold a character
+    that becomes several (ß, ligatures) pass through the replacements as well."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(to).alias("to")) for c, to in _MANY])
+    spread = F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["c"], p["to"]))
+    several = text.rlike("[" + "".join(c for c, _ in _MANY) + "]")
+    return F.when(text.rlike("^[\\x00-\\x7f]*\\z"), F.lower(text)).otherwise(F.translate(F.when(several, spread).otherwise(text), _ONE, _TO))
 
 
 def normalise(text: Column) -> Column:

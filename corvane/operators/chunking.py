@@ -1,7 +1,7 @@
 """Documents to chunks: heading sections, recursive splitting, overlap merging.
 
 Everything is an expression over one row: sections and pieces are arrays, levels of
-the recursive split are one array rewrite each, and the greedy merge is a fold. So
+the recursive split are one array rewrite each, and the greedy merge is a fold of lengths. So
 chunking is a narrow projection: no shuffle, no Python, and it pipelines with the scan.
 """
 
@@ -83,20 +83,57 @@ def _hard(pieces: Column, most: int) -> Column:
     return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > most, slices(p)).otherwise(F.array(p))))
 
 
-def _merge(pieces: Column, most: int, overlap: int) -> Column:
-    """Greedy merge; a full buffer is emitted and its tail begins the next one."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
-
-    def step(acc: Column, p: Column) -> Column:
-        full = (F.length(acc["buf"]) > 0) & (F.length(acc["buf"]) + F.length(p) > most)
-        tail = F.when(F.length(acc["buf"]) > overlap, F.substring(acc["buf"], F.length(acc["buf"]) - overlap + 1, F.lit(overlap))).otherwise(acc["buf"]) if overlap else F.lit("")
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(strip(acc["buf"])))).otherwise(acc["out"]).alias("out"),
-            F.concat(F.when(full, tail).otherwise(acc["buf"]), p).alias("buf"),
+#: Lengths folded by one inner fold: a step copies what the fold has emitted so far, so
+#: short folds inside a fold over their results keep the copying small.
+FOLDED = 512
+_CUT = "array<struct<begin:int,end:int,carried:int>>"
+
+
+def _bounds(lengths: Column, most: int, overlap: int) -> Column:
+    """array<struct<begin, end, carried>>: the pieces [begin, end) of each chunk, and how many
+    characters of the chunk before it stand in front of them. Numbers alone are folded."""
+
+    def state(cuts: Column, at: Column, begin: Column, carried: Column, held: Column) -> Column:
+        return F.struct(cuts.alias("cuts"), at.alias("at"), begin.alias("begin"), carried.alias("carried"), held.alias("held"))
+
+    def step(acc: Column, n: Column) -> Column:
+        full = (acc["held"] > 0) & (acc["held"] + n > most)
+        done = F.struct(acc["begin"].alias("begin"), acc["at"].alias("end"), acc["carried"].alias("carried"))
+        kept = F.least(acc["held"], F.lit(overlap))
+        return state(
+            F.when(full, F.concat(acc["cuts"], F.array(done))).otherwise(acc["cuts"]),
+            acc["at"] + 1,
+            F.when(full, acc["at"]).otherwise(acc["begin"]),
+            F.when(full, kept).otherwise(acc["carried"]),
+            F.when(full, kept).otherwise(acc["held"]) + n,
         )
 
-    end = lambda acc: let(strip(acc["buf"]), lambda b: F.when(F.length(b) > 0, F.concat(acc["out"], F.array(b))).otherwise(acc["out"]))
-    return F.aggregate(pieces, start, step, end)
+    none = F.array().cast(_CUT)
+    zero = F.lit(0)
+
+    def run(acc: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(lengths, k, FOLDED), state(none, acc["at"], acc["begin"], acc["carried"], acc["held"]), step)
+        return let(inner, lambda x: state(F.concat(acc["cuts"], x["cuts"]), x["at"], x["begin"], x["carried"], x["held"]))
+
+    last = lambda acc: F.concat(acc["cuts"], F.array(F.struct(acc["begin"].alias("begin"), acc["at"].alias("end"), acc["carried"].alias("carried"))))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(lengths)), F.lit(FOLDED)), state(none, zero, zero, zero, zero), run, last)
+
+
+def _merge(pieces: Column, most: int, overlap: int) -> Column:
+    """Greedy merge; a full chunk is emitted and its tail begins the next one.
+
+    Pieces have at least one character, so the carried tail lies within as many pieces
+    before a chunk as it has characters: what a chunk costs does not depend on the text.
+    """
+
+    def text(all_: Column, c: Column) -> Column:
+        own = F.array_join(F.slice(all_, c["begin"] + 1, c["end"] - c["begin"]), "")
+        before = F.array_join(F.slice(all_, F.greatest(F.lit(0), c["begin"] - c["carried"]) + 1, F.least(c["begin"], c["carried"])), "")
+        return strip(F.concat(F.when(c["carried"] > 0, F.right(before, c["carried"])).otherwise(""), own))
+
+    bounds = lambda all_: let(F.transform(all_, F.length), lambda lengths: _bounds(lengths, most, overlap))
+    made = let(pieces, lambda all_: F.transform(bounds(all_), lambda c: text(all_, c)))
+    return let(made, lambda chunks: F.filter(chunks, lambda x, k: (F.length(x) > 0) | (k < F.size(chunks) - 1)))
 
 
 def pieces_of(body: Column, chunker: Chunker) -> Column:
