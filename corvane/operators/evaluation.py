@@ -9,10 +9,13 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.sources.store import cut
+
 MIN_DISCORDANT = 6
 
 
@@ -209,43 +212,93 @@ def cluster_of(key: Column) -> Column:
     return F.split_part(key, F.lit("::"), F.lit(1))
 
 
-def bootstrap_draws(spark: SparkSession, n_clusters: int, resamples: int, seed: int, driver: bool = False) -> DataFrame:
-    """replicate, cluster_idx, times: how often each replicate draws each cluster.
+#: Kinds of cluster that one task holds, and how many blocks of them there are at most.
+BLOCK_KINDS, BLOCKS = 4096, 1024
+#: Replicates that one task draws, and numbers it holds of them at a time.
+SLICE, HELD = 1000, 4_000_000
+
 
-    By default draws come from a hash of (seed, replicate, draw), on the executors.
-    ``driver`` takes them from Python's generator, for results that must agree with a
-    serial program; it is meant for a few thousand draws.
+def cluster_kinds(sums: DataFrame) -> DataFrame:
+    """n, sa, sb and times: how many clusters have these three sums.
+
+    Such clusters are alike to a replicate, so only the times their kind is drawn matter:
+    these are multinomial too, and their number does not grow with the clusters'.
     """
-    if driver:
-        rng = random.Random(seed)
-        rows = [(r, rng.randrange(n_clusters)) for r in range(resamples) for _ in range(n_clusters)]
-        draws = spark.createDataFrame(rows, "replicate int, cluster_idx int")
-    else:
-        draws = spark.range(resamples).select(F.col("id").cast("int").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n_clusters - 1))).alias("d"))
-        draws = draws.select("replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "d"), F.lit(n_clusters)).cast("int").alias("cluster_idx"))
-    return draws.groupBy("replicate", "cluster_idx").agg(F.count("*").alias("times"))
+    return sums.groupBy("n", "sa", "sb").agg(F.count("*").alias("times"))
 
 
-def cluster_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 0, confidence: float = 0.95, driver: bool = False, order: str = "cluster") -> DataFrame:
-    """low, high, point of rate b - rate a, resampling clusters (cluster, a, b).
+def block_draws(seed: int, part: int, weights: list[int], block: int, total: int, replicates: int) -> np.ndarray:
+    """How many of each replicate's ``total`` draws fall on ``block``: a descent from all blocks to
+    it, halving them, with binomial draws seeded by the node. Every task draws the same at a node."""
+    low, high = 0, len(weights)
+    drawn = np.full(replicates, total, dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, both = sum(weights[low:middle]), sum(weights[low:high])
+        taken = np.random.default_rng([seed, part, low, high]).binomial(drawn, left / both if both else 0.0)
+        drawn, low, high = (taken, low, middle) if block < middle else (drawn - taken, middle, high)
+    return drawn
+
 
-    Pairs collapse to three sums per cluster first, so a replicate is a weighted sum
-    over clusters whatever the number of pairs.
+def drawn_sums(kinds: DataFrame, resamples: int, seed: int, block_kinds: int = BLOCK_KINDS) -> DataFrame:
+    """replicate, n, sa, sb: the sums over the clusters each replicate draws.
+
+    Kinds lie in blocks. A task takes a block and a slice of the replicates, draws how often
+    each kind occurs (a multinomial of the block's share) and emits one row of sums per
+    replicate; so neither draws nor clusters are ever rows. Results depend on the seed and
+    the kinds alone, not on partitions.
     """
+    many = kinds.count()
+    blocks = max(1, min(BLOCKS, -(-many // block_kinds)))
+    placed = kinds.withColumn("block", F.pmod(F.xxhash64("n", "sa", "sb"), F.lit(blocks)).cast("int"))
+    found = {r["block"]: r["w"] for r in placed.groupBy("block").agg(F.sum("times").alias("w")).collect()}
+    weights = [int(found.get(k, 0)) for k in range(blocks)]
+    total = sum(weights)
+
+    def draw(key: tuple, group: pa.Table) -> pa.Table:
+        part, block = (k.as_py() for k in key)
+        rows = group.sort_by([("n", "ascending"), ("sa", "ascending"), ("sb", "ascending")])
+        values = np.stack([rows.column(c).to_numpy() for c in ("n", "sa", "sb")], axis=1).astype(np.int64)
+        times = rows.column("times").to_numpy().astype(np.float64)
+        first = part * SLICE
+        drawn = block_draws(seed, part, weights, block, total, min(SLICE, resamples - first))
+        rng = np.random.default_rng([seed, part, block, len(weights), 1])
+        step = max(1, HELD // len(times))
+        out = np.concatenate([rng.multinomial(drawn[k : k + step], times / times.sum()) @ values for k in range(0, len(drawn), step)])
+        return pa.table([pa.array(np.arange(first, first + len(drawn)), pa.int64()), *[pa.array(out[:, c]) for c in range(3)]], names=["replicate", "n", "sa", "sb"])
+
+    parts = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // SLICE)))
+    rows = placed.select(parts.alias("part"), "block", "n", "sa", "sb", "times")
+    each = rows.groupBy("part", "block").applyInArrow(draw, "replicate long, n long, sa long, sb long")
+    return each.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb")])
+
+
+def serial_sums(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """The same with draws of Python's generator over clusters in order, for results that must
+    agree with a serial program; it is meant for a few thousand draws."""
     from pyspark.sql import Window
 
-    spark = pairs.sparkSession
+    numbered = sums.withColumn("cluster_idx", F.row_number().over(Window.orderBy("_o", "cluster")) - 1)
+    n, rng = sums.count(), random.Random(seed)
+    rows = [(r, rng.randrange(n)) for r in range(resamples) for _ in range(n)]
+    draws = sums.sparkSession.createDataFrame(rows, "replicate long, cluster_idx int")
+    return draws.join(numbered, "cluster_idx").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb")])
+
+
+def cluster_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 0, confidence: float = 0.95, driver: bool = False, order: str = "cluster") -> DataFrame:
+    """low, high, point of rate b - rate a, resampling clusters (cluster, a, b).
+
+    Pairs collapse to three sums per cluster and clusters to their kinds, so the work grows
+    with neither. ``driver`` draws as a serial program would (``serial_sums``).
+    """
     sums = cluster_sums(pairs, order)
-    sums = sums.withColumn("cluster_idx", F.row_number().over(Window.orderBy("_o", "cluster")) - 1)
-    n = sums.count()
-    if n == 0:
-        return spark.createDataFrame([(-1.0, 1.0, None, 0, 0)], "low double, high double, point double, n_clusters int, n_pairs long")
-    draws = bootstrap_draws(spark, n, resamples, seed, driver)
-    weighted = draws.join(sums, "cluster_idx").groupBy("replicate").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "sa", "sb")])
-    values = weighted.select(((F.col("sb") - F.col("sa")) / F.col("n")).alias("d"))
+    point = sums.agg(((F.sum("sb") - F.sum("sa")) / F.sum("n")).alias("point"), F.count("*").cast("int").alias("n_clusters"), F.sum("n").alias("n_pairs"))
+    if sums.isEmpty():
+        return pairs.sparkSession.createDataFrame([(-1.0, 1.0, None, 0, 0)], "low double, high double, point double, n_clusters int, n_pairs long")
+    drawn = serial_sums(sums, resamples, seed) if driver else drawn_sums(cut(cluster_kinds(sums), "cluster-kinds"), resamples, seed)
+    values = drawn.select(((F.col("sb") - F.col("sa")) / F.col("n")).alias("d"))
     alpha = 1 - confidence
     ends = values.agg(F.percentile("d", F.lit(alpha / 2)).alias("low"), F.percentile("d", F.lit(1 - alpha / 2)).alias("high"))
-    point = sums.agg(((F.sum("sb") - F.sum("sa")) / F.sum("n")).alias("point"), F.count("*").cast("int").alias("n_clusters"), F.sum("n").alias("n_pairs"))
     return ends.crossJoin(F.broadcast(point))
 
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corvane.functions import detect, spotlight
 from corvane.functions.gate import ARG
@@ -21,6 +22,7 @@ from corvane.functions.text import normalise, needles
 
 #: Adds signals, score, verdict and flags to a table, by its text column and the tools' names.
 Detector = Callable[[DataFrame, str, tuple[str, ...]], DataFrame]
+SEGMENT = ["conversation_id", "segment"]
 USER_SOURCE, CONTEXT_ARG = "session://user-turn", "<conversation>"
 
 
@@ -106,29 +108,80 @@ def refusals(ledger: DataFrame) -> DataFrame:
     return ledger.where("action = 'refused'")
 
 
+#: Outputs, and distinct needles, of a segment that meet in one automaton.
+BLOCK_OUTPUTS, BLOCK_NEEDLES = 1_000, 50_000
+
+
+def _blocks(rows: DataFrame, of: tuple[str, ...], most: int) -> DataFrame:
+    """``rows`` with blocks: how many blocks of about ``most`` rows their segment takes."""
+    sizes = rows.groupBy(*SEGMENT).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    return rows.join(sizes, SEGMENT).withColumn("block", F.pmod(F.xxhash64(*of), F.col("blocks")).cast("int"))
+
+
+def occurrences(wanted: DataFrame, records: DataFrame, most_outputs: int = BLOCK_OUTPUTS, most_needles: int = BLOCK_NEEDLES) -> DataFrame:
+    """For each distinct needle (conversation_id, segment, needle) and each tier, flags and source of
+    the records whose form holds it: the first of these (rseq).
+
+    Needles of a segment become one automaton that passes over each output once, so outputs
+    and needles are never paired. Large segments are cut in blocks of outputs, and of needles.
+    """
+    asked = _blocks(wanted, ("needle",), most_needles).select(*SEGMENT, "needle", F.col("block").alias("nblock"), F.col("blocks").alias("nblocks"))
+    held = records.select(*SEGMENT, "seq", "source", "tier", "flags", "norm")
+    held = _blocks(held, ("seq", "norm"), most_outputs)
+    shape = asked.select(*SEGMENT, "nblocks").distinct()
+    held = held.join(shape, SEGMENT).withColumn("nblock", F.explode(F.sequence(F.lit(0), F.col("nblocks") - 1)))
+    spread = held.select(*SEGMENT, "blocks").distinct()
+    asked = asked.join(spread, SEGMENT).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = [*SEGMENT, "block", "nblock"]
+    out = wanted.select(*SEGMENT, "needle").schema.fields + held.select("tier", "flags", "source", F.col("seq").alias("rseq")).schema.fields
+
+    def meet(needles_: pa.Table, outputs: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        words, norms, automaton = needles_.column("needle").to_pylist(), outputs.column("norm").to_pylist(), ahocorasick.Automaton()
+        for k, word in enumerate(words):
+            automaton.add_word(word, k)
+        left, right = [], []
+        if words:
+            automaton.make_automaton()
+            for at, norm in enumerate(norms):
+                found = {k for _, k in automaton.iter(norm)} if norm else ()
+                left.extend(found)
+                right.extend([at] * len(found))
+        mine, theirs = needles_.take(pa.array(left, pa.int64())), outputs.take(pa.array(right, pa.int64()))
+        columns = [*[mine.column(c) for c in (*SEGMENT, "needle")], *[theirs.column(c) for c in ("tier", "flags", "source", "seq")]]
+        return pa.table(columns, names=[f.name for f in out])
+
+    # new names for the columns both sides have from the joins above
+    asked = asked.select(*[F.col(c).alias(c) for c in (*key, "needle")])
+    held = held.select(*[F.col(c).alias(c) for c in (*key, "tier", "flags", "source", "seq", "norm")])
+    hits = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(meet, StructType(out))
+    return hits.groupBy(*SEGMENT, "needle", "tier", "flags", "source").agg(F.min("rseq").alias("rseq"))
+
+
 def attribute(calls: DataFrame, records: DataFrame) -> DataFrame:
     """``calls`` (conversation_id, segment, seq, tool, args[name, value, is_string, leaves])
     with args that carry tier, flags and sources.
 
-    An equi-join on the conversation's segment with the containment as its residual
-    condition, so it stays a hash join.
+    Each distinct needle of a segment is looked for once; an argument then takes what its
+    needles first occurred in, as far as that was before the call. That a record of the
+    same tier, flags and source holds the needle again changes no union of them.
     """
-    args = calls.select("conversation_id", "segment", "seq", F.posexplode("args").alias("pos", "arg"))
-    args = args.withColumn("needles", needles(F.col("arg.leaves")))
-    held = records.select("conversation_id", "segment", F.col("seq").alias("rseq"), "source", "tier", "flags", "norm")
-    inside = F.exists("needles", lambda n: F.contains(F.col("norm"), n))
-    hits = args.join(held, ["conversation_id", "segment"]).where((F.col("rseq") < F.col("seq")) & inside)
-    found = hits.groupBy("conversation_id", "segment", "seq", "pos").agg(F.min("tier").alias("tier"), F.array_sort(F.collect_list(F.struct("rseq", "flags", "source"))).alias("m"))
-    joined = args.join(found, ["conversation_id", "segment", "seq", "pos"], "left")
+    args = calls.select(*SEGMENT, "seq", F.posexplode("args").alias("pos", "arg"))
+    asked = args.select(*SEGMENT, "seq", "pos", F.explode(F.array_distinct(needles(F.col("arg.leaves")))).alias("needle"))
+    firsts = occurrences(asked.select(*SEGMENT, "needle").distinct(), records)
+    hits = asked.join(firsts, [*SEGMENT, "needle"]).where(F.col("rseq") < F.col("seq"))
+    found = hits.groupBy(*SEGMENT, "seq", "pos").agg(F.min("tier").alias("tier"), F.array_sort(F.collect_set(F.struct("rseq", "flags", "source"))).alias("m"))
+    joined = args.join(found, [*SEGMENT, "seq", "pos"], "left")
     traced = F.struct(
         F.col("arg.name").alias("name"), F.col("arg.value").alias("value"), F.col("arg.is_string").alias("is_string"),
         F.coalesce("tier", F.lit(USER)).alias("tier"),
         F.coalesce(F.array_distinct(F.flatten(F.transform("m", lambda x: x["flags"]))), F.array().cast("array<string>")).alias("flags"),
         F.coalesce(F.array_distinct(F.transform("m", lambda x: x["source"])), F.array(F.lit(USER_SOURCE))).alias("sources"),
     )
-    rows = joined.groupBy("conversation_id", "segment", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", traced.alias("a")))).alias("t"))
-    rows = rows.select("conversation_id", "segment", "seq", F.transform("t", lambda x: x["a"]).alias("args"))
-    base = calls.drop("args").join(rows, ["conversation_id", "segment", "seq"], "left")
+    rows = joined.groupBy(*SEGMENT, "seq").agg(F.array_sort(F.collect_list(F.struct("pos", traced.alias("a")))).alias("t"))
+    rows = rows.select(*SEGMENT, "seq", F.transform("t", lambda x: x["a"]).alias("args"))
+    base = calls.drop("args").join(rows, [*SEGMENT, "seq"], "left")
     return base.withColumn("args", F.coalesce("args", F.array().cast(f"array<{ARG}>")))
 
 
