@@ -112,12 +112,6 @@ def refusals(ledger: DataFrame) -> DataFrame:
 BLOCK_OUTPUTS, BLOCK_NEEDLES = 1_000, 50_000
 
 
-def _blocks(rows: DataFrame, of: tuple[str, ...], most: int) -> DataFrame:
-    """``rows`` with blocks: how many blocks of about ``most`` rows their segment takes."""
-    sizes = rows.groupBy(*SEGMENT).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
-    return rows.join(sizes, SEGMENT).withColumn("block", F.pmod(F.xxhash64(*of), F.col("blocks")).cast("int"))
-
-
 def occurrences(wanted: DataFrame, records: DataFrame, most_outputs: int = BLOCK_OUTPUTS, most_needles: int = BLOCK_NEEDLES) -> DataFrame:
     """For each distinct needle (conversation_id, segment, needle) and each tier, flags and source of
     the records whose form holds it: the first of these (rseq).
@@ -125,13 +119,12 @@ def occurrences(wanted: DataFrame, records: DataFrame, most_outputs: int = BLOCK
     Needles of a segment become one automaton that passes over each output once, so outputs
     and needles are never paired. Large segments are cut in blocks of outputs, and of needles.
     """
-    asked = _blocks(wanted, ("needle",), most_needles).select(*SEGMENT, "needle", F.col("block").alias("nblock"), F.col("blocks").alias("nblocks"))
-    held = records.select(*SEGMENT, "seq", "source", "tier", "flags", "norm")
-    held = _blocks(held, ("seq", "norm"), most_outputs)
-    shape = asked.select(*SEGMENT, "nblocks").distinct()
-    held = held.join(shape, SEGMENT).withColumn("nblock", F.explode(F.sequence(F.lit(0), F.col("nblocks") - 1)))
-    spread = held.select(*SEGMENT, "blocks").distinct()
-    asked = asked.join(spread, SEGMENT).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = lambda rows, most, name: rows.groupBy(*SEGMENT).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    shape = blocks(wanted, most_needles, "nblocks").join(blocks(records, most_outputs, "oblocks"), SEGMENT)
+    dealt = lambda of, n: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = wanted.join(shape, SEGMENT).withColumn("nblock", dealt(["needle"], "nblocks")).withColumn("block", all_of("oblocks"))
+    held = records.join(shape, SEGMENT).withColumn("block", dealt(["seq", "norm"], "oblocks")).withColumn("nblock", all_of("nblocks"))
     key = [*SEGMENT, "block", "nblock"]
     out = wanted.select(*SEGMENT, "needle").schema.fields + held.select("tier", "flags", "source", F.col("seq").alias("rseq")).schema.fields
 
