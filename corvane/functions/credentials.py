@@ -14,7 +14,20 @@ TOOL_PREFIXES = (
 #: How keys of model providers begin.
 MODEL_PREFIXES = (("sk-ant-", "Anthropic"), ("sk-", "OpenAI-compatible"), ("gsk_", "Groq"), ("nvapi-", "NVIDIA"), ("AIza", "Google AI Studio"))
 #: Names that model providers' keys may have.
-MODEL_NAMES = tuple(f"{p}_API_KEY" for p in ("ANTHROPIC", "DEEPSEEK", "FIREWORKS", "GEMINI", "GOOGLE", "GROQ", "MISTRAL", "NVIDIA", "OPENAI", "OPENROUTER", "TOGETHER", "XAI"))
+MODEL_NAMES = (
+    "ANTHROPIC_API_KEY",
+    "DEEPSEEK_API_KEY",
+    "FIREWORKS_API_KEY",
+    "GEMINI_API_KEY",
+    "GOOGLE_API_KEY",
+    "GROQ_API_KEY",
+    "MISTRAL_API_KEY",
+    "NVIDIA_API_KEY",
+    "OPENAI_API_KEY",
+    "OPENROUTER_API_KEY",
+    "TOGETHER_API_KEY",
+    "XAI_API_KEY",
+)
 #: Fixed value: how a name is shaped that holds a credential.
 NAME_SHAPE = "(?:^|_)(?:API|SECRET|TOKEN|PASSWORD|PASSWD|CREDENTIALS?|KEY)$"
 
