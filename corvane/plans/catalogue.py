@@ -9,13 +9,15 @@ are queries; ``labels`` are paired outcomes, clustered by the documents' source.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import credentials, detect, gate, lattice, runs, spotlight, text
-from corvane.operators import budget, chunking, evaluation, ingest, retrieval, taint
+from corvane.operators import budget, chunking, evaluation, ingest, quarantine, retrieval, taint
 from corvane.plans import relational
 from corvane.session import table
 from corvane.sources import policy as policies
@@ -528,6 +530,60 @@ def _(spark, sf_dir):
     return evaluation.token_inflation(table(spark, sf_dir, "conversations"), F.col("text"), marked)
 
 
+#: What is asked of a document: a title, its first number, how loud it is, and what may be left out.
+FACTS = {
+    "type": "object",
+    "properties": {
+        "title": {"type": "string", "minLength": 2},
+        "amount": {"type": "integer", "maximum": 10**12},
+        "mood": {"$ref": "#/$defs/Mood"},
+        "memo": {"anyOf": [{"type": "string"}, {"type": "null"}]},
+        "words": {"type": "array", "items": {"$ref": "#/$defs/Word"}, "minItems": 3},
+    },
+    "required": ["title", "mood", "words"],
+    "$defs": {
+        "Mood": {"enum": ["asking", "calm"], "type": "string"},
+        "Word": {"type": "object", "properties": {"word": {"type": "string"}}, "required": ["word"]},
+    },
+}
+
+
+def fact_finder(prompts):
+    """A model that answers from the text between the markers, as well as it can: what the text
+    lacks it leaves out, and a text without words is refused."""
+    for prompt in prompts:
+        body = prompt.split("\n", 1)[1].rsplit("\n", 1)[0]
+        words, number = re.findall("[A-Za-z]+", body), re.search("[0-9]+", body)
+        if not words:
+            yield None
+            continue
+        mood = "loud" if "!" in body else "asking" if "?" in body else "calm"
+        facts = {"title": words[0], "mood": mood, "memo": "mail" if "@" in body else None, "words": [{"word": w} for w in words]}
+        yield json.dumps({**facts, "amount": number.group()} if number else facts)
+
+
+@query(
+    "quarantine_facts",
+    r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    f AS (SELECT doc_id, nullif(regexp_extract(text, '[0-9]+'), '') AS digits, nullif(regexp_extract(text, '[A-Za-z]+'), '') AS title,
+      len(regexp_extract_all(text, '[A-Za-z]+'))::INTEGER AS n, CASE WHEN contains(text, '!') THEN 'loud' WHEN contains(text, '?') THEN 'asking' ELSE 'calm' END AS mood,
+      CASE WHEN contains(text, '@') THEN 'mail' END AS memo FROM t),
+    r AS (SELECT *, try_cast(digits AS BIGINT) AS amount FROM f),
+    w AS (SELECT *, CASE WHEN n = 0 THEN 'refused' ELSE nullif(array_to_string(list_filter([
+      CASE WHEN length(title) < 2 THEN 'answer.title is out of limits' END,
+      CASE WHEN digits IS NOT NULL AND amount IS NULL THEN 'answer.amount is no integer' WHEN amount > 1000000000000 THEN 'answer.amount is out of limits' END,
+      CASE WHEN mood = 'loud' THEN 'answer.mood is no member' END, CASE WHEN n < 3 THEN 'answer.words is out of limits' END], lambda x: x IS NOT NULL), '; '), '') END AS reason FROM r)
+    SELECT doc_id, reason, CASE WHEN reason IS NULL THEN 1 END AS tier, CASE WHEN reason IS NULL THEN title END AS title, CASE WHEN reason IS NULL THEN amount END AS amount,
+      CASE WHEN reason IS NULL THEN mood END AS mood, CASE WHEN reason IS NULL THEN memo END AS memo, CASE WHEN reason IS NULL THEN n END AS n_words FROM w""",
+)
+def _(spark, sf_dir):
+    """Facts drawn from whole documents in quarantine, with what keeps the other documents out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = quarantine.extract(docs, "text", FACTS, fact_finder, name="Facts")
+    x = F.col("extracted")
+    return rows.select("doc_id", F.col("quarantine_reason").alias("reason"), F.col("extracted_tier").alias("tier"), x["title"].alias("title"), x["amount"].alias("amount"), x["mood"].alias("mood"), x["memo"].alias("memo"), F.size(x["words"]).alias("n_words"))
+
+
 # ---------------------------------------------------------------- taint and gate
 
 NORM_SQL = r"replace(lower(trim(regexp_replace(replace({t}, chr(57344), ' '), '\s+', ' ', 'g'))), 'ß', 'ss')"
