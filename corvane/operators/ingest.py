@@ -82,6 +82,25 @@ def report(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(tier_label(F.col("tier")).alias("tier_label")).agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
 
 
+def summary(docs: DataFrame, policy: Policy, batch: Ingest, registry: DataFrame | None = None) -> DataFrame:
+    """One row on what a batch did: documents ingested, updated (ingested, and known before under
+    another text) and skipped, chunks added and skipped, and the chunks added by tier label.
+
+    A batch of nothing gives zeros and an empty map.
+    """
+    key = ["identity", "source_uri"]
+    seen = label(docs, policy).agg(F.count(F.lit(1)).alias("documents"))
+    fresh = batch.registry.agg(F.count(F.lit(1)).alias("documents_ingested"))
+    updated = F.lit(0).cast("long").alias("documents_updated")
+    changed = fresh.select(updated) if registry is None else batch.registry.join(registry.select(*key).distinct(), key, "left_semi").agg(F.count(F.lit(1)).alias("documents_updated"))
+    tiers = batch.chunks.groupBy(tier_label(F.col("tier")).alias("tier_label")).agg(F.count(F.lit(1)).alias("n"))
+    tiers = tiers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks_added"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier_label", "n")))).alias("chunks_by_tier"))
+    skipped = batch.skipped.agg(F.count(F.lit(1)).alias("chunks_skipped"))
+    rows = seen.crossJoin(fresh).crossJoin(changed).crossJoin(tiers).crossJoin(skipped)  # one row each
+    left = (F.col("documents") - F.col("documents_ingested")).alias("documents_skipped")
+    return rows.select("documents_ingested", "documents_updated", left, "chunks_added", "chunks_skipped", "chunks_by_tier")
+
+
 def append(spark: SparkSession, batch: Ingest, root: str) -> None:
     """Appends a batch to the corpus tables under ``root``."""
     batch.chunks.write.mode("append").parquet(f"{root}/chunks")

@@ -20,6 +20,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -205,17 +207,49 @@ def tfidf(index: Index, queries: DataFrame, norms: DataFrame | None = None) -> D
     return both.where("qnorm > 0 and norm > 0").select("query_id", "chunk_id", cosine.alias("score")).where("score > 0")
 
 
-def dense(vectors: DataFrame, queries: DataFrame, vector: str = "embedding") -> DataFrame:
-    """query_id, chunk_id, cosine > 0, from (chunk_id, vector) and (query_id, vector).
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", tile: tuple[int, int] = (1024, 16384)) -> DataFrame:
+    """query_id, chunk_id, score and rank: the k best cosines > 0, from (chunk_id, vector) and (query_id, vector).
 
-    Every query meets every vector: queries must be a stated, bounded batch.
+    Queries in blocks meet vectors in blocks, one matrix product a tile, of which each query's
+    k best go on: what leaves the tasks grows with k and the number of vector blocks, not with
+    the pairs. A vector is sent once per block of queries. Vectors meet those of their own
+    length alone; null, empty and zero ones and those with null or non-finite components take no part.
     """
-    unit = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    left = queries.select("query_id", F.col(vector).cast("array<double>").alias("q")).withColumn("qn", unit(F.col("q")))
-    right = vectors.select("chunk_id", F.col(vector).cast("array<double>").alias("v")).withColumn("vn", unit(F.col("v")))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    rows = right.where("vn > 0").join(left.where("qn > 0")).select("query_id", "chunk_id", (dot / (F.col("qn") * F.col("vn"))).alias("score"))
-    return rows.where("score > 0")
+
+    def usable(df: DataFrame, ident: str) -> DataFrame:
+        v = F.col(vector).cast("array<double>")
+        fit = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+        return df.select(ident, v.alias("v")).where(fit).withColumn("dim", F.size("v"))
+
+    asked, held = usable(queries, "query_id"), usable(vectors, "chunk_id")
+    n = [max(1, -(-df.count() // most)) for df, most in zip((asked, held), tile)]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(m - 1))) for m in n]
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n[0])).cast("int")).withColumn("vb", every[1])
+    held = held.withColumn("vb", F.pmod(F.xxhash64("chunk_id"), F.lit(n[1])).cast("int")).withColumn("qb", every[0])
+    kinds = {**dict(asked.dtypes), **dict(held.dtypes)}
+
+    def units(table: pa.Table) -> np.ndarray:
+        rows = np.array(table.column("v").combine_chunks().flatten()).reshape(table.num_rows, -1)
+        rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+        return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, columns, scores = [], [], []
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("chunk_id")
+            cosines = units(left) @ units(right).T
+            for i, line in enumerate(cosines):
+                best = np.argsort(-np.round(line, DIGITS), kind="stable")[:k]
+                best = best[line[best] > 0]
+                rows.append(np.full(len(best), i))
+                columns.append(best)
+                scores.append(line[best])
+        take = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        found = [left.column("query_id").take(pa.array(take(rows, np.int64))), right.column("chunk_id").take(pa.array(take(columns, np.int64)))]
+        return pa.table([*found, pa.array(take(scores, np.float64))], names=["query_id", "chunk_id", "score"])
+
+    tiles = asked.groupBy("dim", "qb", "vb").cogroup(held.groupBy("dim", "qb", "vb"))
+    return top_k(tiles.applyInArrow(meet, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"), k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

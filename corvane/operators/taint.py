@@ -58,11 +58,13 @@ def segments(turns: DataFrame, key: str = "conversation_id") -> DataFrame:
     return slim.groupBy(key).applyInArrow(fold, f"`{key}` {kind}, seq long, reset boolean, segment int")
 
 
-def resets_by_lag(turns: DataFrame, key: str = "conversation_id") -> DataFrame:
-    """The same where every turn marks: a turn resets unless it is above the last one."""
-    w = Window.partitionBy(key).orderBy("seq")
+def segments_by_lag(turns: DataFrame, key: str = "conversation_id") -> DataFrame:
+    """``segments`` where every turn marks: a turn resets unless it is above the one before,
+    so two windows over one sort do, and a long conversation is not held in a task."""
+    w = Window.partitionBy(key).orderBy("seq", "progress")
     before = F.lag("progress").over(w)
-    return turns.withColumn("reset", before.isNull() | (F.col("progress") <= before))
+    marked = turns.withColumn("reset", before.isNull() | (F.col("progress") <= F.greatest(before, F.lit(0))))
+    return marked.select(key, "seq", "reset", F.sum(F.col("reset").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("segment"))
 
 
 def guard(outputs: DataFrame, tools: tuple[str, ...] = (), detector: Detector = detect.scan, assessor: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

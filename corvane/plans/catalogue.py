@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import credentials, detect, gate, lattice, runs, spotlight, text
-from corvane.operators import budget, chunking, evaluation, ingest, quarantine, retrieval, taint
+from corvane.operators import budget, chunking, evaluation, ingest, quarantine, retrieval, scenarios, taint
 from corvane.plans import relational
 from corvane.session import table
 from corvane.sources import policy as policies
@@ -225,6 +225,29 @@ def _(spark, sf_dir):
     return ingest.report(ingest.ingest(docs, policies.load()).chunks)
 
 
+@query(
+    "ingest_summary",
+    f"""{TIERED_SQL}, f AS (SELECT *, NOT (doc_id % 12 = 9 OR (doc_id % 6 = 0 AND text IS NULL)) AS ingested, doc_id % 6 = 0 AND text IS NOT NULL AS updated, length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0 AS chunked FROM d),
+    g AS (SELECT *, ingested AND doc_id % 12 <> 3 AS new FROM f)
+    SELECT count(*) FILTER (WHERE ingested) AS documents_ingested, count(*) FILTER (WHERE updated) AS documents_updated, count(*) FILTER (WHERE NOT ingested) AS documents_skipped,
+      count(*) FILTER (WHERE new AND chunked) AS chunks_added, count(*) FILTER (WHERE doc_id % 12 = 3 AND chunked) AS chunks_skipped,
+      count(*) FILTER (WHERE new AND chunked AND tier = 0) AS untrusted, count(*) FILTER (WHERE new AND chunked AND tier = 2) AS curated FROM g""",
+)
+def _(spark, sf_dir):
+    """A batch over a corpus that knows every third document, half of those under an older text;
+    of some the chunks were written and the registry rows were lost. A document is one chunk here."""
+    p, whole = policies.load(), chunking.Chunker(max_tokens=10**7, overlap_tokens=0, respect_headings=False)
+    ids = ["source_uri", F.col("doc_id").cast("string").alias("doc_id")]
+    before = documents(spark, sf_dir).where("doc_id % 3 = 0").withColumn("lost", F.col("doc_id") % 12 == 3)
+    old = before.select(F.expr(KNOWN).alias("text"), *ids)
+    kept = before.where("not lost").select(F.expr(KNOWN).alias("text"), *ids)
+    registry, known = ingest.label(kept, p), ingest.ingest(old, p, chunker=whole).chunks
+    docs = documents(spark, sf_dir).select("text", *ids)
+    rows = ingest.summary(docs, p, ingest.ingest(docs, p, registry, known, whole), registry)
+    of = lambda tier: F.coalesce(F.col("chunks_by_tier")[f"T{tier}_{lattice.NAMES[tier]}"], F.lit(0)).cast("long")
+    return rows.withColumns({"untrusted": of(0), "curated": of(2)}).drop("chunks_by_tier")
+
+
 @query(
     "chunk_coverage",
     r"""SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS visible, (length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) <= 2048) AS whole FROM documents""",
@@ -385,7 +408,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return shown(retrieval.top_k(retrieval.dense(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked), 5))
+    return shown(retrieval.dense_top(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, 5))
 
 
 # ---------------------------------------------------------------- ranking metrics
@@ -647,6 +670,27 @@ SELECT conv_id AS conversation_id, turn AS seq, CASE WHEN nf + risky > 0 THEN 'd
   array_to_string(list_concat(list_resize([]::VARCHAR[], nf, 'flagged_argument'), CASE WHEN risky > 0 THEN ['tainted_side_effect'] ELSE []::VARCHAR[] END), ',') AS codes FROM k"""
 
 
+EXPECTED_SQL = LEDGER_SQL + """, each_call AS (SELECT conv_id, turn, bool_or(arg = 'to' AND tier <= 1) AS to_tainted, bool_or(arg = 'body' AND tier <= 1) AS body_tainted, bool_or(flagged) AS flagged FROM a GROUP BY 1, 2),
+    expected AS (SELECT c.conv_id, c.turn, any_value(c.turn % 4 IN (1, 2) AND c.value <> '') AS expected FROM c WHERE arg = 'to' GROUP BY 1, 2),
+    held AS (SELECT conv_id, turn, expected, to_tainted OR flagged AS refused, list_concat(CASE WHEN to_tainted THEN ['to'] ELSE []::VARCHAR[] END, CASE WHEN body_tainted THEN ['body'] ELSE []::VARCHAR[] END) AS tainted FROM each_call JOIN expected USING (conv_id, turn))
+    SELECT conv_id AS conversation_id, turn AS seq, array_to_string(list_concat(
+      CASE WHEN expected <> refused THEN ['refused: expected ' || expected || ', got ' || refused] ELSE []::VARCHAR[] END,
+      CASE WHEN tainted <> (CASE WHEN expected THEN ['to'] ELSE []::VARCHAR[] END) THEN ['tainted: expected [' || CASE WHEN expected THEN 'to' ELSE '' END || '], got [' || array_to_string(tainted, ', ') || ']'] ELSE []::VARCHAR[] END), '; ') AS mismatches,
+      expected = refused AND tainted = (CASE WHEN expected THEN ['to'] ELSE []::VARCHAR[] END) AS passed FROM held"""
+
+
+@query("scenario_verification", EXPECTED_SQL)
+def _(spark, sf_dir):
+    """Each call is expected to be refused for its recipient where the output before it echoes
+    what the recipient repeats; other echoes, found by tracing alone, come out as mismatches."""
+    done, _ = traced(spark, sf_dir)
+    _, calls = session(spark, sf_dir)
+    echoed = (F.col("seq") % 4).isin(1, 2) & (F.col("args")[0]["value"] != "")
+    told = calls.select("conversation_id", "seq", echoed.alias("refused"), F.when(echoed, F.array(F.lit("to"))).otherwise(F.array().cast("array<string>")).alias("tainted"))
+    rows = scenarios.verify(told, scenarios.outcomes(done, ["conversation_id", "seq"]), ["conversation_id", "seq"])
+    return rows.select("conversation_id", "seq", F.array_join("mismatches", "; ").alias("mismatches"), "passed")
+
+
 @query("conversation_ledger", LEDGER_SQL + CODES_SQL)
 def _(spark, sf_dir):
     done, _ = traced(spark, sf_dir)
@@ -791,7 +835,7 @@ def turns(spark, sf_dir):
     SELECT conv_id::VARCHAR AS conversation_id, turn AS seq, reset, (sum(reset::INT) OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS segment FROM r""",
 )
 def _(spark, sf_dir):
-    return taint.segments(turns(spark, sf_dir).withColumn("marks", F.lit(True))).select("conversation_id", "seq", "reset", "segment")
+    return taint.segments_by_lag(turns(spark, sf_dir))
 
 
 @query(

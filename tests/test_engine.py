@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import detect, gate, lattice, spotlight, text
-from corvane.operators import evaluation, ingest, quarantine, retrieval, taint
+from corvane.operators import evaluation, ingest, quarantine, retrieval, scenarios, taint
 from corvane.sources import files
 from corvane.sources import policy as policies
 
@@ -132,6 +132,9 @@ def test_scenarios(spark):
     records = taint.guard(outputs, p.tool_names)
     rows = taint.with_context(gate.with_policy(taint.attribute(asked, records), p.policies(spark)), records)
     got = {r["conversation_id"]: r for r in gate.act(gate.decide(rows, p.blocking_flags)).collect()}
+    told = spark.createDataFrame([(k, no, codes, named) for k, _, _, _, no, codes, named in SCENARIOS], "conversation_id string, refused boolean, codes array<string>, tainted array<string>")
+    seen = scenarios.outcomes(gate.act(gate.decide(rows, p.blocking_flags)), ["conversation_id"])
+    assert scenarios.verify(told, seen, ["conversation_id"]).where("not passed").collect() == []
     for key, _, _, _, refused, codes, tainted in SCENARIOS:
         r = got[key]
         assert (r["action"] == "refused", r["codes"], r["tainted_args"]) == (refused, codes, tainted), key
