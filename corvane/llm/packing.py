@@ -149,6 +149,10 @@ def parts(last: np.ndarray, filled: int) -> dict[int, int]:
     return out
 
 
+#: Shares of the fractional uses that a rounding is tried with; the plan always places most pieces.
+SHARES = (1.0, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6)
+
+
 def solve(histogram: dict[int, int], capacity: int, rounds: int = 4000, step: float = 4.0) -> list[tuple[dict[int, int], int]]:
     """Configurations and how often each is used; every piece is covered exactly once.
 
@@ -156,21 +160,36 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 4000, step: fl
     with the share of its demand covered so far; the knapsack prices a configuration
     over all lengths; it is used as often as its scarcest length allows. Rounds end
     when every length is covered (or after ``rounds``). The uses are rounded down,
-    fullest first, and only what that leaves over goes best-fit.
+    fullest first, and what that leaves over goes best-fit. Best-fit does well only
+    with small pieces to fill gaps, and those the plan has mostly used: so the
+    rounding is tried with shares of each use and bounds on the room that a
+    configuration may leave, and the one that takes the fewest sequences is kept.
     """
     demand = np.zeros(capacity + 1, dtype=np.int64)
     for size, n in histogram.items():
         demand[size] += n
     full = [({capacity: 1}, int(demand[capacity]))] if demand[capacity] else []
     demand[capacity] = 0
+    uses = relaxed(demand, capacity, rounds, step)
+    room = [capacity - sum(s * c for s, c in key) for key, _ in uses]
+    tried = (
+        rounded([(key, use * share) for (key, use), free in zip(uses, room) if free <= most], demand, capacity)
+        for share in SHARES
+        for most in {capacity, *(int(np.quantile(room, q)) for q in (0.0, 0.5) if room)}
+    )
+    return full + min(tried, key=lambda plan: sum(n for _, n in plan))
+
+
+def rounded(uses: list[tuple[tuple, float]], demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole uses of the given configurations, and best-fit ones for what they leave."""
     left, plan = demand.copy(), []
-    for key, use in relaxed(demand, capacity, rounds, step):
+    for key, use in uses:
         n = int(min([use, *(left[s] // c for s, c in key)]))
         if n > 0:
             plan.append((dict(key), n))
             for s, c in key:
                 left[s] -= n * c
-    return full + plan + best_fit(left, capacity)
+    return plan + best_fit(left, capacity)
 
 
 def relaxed(demand: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[tuple, float]]:

@@ -527,6 +527,17 @@ def test_packing_beats_best_fit_where_the_plan_does():
     assert greedy == 11 * k and 9 * k <= plan <= 9.5 * k
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_takes_no_more_sequences_than_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    for capacity, sizes in ((128, rng.integers(1, 128, 300)), (512, np.clip(rng.lognormal(5, 1, 4000), 1, 511).astype(int))):
+        histogram = dict(Counter(int(x) for x in sizes))
+        demand = np.zeros(capacity + 1, dtype=np.int64)
+        for s, n in histogram.items():
+            demand[s] = n
+        assert sum(n for _, n in packing.solve(histogram, capacity)) <= sum(n for _, n in packing.best_fit(demand, capacity))
+
+
 def test_packing_is_near_the_optimum_of_small_histograms():
     def fewest(sizes, capacity):
         best = [len(sizes)]
