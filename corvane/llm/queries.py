@@ -37,7 +37,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup(docs, exact_chars=1).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+    return line_dedup.dedup(docs, min_chars=1).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +116,16 @@ spots AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM parts),
 lines AS (SELECT doc_id, i, ls[i] AS line, trim(ls[i], {_WHITE_SQL}) AS s FROM spots),
 used AS (SELECT doc_id, i, s, doc_id * 10000000 + i AS place FROM lines WHERE length(s) >= 1),
 d AS (SELECT s, length(s) AS n, min(place) AS lead_place FROM used GROUP BY s),
-long AS (SELECT * FROM d WHERE n >= 30),
 near AS (
-  SELECT DISTINCT b.s FROM long a JOIN long b ON a.n = b.n AND a.lead_place < b.lead_place
+  SELECT DISTINCT b.s FROM d a JOIN d b ON a.n = b.n AND a.lead_place < b.lead_place
   WHERE (left(a.s, a.n // 2) = left(b.s, a.n // 2) OR right(a.s, (a.n - 1) // 2) = right(b.s, (a.n - 1) // 2))
-    AND levenshtein(a.s, b.s) <= 1
+    AND levenshtein(a.s, b.s) <= 4 -- in bytes; a character has at most four
+    AND len(list_filter(range(1, a.n + 1), lambda i: a.s[i] <> b.s[i])) = 1
   UNION
-  SELECT DISTINCT CASE WHEN a.lead_place < b.lead_place THEN b.s ELSE a.s END FROM long a JOIN long b ON a.n + 1 = b.n
+  SELECT DISTINCT CASE WHEN a.lead_place < b.lead_place THEN b.s ELSE a.s END FROM d a JOIN d b ON a.n + 1 = b.n
   WHERE (left(a.s, a.n // 2) = left(b.s, a.n // 2) OR right(a.s, a.n - a.n // 2) = right(b.s, a.n - a.n // 2))
-    AND levenshtein(a.s, b.s) <= 1),
+    AND levenshtein(a.s, b.s) <= 4
+    AND len(list_filter(range(0, a.n + 1), lambda i: left(b.s, i) || right(b.s, a.n - i) = a.s)) > 0),
 gone AS (
   SELECT u.doc_id, u.i FROM used u JOIN d USING (s) LEFT JOIN near USING (s)
   WHERE u.place > d.lead_place OR near.s IS NOT NULL),

@@ -152,6 +152,14 @@ def test_line_dedup_matches_brute_force(spark, docs, texts, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_lines_of_any_length_are_held_against_each_other(spark):
+    rng = random.Random(11)
+    rows = [(k, "\n".join("".join(rng.choice("ab é語😀") for _ in range(rng.randrange(7))) for _ in range(rng.randrange(4)))) for k in range(60)]
+    rows += [(100, None), (101, ""), (102, "x\ny\n\nzz"), (103, "long " * 40 + "1\n" + "long " * 40 + "2")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=1).collect()}
+    assert got == brute_lines(rows, 1)
+
+
 def test_short_lines_drop_exact_copies(spark):
     import corpus_pipeline
 
