@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,7 @@ STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "he", "in", "is", "it", "its", "of", "on", "or",
     "that", "the", "to", "was", "were", "will", "with", "this", "these", "those", "there",
 )
+_STOPPED = frozenset(STOPWORDS)
 #: Suffix, replacement, shortest stem; in the order they are tried.
 SUFFIXES = (("ies", "y", 1), ("sses", "ss", 1), ("ing", "", 3), ("ed", "", 3), ("es", "", 2), ("s", "", 2))
 CHARS_PER_TOKEN = 4
@@ -60,6 +64,35 @@ def tokenize(text: Column, drop_stopwords: bool = True, stems: bool = True) -> C
     return F.transform(out, stem) if stems else out
 
 
+def term_of(word: str) -> str | None:
+    """What ``tokenize`` makes of one word; None if it drops it."""
+    if not word or word in _STOPPED:
+        return None
+    if len(word) > 3 and word[-1] not in "0123456789":
+        for suffix, new, least in SUFFIXES:
+            if word.endswith(suffix) and len(word) - len(suffix) >= least and not (suffix == "s" and word.endswith("ss")):
+                return word[: -len(suffix)] + new
+    return word
+
+
+#: Bytes of UTF-8 that stand in words; others, those of characters beyond ASCII too, become spaces.
+_WORD_BYTES = np.array([b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789_" else 32 for b in range(256)], np.uint8)
+
+
+def terms_of(lowered: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The tokens ``tokenize`` finds in lower-cased texts without nulls, for use inside tasks: the text's place
+    and the number of the term of each token, in order, and the terms. Each distinct word is stemmed once."""
+    offsets = np.frombuffer(lowered.buffers()[1], np.int32)[lowered.offset :][: len(lowered) + 1]
+    held = np.frombuffer(lowered.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    spaced = pa.StringArray.from_buffers(len(lowered), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(_WORD_BYTES[held]))
+    parts = pc.ascii_split_whitespace(spaced)
+    place, words = pc.list_parent_indices(parts).to_numpy(), parts.flatten().dictionary_encode()
+    numbers: dict[str, int] = {}
+    made = [-1 if (t := term_of(w)) is None else numbers.setdefault(t, len(numbers)) for w in words.dictionary.to_pylist()]
+    codes = np.array(made, np.int64)[words.indices.to_numpy()]
+    return place[codes >= 0], codes[codes >= 0], pa.array(list(numbers), pa.string())
+
+
 def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
     """What case folding changes: characters that become one other, and those that become several."""
     changed = [(c, c.casefold()) for c in map(chr, range(0x110000)) if c.casefold() != c]
