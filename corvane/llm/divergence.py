@@ -1,7 +1,8 @@
 """How sources of a language differ in their words: a divergence of every pair, and the words that stand out.
 
-Plain relational. Texts are cut into terms by one pattern; a language keeps the terms
-that enough of its documents hold. Terms are counted by (lang, source); groups are
+Plain relational. Texts are cut into terms by one pattern and counted by (lang, source)
+in one pass, occurrences and documents at once, some megabytes of text at a time in the
+tasks that read them; a language keeps the terms that enough of its documents hold. Groups are
 crossed with their language's kept terms, so that terms a group lacks count zero; a term's
 smoothed share is p = 1 + floor(10^9 (count + 2) / (N + 2 V)). The table of shares meets
 itself on (lang, term), which gives each pair of sources the sum of
@@ -24,6 +25,11 @@ ignored, whatever they are called.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +38,10 @@ from corvane.llm.shared import beside, cut
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Runs of ASCII letters and of any characters beyond ASCII.
 TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: What stands between them.
-GAPS = "".join(map(chr, [*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+#: UTF-8 bytes as they stand in terms; those that stand between terms become spaces.
+TERM_BYTES = np.array([b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
+#: Bytes of text that a task counts at once; a longer text is counted alone.
+COUNTED_BYTES = 16 << 20
 SCALE = 1_000_000_000
 
 
@@ -48,32 +56,53 @@ def apart(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def terms_of(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
-    """lang, source and the array of a document's terms, with empty strings between them.
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, source, text) to lang, source, term, n occurrences and docs, the number of rows that hold it;
+    partial counts, a set for each ``COUNTED_BYTES``.
 
-    The matches of ``TERM`` are what the characters of no match part; these become spaces,
-    because splitting at one character is many times faster than matching a class.
+    No byte of a character beyond ASCII is an ASCII byte, so terms are found byte by byte.
     """
-    plain = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    found = F.split(F.translate(plain(text_col), GAPS + UPPER, " " * len(GAPS) + UPPER.lower()), " ")
-    return docs.select(plain(lang_col).alias("lang"), plain(source_col).alias("source"), found.alias("terms"))
-
-
-def each(terms: str | Column) -> Column:
-    """Explodes; the outer form, because Spark guards the other by computing the array once more."""
-    return F.explode_outer(terms).alias("term")
+    for batch in batches:
+        ends, at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy()), 0
+        while at < batch.num_rows:
+            size = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTED_BYTES, "right")) - at)
+            yield _counted(batch.slice(at, size))
+            at += size
+
+
+def _counted(rows: pa.RecordBatch) -> pa.RecordBatch:
+    text = rows.column("text")
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset :][: len(text) + 1]
+    held = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    spaced = pa.StringArray.from_buffers(len(text), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(TERM_BYTES[held]))
+    parts = pc.ascii_split_whitespace(spaced)
+    place, words = pc.list_parent_indices(parts).to_numpy(), parts.flatten().dictionary_encode()
+    terms, codes = words.dictionary, words.indices.to_numpy()
+    wide = max(1, len(terms))
+    pairs, n = np.unique(place * wide + codes, return_counts=True)  # of a row and a term
+    langs, sources = (rows.column(c).dictionary_encode() for c in ("lang", "source"))
+    group = langs.indices.to_numpy().astype(np.int64) * max(1, len(sources.dictionary)) + sources.indices.to_numpy()
+    groups, first, group = np.unique(group, return_index=True, return_inverse=True)
+    keys, at, docs = np.unique(group[pairs // wide] * wide + pairs % wide, return_inverse=True, return_counts=True)
+    n = np.bincount(at, n, len(keys)).astype(np.int64)
+    of, term = pa.array(first[keys // wide]), terms.take(pa.array(keys % wide))
+    out = [rows.column("lang").take(of), rows.column("source").take(of), term, pa.array(n), pa.array(docs.astype(np.int64))]
+    out = pa.RecordBatch.from_arrays(out, ["lang", "source", "term", "n", "docs"])
+    return out.filter(pc.not_equal(term, ""))
 
 
 def audit(
     docs: DataFrame, min_docs: int = 10, top: int = 10, lang_col: str = "lang", source_col: str = "source", text_col: str = "text"
 ) -> DataFrame:
     """lang, source, part (pair or term), item (the other source, or the term), value, rank."""
-    texts = terms_of(docs, lang_col, source_col, text_col)
+    plain = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    texts = docs.select(plain(lang_col).alias("lang"), plain(source_col).alias("source"), plain(text_col).alias("text"))
     groups = texts.select("lang", "source").distinct()
-    held = texts.select("lang", each(F.array_distinct("terms"))).where("term <> ''").groupBy("lang", "term").agg(F.count("*").alias("_docs"))
+    every = texts.mapInArrow(count_terms, "lang string, source string, term string, n bigint, docs bigint").groupBy("lang", "source", "term")
+    every = cut(every.agg(F.sum("n").alias("n"), F.sum("docs").alias("_docs")), "all-terms")
+    held = every.groupBy("lang", "term").agg(F.sum("_docs").alias("_docs"))
     kept = cut(held.where(F.col("_docs") >= min_docs).select("lang", "term"), "kept-terms")
-    counts = texts.select("lang", "source", each("terms")).where("term <> ''").groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
-    counts = cut(counts.join(kept, ["lang", "term"], "left_semi"), "term-counts")
+    counts = cut(every.drop("_docs").join(kept, ["lang", "term"], "left_semi"), "term-counts")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import divergence, spelling, token_files
+from corvane.llm.shared import cut
 
 DOC = "doc_id long, text string, lang string, source string, n long, term string, word string, file string"
 LOWER = str.maketrans(divergence.UPPER, divergence.UPPER.lower())
@@ -73,6 +74,16 @@ def test_divergence_of_rare_words_and_of_nothing(spark, rows):
     assert divergence.audit(table(spark, [])).collect() == []
 
 
+def test_terms_are_counted_in_one_pass(spark, rows, monkeypatch):
+    """op11: each term of a text was a row, twice, once for documents and once for occurrences; also in small parts of a batch."""
+    monkeypatch.setattr(divergence, "COUNTED_BYTES", 3_000)
+    seen = []
+    monkeypatch.setattr(divergence, "cut", lambda df, label: seen.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df, label))
+    assert {tuple(r) for r in divergence.audit(table(spark, rows)).collect()} == audit_by_hand(rows)
+    plans = dict(seen)
+    assert plans["all-terms"].count("MapInArrow") == 1 and not any("Generate explode" in plans[x] for x in ("all-terms", "kept-terms", "term-counts"))
+
+
 def test_shares_are_exact_beyond_64_bits(spark):
     n, total, kept = 3_000_000_000_000, 7_000_000_000_001, 12_345
     got = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(kept))).first()[0]
